@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .byte_bpe import op5_byte_bpe
+from .simhash import op4_simhash
 from .token_files import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_simhash": op4_simhash,
     "op5_byte_bpe": op5_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
