@@ -119,8 +119,8 @@ def encode(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") ->
 
         bpe = model(file)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 2000):
+                some = batch.slice(k, 2000)
                 got = bpe.encode_batch(some.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*some.columns, chunks.int32_lists(got)], names=[*keep, ids])
 
@@ -157,8 +157,8 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
 
         bpe, sha = model(file), hashlib.sha256
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some, n, ids_sha, text_sha = batch.slice(k, 1000), [], [], []
+            for k in range(0, batch.num_rows, 2000):
+                some, n, ids_sha, text_sha = batch.slice(k, 2000), [], [], []
                 for raw in bpe.encode_batch(some.column(1).to_pylist()):
                     ids = np.frombuffer(raw, dtype="<u4").tolist()
                     n.append(len(ids))

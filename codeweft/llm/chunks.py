@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-_ODD = re.compile(r"\s \S|\S \s|\s \s|^ | $")
+_MARKS, _BEYOND = frozenset(".,;:!?"), re.compile("[^\\x00-\u024f]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 #: Encodes distinct texts: a list of little-endian unsigned 32-bit ids for each.
@@ -25,72 +25,91 @@ Encode = Callable[[list[str]], list[bytes]]
 
 def split_chunks(text: str) -> list[str]:
     """The chunks of ``text``, each but the first without the space before it."""
-    if _ODD.search(text):
-        first, *rest = _CUT.split(text)
-        return [first, *(x[1:] for x in rest)]
-    return text.split(" ")
+    first, *rest = _CUT.split(text)
+    return [first, *(x[1:] for x in rest)]
+
+
+def _odd(chunk: str) -> bool:
+    """Whether the cut at a space beside ``chunk`` may be beside more white space."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 class ChunkCache:
     """Ids of texts, chunk by chunk; at most ``limit`` chunks stay in memory."""
 
-    def __init__(self, encode: Encode, limit: int = 400_000) -> None:
+    def __init__(self, encode: Encode, limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; of a null, those of the empty text."""
-        split = [split_chunks(t) if t else [] for t in texts]
-        firsts = {x[0] for x in split if x}
+        texts = list(texts)
+        split = [t.split(" ") if t else [] for t in texts]
         known = self.known
-        missing = set(chain.from_iterable(x[1:] for x in split)).difference(known)
-        if missing:
-            todo = list(missing)
-            got = dict(zip(todo, self.encode([" " + x for x in todo]), strict=True))
-            if len(known) + len(got) <= self.limit:
-                known.update(got)
-            else:
-                room = self.limit - len(known)
-                known.update(zip(todo[:room], map(got.__getitem__, todo[:room]), strict=True))
-                known = _Both(known, got)
+        missing = set(chain.from_iterable(split)).difference(known)
+        odd = {x for x in missing if _odd(x)}
+        if odd:
+            again = [k for k, x in enumerate(split) if not odd.isdisjoint(x)]
+            for k in again:
+                split[k] = split_chunks(texts[k]) if texts[k] else []
+            missing = set(chain.from_iterable(x[1:] for x in split)).difference(known)
+        firsts = {x[0] for x in split if x}
+        added = [x for x in missing if not _odd(x)]
+        added += missing.difference(added)
+        known.update(zip(added, self.encode([" " + x for x in added]), strict=True))
         todo = list(firsts)
         first = dict(zip(todo, self.encode(todo), strict=True))
         find = known.__getitem__
-        return [b"".join([first[x[0]], *map(find, x[1:])]) if x else b"" for x in split]
+        out = [b"".join([first[x[0]], *map(find, x[1:])]) if x else b"" for x in split]
+        _trim(known, added, self.limit)
+        for x in filter(_odd, added):
+            known.pop(x, None)
+        return out
 
 
-class _Both:
-    """Two dictionaries as one."""
-
-    def __init__(self, a: dict[str, bytes], b: dict[str, bytes]) -> None:
-        self.a, self.b = a, b
-
-    def __getitem__(self, key: str) -> bytes:
-        got = self.a.get(key)
-        return self.b[key] if got is None else got
+def _trim(known: dict[str, bytes], added: list[str], limit: int) -> None:
+    """Drop the last of ``added`` from ``known`` until ``limit`` are left."""
+    for x in added[len(added) - max(0, len(known) - limit) :]:
+        del known[x]
 
 
 class PieceCache:
-    """An :data:`Encode` that splits chunks by ``pattern`` and encodes each distinct pre-token once."""
+    """An :data:`Encode` that splits chunks by ``pattern`` and encodes each distinct pre-token once.
 
-    def __init__(self, pattern: str, encode: Encode, limit: int = 300_000) -> None:
+    Chunks with letters beyond Latin, whose classes may differ between Unicode
+    versions, go to ``whole`` if there is one.
+    """
+
+    def __init__(self, pattern: str, encode: Encode, limit: int = 300_000, whole: Encode | None = None) -> None:
         import regex
 
-        self.find, self.encode, self.limit = regex.compile(pattern).findall, encode, limit
+        self.find, self.encode, self.limit, self.whole = regex.compile(pattern).findall, encode, limit, whole
         self.known: dict[str, bytes] = {}
 
+    def split(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk; a word, and one with a mark after it, need no pattern."""
+        word = chunk[1:]
+        if chunk[:1] == " ":
+            if word.isalpha():
+                return [chunk]
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return [chunk[:-1], word[-1]]
+        return self.find(chunk)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.find(t) for t in texts]
+        out: list[bytes | None] = [None] * len(texts)
+        if self.whole:
+            odd = [k for k, t in enumerate(texts) if not t.isascii() and _BEYOND.search(t)]
+            for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else [], strict=True):
+                out[k] = ids
+        split = [self.split(t) if o is None else () for t, o in zip(texts, out, strict=True)]
         known = self.known
         todo = list(set(chain.from_iterable(split)).difference(known))
-        if todo:
-            got = dict(zip(todo, self.encode(todo), strict=True))
-            if len(known) + len(got) <= self.limit:
-                known.update(got)
-            else:
-                known = _Both(known, got)
+        known.update(zip(todo, self.encode(todo), strict=True))
         find = known.__getitem__
-        return [b"".join(map(find, x)) for x in split]
+        out = [b"".join(map(find, x)) if o is None else o for x, o in zip(split, out, strict=True)]
+        _trim(known, todo, self.limit)
+        return out
 
 
 def int32_lists(ids: list[bytes]):

@@ -20,15 +20,17 @@ all kept; an empty table gives no rows. Columns other than the two are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks, common
+from .byte_bpe import byte_characters
 
 SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
-_encoders: dict[tuple[str, int], chunks.ChunkCache] = {}
+_encoders: dict[str, chunks.ChunkCache] = {}
 
 
 def library_encoder(file: str) -> chunks.ChunkCache:
@@ -36,16 +38,22 @@ def library_encoder(file: str) -> chunks.ChunkCache:
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    if (file, 0) not in _encoders:
+    if file not in _encoders:
         tokenizer = Tokenizer.from_file(file)
         tokenizer.encode_special_tokens = True
         import numpy as np
 
-        def encode(texts: list[str]) -> list[bytes]:
+        def whole(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-        _encoders[file, 0] = chunks.ChunkCache(chunks.PieceCache(public_tokenizers.PATTERN, encode))
-    return _encoders[file, 0]
+        table, merge = dict(enumerate(byte_characters())), tokenizer.model.tokenize
+
+        def encode(pieces: list[str]) -> list[bytes]:
+            """The library's model on pre-tokens, mapped as its byte-level pre-tokeniser does."""
+            return [array("I", [t.id for t in merge(p.encode("utf-8").decode("latin-1").translate(table))]).tobytes() for p in pieces]
+
+        _encoders[file] = chunks.ChunkCache(chunks.PieceCache(public_tokenizers.PATTERN, encode, whole=whole))
+    return _encoders[file]
 
 
 def tokenise(docs: DataFrame, file: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -64,8 +72,8 @@ def tokenise(docs: DataFrame, file: str, end_id: int = 0, partitions: int | None
 
         cache, start, part = library_encoder(file), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 2000):
+                some = batch.slice(k, 2000)
                 ids = [x + end for x in cache.ids(some.column(1).to_pylist())]
                 sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 before = start + np.cumsum(sizes) - sizes
