@@ -10,10 +10,12 @@ from . import line_dedup
 from .byte_bpe import op5_byte_bpe
 from .simhash import op4_simhash
 from .token_files import op1_token_files
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_byte_bpe": op5_byte_bpe,
 }
