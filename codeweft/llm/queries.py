@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup
 from .byte_bpe import op5_byte_bpe
+from .chat import op7_chat
 from .quality import op6_quality
 from .simhash import op4_simhash
 from .token_files import op1_token_files
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
+    "op7_chat": op7_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
