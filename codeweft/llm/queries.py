@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_dedup
 from .byte_bpe import op5_byte_bpe
 from .chat import op7_chat
+from .html_text import op9_html_text
 from .quality import op6_quality
 from .simhash import op4_simhash
 from .token_files import op1_token_files
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
