@@ -10,6 +10,7 @@ from . import line_dedup
 from .byte_bpe import op5_byte_bpe
 from .chat import op7_chat
 from .html_text import op9_html_text
+from .lm import op10_lm_score
 from .quality import op6_quality
 from .simhash import op4_simhash
 from .token_files import op1_token_files
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op9_html_text": op9_html_text,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
