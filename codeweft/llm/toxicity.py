@@ -2,9 +2,9 @@
 
 :func:`fit` takes at most ``sample`` labelled rows (the least hashes of their ids),
 keeps the ``features`` words and word beginnings that go with the label most (by
-the G2 statistic), counts the documents with each over the whole corpus for its
-IDF, and indexes the rows' vectors: examples lie in blocks, and each feature knows
-its greatest weight in every block. A query takes the blocks by their bound, the
+the G2 statistic, from ``least_g2`` on), counts the documents with each over the whole corpus for its
+IDF, and indexes the rows' vectors: examples lie in blocks, those of one strongest
+feature together, and each feature knows its greatest weight in every block. A query takes the blocks by their bound, the
 greatest cosine any example in them may have, and stops when no bound passes its
 k-th neighbour, so the neighbours are exact. Votes weighted by 1 / distance are
 calibrated by a logistic fit to the examples' own leave-one-out votes.
@@ -13,8 +13,8 @@ calibrated by a logistic fit to the examples' own leave-one-out votes.
 
 Defined cases: a null, empty or featureless text has no vector and gets the rate
 of toxic rows among such examples; without labelled rows every score is 0; a row
-labelled twice counts as toxic if either says so; null labels are ignored; ties
-between neighbours go to the earlier example; repeated rows get equal scores;
+labelled twice counts as toxic if either says so; null labels are ignored; of equally
+near examples those found first count, in an order that is always the same; repeated rows get equal scores;
 columns named like the results are replaced and all others kept.
 """
 
@@ -24,7 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +81,7 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
     k: int = 15
+    found: dict = field(default_factory=dict, repr=False)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The features of a text and their weights, of length 1."""
@@ -95,7 +96,7 @@ class Model:
         best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
         lists = [(*self.postings[i], x) for i, x in zip(f.tolist(), w.tolist(), strict=True)]
         for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best_s) == self.k and bounds[block] < best_s[-1] - 1e-12:
+            if bounds[block] <= 0 or len(best_s) == self.k and bounds[block] <= best_s[-1]:
                 break
             acc = np.zeros(BLOCK)
             for at, weight, x in lists:
@@ -119,9 +120,17 @@ class Model:
         return 1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift)))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """The score and the examples that gave it."""
+        """The score and the examples that gave it; equal vectors are looked up once."""
         if not counts:
             return self.empty_rate, []
+        key = tuple(sorted(counts.items()))
+        if key not in self.found:
+            if len(self.found) >= 100_000:
+                self.found.clear()
+            self.found[key] = self._score(counts)
+        return self.found[key]
+
+    def _score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
         i, s = self.nearest(*self.vector(counts))
         return (self.calibrated(self.vote(i, s)), self.ids[i].tolist()) if len(i) else (self.empty_rate, [])
 
@@ -143,6 +152,7 @@ def build(features: list[str], idf: np.ndarray, examples: list[tuple[int, int, d
     """A model from examples: (id, label, counts of features)."""
     full = [e for e in examples if e[2]]
     bare = [e[1] for e in examples if not e[2]]
+    full.sort(key=lambda e: (min(e[2], key=lambda i: (-(1 + math.log(e[2][i])) * idf[i], i)), sorted(e[2].items()), e[0]))
     m = Model(features, idf, np.array([e[0] for e in full], dtype=np.int64), np.array([e[1] for e in full], dtype=float), [], np.zeros((len(features), 0)), sum(bare) / (len(bare) + 1), k=k)
     vectors = [m.vector(e[2]) for e in full]
     lists: list[tuple[list[int], list[float]]] = [([], []) for _ in features]
@@ -161,7 +171,7 @@ def build(features: list[str], idf: np.ndarray, examples: list[tuple[int, int, d
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 256, support: int = 4, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 256, support: int = 4, least_g2: float = 20.0, k: int = 15) -> Model:
     """Learn from rows of ``labels`` (doc_id, toxic) outside the held-out fold.
 
     ``sample`` and ``features`` bound what reaches the driver and the model.
@@ -191,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b = F.col("a"), F.col("b")
     g2 = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
-    best = counts.where((a >= support) & (a * n0 > b * n1)).orderBy(F.round(g2, 6).desc(), "feature").limit(features)
+    best = counts.where((a >= support) & (a * n0 > b * n1) & (g2 >= least_g2)).orderBy(F.round(g2, 6).desc(), "feature").limit(features)
     chosen_features = [r["feature"] for r in best.select("feature").collect()]
     idf = _idf(text, chosen_features)
     examples = _examples(rows, chosen_features)
