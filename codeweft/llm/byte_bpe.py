@@ -119,10 +119,11 @@ def encode(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") ->
 
         bpe = model(file)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                some = batch.slice(k, 2000)
-                got = bpe.encode_batch(some.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns, chunks.int32_lists(got)], names=[*keep, ids])
+            row = 0
+            for texts in bpe.cache.slices(batch.column(at)):
+                some = batch.slice(row, len(texts))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([*some.columns, chunks.int32_lists(*bpe.cache.arrays(texts))], names=[*keep, ids])
 
     from pyspark.sql import types as T
 
@@ -157,14 +158,16 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
 
         bpe, sha = model(file), hashlib.sha256
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                some, n, ids_sha, text_sha = batch.slice(k, 2000), [], [], []
-                for raw in bpe.encode_batch(some.column(1).to_pylist()):
-                    ids = np.frombuffer(raw, dtype="<u4").tolist()
-                    n.append(len(ids))
+            row = 0
+            for texts in bpe.cache.slices(batch.column(1)):
+                ids_sha, text_sha = [], []
+                at, every = bpe.cache.arrays(texts)
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    ids = every[a:b].tolist()
                     ids_sha.append(sha(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                     text_sha.append(sha(bpe.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(np.diff(at), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                row += len(texts)
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -35,36 +35,90 @@ def _odd(chunk: str) -> bool:
 
 
 class ChunkCache:
-    """Ids of texts, chunk by chunk; at most ``limit`` chunks stay in memory."""
+    """Ids of texts, chunk by chunk; at most ``limit`` chunks stay in memory.
 
-    def __init__(self, encode: Encode, limit: int = 300_000) -> None:
+    Arrow splits a batch of texts and finds its distinct chunks, so that Python
+    sees each once; the ids of all occurrences are gathered by numpy.
+    """
+
+    def __init__(self, encode: Encode, limit: int = 200_000) -> None:
         self.encode, self.limit = encode, limit
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def slices(self, texts, most: int = 5 << 20):
+        """Parts of an Arrow array of texts of about ``most`` bytes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield texts.slice(at, to - at)
+            at = to
+            pa.default_memory_pool().release_unused()
+
+    def arrays(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Of an Arrow array of texts, where each one's ids end, after a 0, and all ids; of a null, those of the empty text."""
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        split = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        coded = split.flatten().dictionary_encode()
+        names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        get = self.known.get
+        place = np.array([get(x, -1) for x in names], dtype=np.int64)
+        missing = np.nonzero(place < 0)[0].tolist()
+        odd = [i for i in missing if _odd(names[i])]
+        strange = np.zeros(len(texts), dtype=bool)
+        if odd:
+            bad = np.zeros(len(names), dtype=bool)
+            bad[odd] = True
+            missing = [i for i in missing if not bad[i]]
+            strange = np.logical_or.reduceat(bad[of], at[:-1])
+            place[odd] = 0
+        first, rank = np.unique(of[at[:-1]], return_inverse=True)
+        got = self.encode([" " + names[i] for i in missing])
+        place[missing] = len(self.known) + np.arange(len(missing))
+        whole = [self._apart(texts[i].as_py()) for i in np.nonzero(strange)[0].tolist()]
+        extra = [*self.encode([names[i] for i in first.tolist()]), *whole, b""]
+        n = len(self.known) + len(missing)
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in [*got, *extra]])])
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join([*got, *extra]), dtype="<u4")])
+        occurs = place[of]
+        occurs[at[:-1]] = n + rank
+        if odd:
+            occurs[np.repeat(strange, np.diff(at))] = n + len(extra) - 1
+            occurs[at[:-1][strange]] = n + len(first) + np.arange(len(whole))
+        size = (ends[1:] - ends[:-1])[occurs]
+        to = np.cumsum(size)
+        out = flat[np.repeat((ends[occurs] - to + size).astype(np.int32), size) + np.arange(to[-1], dtype=np.int32)]
+        room = min(len(missing), self.limit - len(self.known))
+        if room > 0:
+            before = len(self.known)
+            self.known.update((names[i], before + k) for k, i in enumerate(missing[:room]))
+            self.ends = ends[: len(self.known) + 1].copy()
+            self.flat = flat[: self.ends[-1]].copy()
+        return np.concatenate([[0], to[at[1:] - 1]]), out
+
+    def _apart(self, text: str | None) -> bytes:
+        """The ids of a text with white space beside a space."""
+        if not text:
+            return b""
+        first, *rest = split_chunks(text)
+        return b"".join(self.encode([first, *(" " + x for x in rest)]))
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; of a null, those of the empty text."""
-        texts = list(texts)
-        split = [t.split(" ") if t else [] for t in texts]
-        known = self.known
-        missing = set(chain.from_iterable(split)).difference(known)
-        odd = {x for x in missing if _odd(x)}
-        if odd:
-            again = [k for k, x in enumerate(split) if not odd.isdisjoint(x)]
-            for k in again:
-                split[k] = split_chunks(texts[k]) if texts[k] else []
-            missing = set(chain.from_iterable(x[1:] for x in split)).difference(known)
-        firsts = {x[0] for x in split if x}
-        added = [x for x in missing if not _odd(x)]
-        added += missing.difference(added)
-        known.update(zip(added, self.encode([" " + x for x in added]), strict=True))
-        todo = list(firsts)
-        first = dict(zip(todo, self.encode(todo), strict=True))
-        find = known.__getitem__
-        out = [b"".join([first[x[0]], *map(find, x[1:])]) if x else b"" for x in split]
-        _trim(known, added, self.limit)
-        for x in filter(_odd, added):
-            known.pop(x, None)
-        return out
+        """The ids of each text as bytes."""
+        import pyarrow as pa
+
+        at, ids = self.arrays(pa.array(list(texts), pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _trim(known: dict[str, bytes], added: list[str], limit: int) -> None:
@@ -80,7 +134,7 @@ class PieceCache:
     versions, go to ``whole`` if there is one.
     """
 
-    def __init__(self, pattern: str, encode: Encode, limit: int = 300_000, whole: Encode | None = None) -> None:
+    def __init__(self, pattern: str, encode: Encode, limit: int = 200_000, whole: Encode | None = None) -> None:
         import regex
 
         self.find, self.encode, self.limit, self.whole = regex.compile(pattern).findall, encode, limit, whole
@@ -112,12 +166,9 @@ class PieceCache:
         return out
 
 
-def int32_lists(ids: list[bytes]):
-    """An Arrow array of int32 lists over the bytes of each."""
+def int32_lists(at: np.ndarray, ids: np.ndarray):
+    """An Arrow array of int32 lists: the ids up to each end."""
     import pyarrow as pa
 
-    sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-    offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+    values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids, dtype="<u4"))])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)

@@ -60,7 +60,6 @@ def tokenise(docs: DataFrame, file: str, end_id: int = 0, partitions: int | None
     """Ids of each text with ``end_id`` after them, in parts that ascend by doc_id."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator) -> Iterator:
         import os
@@ -72,16 +71,18 @@ def tokenise(docs: DataFrame, file: str, end_id: int = 0, partitions: int | None
 
         cache, start, part = library_encoder(file), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                some = batch.slice(k, 2000)
-                ids = [x + end for x in cache.ids(some.column(1).to_pylist())]
-                sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-                before = start + np.cumsum(sizes) - sizes
-                start += int(sizes.sum())
+            row = 0
+            for some in cache.slices(batch.column(1)):
+                at, ids = cache.arrays(some)
+                ids = np.insert(ids, at[1:], end_id)
+                at = at + np.arange(len(at))
+                sizes = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(sizes), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(before), chunks.int32_lists(ids)],
+                    [batch.column(0).slice(row, len(some)), pa.array(sizes), pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(start + at[:-1]), chunks.int32_lists(at, ids)],
                     names=["doc_id", "n_tokens", "part", "part_start", "ids"],
                 )
+                row += len(some)
+                start += int(at[-1])
 
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = ranged.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
