@@ -143,7 +143,9 @@ def decode(df: DataFrame, file: str, ids: str = "ids", out: str = "decoded") ->
 
         bpe = model(file)
         for batch in batches:
-            got = [bpe.decode(x or []) for x in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ends, every = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+            got = [bpe.decode(every[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*keep, out])
 
     return common.map_arrow(df.select(*[F.col(f"`{c}`") for c in keep]), run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.BinaryType())]))

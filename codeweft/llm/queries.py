@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_dedup
 from .byte_bpe import op5_byte_bpe
 from .chat import op7_chat
+from .decontaminate import op8_decontaminate
 from .html_text import op9_html_text
 from .lm import op10_lm_score
 from .quality import op6_quality
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op8_decontaminate": op8_decontaminate,
     "op9_html_text": op9_html_text,
     "op10_lm_score": op10_lm_score,
 }

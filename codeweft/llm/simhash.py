@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -244,6 +244,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id",
     return common.join_hot(fps, common.written(spark, named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """One row of each group of ``docs``: that of the least doc_id, and of rows with one id the first by text.
+
+    Rows without an id can't be the least of their group and are kept.
+    """
+    found = near_duplicates(docs, distance)
+    found = common.written(docs.sparkSession, found.where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "groups")
+    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(losers, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    place = common.unused(docs, "place")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return kept.where("doc_id IS NOT NULL").withColumn(place, first).where(F.col(place) == 1).drop(place).unionByName(kept.where("doc_id IS NULL"))
+
+
 def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

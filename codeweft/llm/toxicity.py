@@ -171,7 +171,7 @@ def build(features: list[str], idf: np.ndarray, examples: list[tuple[int, int, d
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 256, support: int = 4, least_g2: float = 20.0, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 256, support: int = 4, least_g2: float = 15.0, k: int = 15) -> Model:
     """Learn from rows of ``labels`` (doc_id, toxic) outside the held-out fold.
 
     ``sample`` and ``features`` bound what reaches the driver and the model.
