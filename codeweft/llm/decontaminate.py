@@ -170,6 +170,8 @@ class Index:
         ids = np.concatenate(rows)
         starts = np.array(starts)
         start, item = self.candidates(ids)
+        if not len(start):
+            return [[] for _ in texts]
         text = np.searchsorted(starts, start, side="right") - 1
         order = np.lexsort((start, item, text))
         start, item, text = start[order], item[order], text[order]
