@@ -29,25 +29,23 @@ def split_chunks(text: str) -> list[str]:
     return [first, *(x[1:] for x in rest)]
 
 
-def _odd(chunk: str) -> bool:
-    """Whether the cut at a space beside ``chunk`` may be beside more white space."""
-    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
-
-
 class ChunkCache:
-    """Ids of texts, chunk by chunk; at most ``limit`` chunks stay in memory.
+    """Ids of texts, chunk by chunk; at most ``limit`` chunks stay in memory, in Arrow and numpy arrays.
 
-    Arrow splits a batch of texts and finds its distinct chunks, so that Python
-    sees each once; the ids of all occurrences are gathered by numpy.
+    Arrow splits a batch of texts, finds its distinct chunks and which of them are
+    known, so that Python sees the others alone; the ids of all occurrences are
+    gathered by numpy.
     """
 
-    def __init__(self, encode: Encode, limit: int = 200_000) -> None:
+    def __init__(self, encode: Encode, limit: int = 500_000) -> None:
+        import pyarrow as pa
+
         self.encode, self.limit = encode, limit
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.flat = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
-    def slices(self, texts, most: int = 5 << 20):
+    def slices(self, texts, most: int = 8 << 20):
         """Parts of an Arrow array of texts of about ``most`` bytes."""
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -62,6 +60,7 @@ class ChunkCache:
 
     def arrays(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Of an Arrow array of texts, where each one's ids end, after a 0, and all ids; of a null, those of the empty text."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         if not len(texts):
@@ -70,23 +69,24 @@ class ChunkCache:
         at = split.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         coded = split.flatten().dictionary_encode()
-        names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        get = self.known.get
-        place = np.array([get(x, -1) for x in names], dtype=np.int64)
-        missing = np.nonzero(place < 0)[0].tolist()
-        odd = [i for i in missing if _odd(names[i])]
+        chunk, of = coded.dictionary, coded.indices.to_numpy()
+        place = pc.fill_null(pc.index_in(chunk, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.nonzero(place < 0)[0]
+        names = chunk.take(pa.array(missing)).to_pylist()
+        odd = [k for k, x in enumerate(names) if not x or x[0].isspace() or x[-1].isspace()]
         strange = np.zeros(len(texts), dtype=bool)
-        if odd:
-            bad = np.zeros(len(names), dtype=bool)
-            bad[odd] = True
-            missing = [i for i in missing if not bad[i]]
+        if odd:  # white space on both sides of a cut
+            bad = np.zeros(len(chunk), dtype=bool)
+            bad[missing[odd]] = True
+            place[missing[odd]] = 0
+            missing = missing[~bad[missing]]
+            names = chunk.take(pa.array(missing)).to_pylist()
             strange = np.logical_or.reduceat(bad[of], at[:-1])
-            place[odd] = 0
         first, rank = np.unique(of[at[:-1]], return_inverse=True)
-        got = self.encode([" " + names[i] for i in missing])
+        got = self.encode([" " + x for x in names])
         place[missing] = len(self.known) + np.arange(len(missing))
         whole = [self._apart(texts[i].as_py()) for i in np.nonzero(strange)[0].tolist()]
-        extra = [*self.encode([names[i] for i in first.tolist()]), *whole, b""]
+        extra = [*self.encode(chunk.take(pa.array(first)).to_pylist()), *whole, b""]
         n = len(self.known) + len(missing)
         ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) // 4 for x in [*got, *extra]])])
         flat = np.concatenate([self.flat, np.frombuffer(b"".join([*got, *extra]), dtype="<u4")])
@@ -100,8 +100,7 @@ class ChunkCache:
         out = flat[np.repeat((ends[occurs] - to + size).astype(np.int32), size) + np.arange(to[-1], dtype=np.int32)]
         room = min(len(missing), self.limit - len(self.known))
         if room > 0:
-            before = len(self.known)
-            self.known.update((names[i], before + k) for k, i in enumerate(missing[:room]))
+            self.known = pa.concat_arrays([self.known, chunk.take(pa.array(missing[:room]))])
             self.ends = ends[: len(self.known) + 1].copy()
             self.flat = flat[: self.ends[-1]].copy()
         return np.concatenate([[0], to[at[1:] - 1]]), out
@@ -134,34 +133,41 @@ class PieceCache:
     versions, go to ``whole`` if there is one.
     """
 
-    def __init__(self, pattern: str, encode: Encode, limit: int = 200_000, whole: Encode | None = None) -> None:
+    def __init__(self, pattern: str, encode: Encode, limit: int = 400_000, whole: Encode | None = None) -> None:
         import regex
 
         self.find, self.encode, self.limit, self.whole = regex.compile(pattern).findall, encode, limit, whole
         self.known: dict[str, bytes] = {}
 
-    def split(self, chunk: str) -> list[str]:
-        """The pre-tokens of a chunk; a word, and one with a mark after it, need no pattern."""
-        word = chunk[1:]
-        if chunk[:1] == " ":
-            if word.isalpha():
-                return [chunk]
-            if word[-1:] in _MARKS and word[:-1].isalpha():
-                return [chunk[:-1], word[-1]]
-        return self.find(chunk)
+    def split(self, chunks: list[str]) -> list:
+        """The pre-tokens of each chunk; a word, and one with a mark after it, need no pattern."""
+        find, marks = self.find, _MARKS
+        return [
+            (t,) if t[:1] == " " and (w := t[1:]).isalpha() else (t[:-1], t[-1]) if t[:1] == " " and w[-1:] in marks and w[:-1].isalpha() else find(t)
+            for t in chunks
+        ]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
         if self.whole:
-            odd = [k for k, t in enumerate(texts) if not t.isascii() and _BEYOND.search(t)]
-            for k, ids in zip(odd, self.whole([texts[k] for k in odd]) if odd else [], strict=True):
-                out[k] = ids
-        split = [self.split(t) if o is None else () for t, o in zip(texts, out, strict=True)]
+            beyond = _BEYOND.search
+            odd = [k for k, t in enumerate(texts) if not t.isascii() and beyond(t)]
+            if odd:
+                out: list = [None] * len(texts)
+                for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
+                    out[k] = ids
+                rest = [k for k, x in enumerate(out) if x is None]
+                for k, ids in zip(rest, self._pieces([texts[k] for k in rest]), strict=True):
+                    out[k] = ids
+                return out
+        return self._pieces(texts)
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        split = self.split(texts)
         known = self.known
         todo = list(set(chain.from_iterable(split)).difference(known))
         known.update(zip(todo, self.encode(todo), strict=True))
         find = known.__getitem__
-        out = [b"".join(map(find, x)) if o is None else o for x, o in zip(split, out, strict=True)]
+        out = [find(x[0]) if len(x) == 1 else b"".join(map(find, x)) for x in split]
         _trim(known, todo, self.limit)
         return out
 
