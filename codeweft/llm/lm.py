@@ -77,6 +77,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return common.map_arrow(docs.select("text", "training"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """A count that at most ``most`` words reach, from a histogram of a thousand bins or so."""
+    step = 16
+    bins = counts.where("c > 1").groupBy(F.floor(F.log2("c") * step).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("bin")).collect()
+    least, n = 1 << 62, 0
+    for b in bins:
+        n += b["n"]
+        if n > most:
+            break
+        least = b["c"]
+    return least
+
+
 def fitted(pieces: Pieces, counts: DataFrame, prior: np.ndarray) -> Pieces:
     """``pieces`` after one step of expectation maximisation over ``counts``; ``prior``: the existing probabilities."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
@@ -126,7 +139,7 @@ def score(docs: DataFrame, file: str, held_out: int = HELD_OUT, frequent: int =
 
     existing = vocabulary(file)
     pieces, prior = existing, np.exp(existing.log_p)
-    top = common.written(spark, counts.orderBy(F.col("c").desc(), "word").limit(frequent).repartition(max(2, spark.sparkContext.defaultParallelism)), "frequent")
+    top = common.written(spark, counts.where(F.col("c") >= _least_count(counts, frequent)), "frequent")
     for _ in range(steps):
         pieces = fitted(pieces, top, prior)
     pieces = fitted(pieces, counts, prior)

@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.fold("doc_id") != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = common.sampled(known, "doc_id", sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = common.written(docs.sparkSession, text.join(F.broadcast(chosen), "doc_id"), "labelled")
 
