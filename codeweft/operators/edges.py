@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schema import EDGE_TYPES
 
-_RANK = F.when(F.col("confidence") == "exact", 2).when(F.col("confidence") == "heuristic", 1).otherwise(0)
+
+def _rank() -> Column:
+    return F.when(F.col("confidence") == "exact", 2).when(F.col("confidence") == "heuristic", 1).otherwise(0)
 
 
 def fold(sites: DataFrame, per_type: bool = True) -> DataFrame:
@@ -21,7 +23,7 @@ def fold(sites: DataFrame, per_type: bool = True) -> DataFrame:
     out = sites.groupBy(keys).agg(
         F.min_by("edge_type", F.struct(F.array_position(F.array(*map(F.lit, EDGE_TYPES)), F.col("edge_type")), "seq")).alias("type"),
         F.array_sort(F.collect_set("edge_type")).alias("types"), F.count("*").alias("count"), F.array_sort(F.collect_set("line")).alias("lines"),
-        F.max_by("confidence", _RANK).alias("confidence"), F.array_sort(F.collect_set("call_type")).alias("call_types"), F.array_sort(F.collect_set("alias")).alias("aliases"), site.alias("_sites"),
+        F.max_by("confidence", _rank()).alias("confidence"), F.array_sort(F.collect_set("call_type")).alias("call_types"), F.array_sort(F.collect_set("alias")).alias("aliases"), site.alias("_sites"),
     )
     return out.select("source", "target", "type", "types", "count", "lines", "confidence", "call_types", "aliases", F.col("_sites.control").alias("controls"), F.col("_sites.certain").alias("certains"))
 
