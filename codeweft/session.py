@@ -10,11 +10,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the session's Python workers; once an application."""
+    """Make this package importable in the session's Python workers; once an application.
+
+    Rows may be whole documents, so Arrow batches of the default 10,000 rows become
+    ones of 2,000; any other setting of the session stays.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
