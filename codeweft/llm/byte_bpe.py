@@ -108,9 +108,12 @@ def model(file: str) -> ByteBPE:
     return _models[file]
 
 
-def encode(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids``, the array of each text's ids; no shuffle."""
-    keep = [c for c in docs.columns if c.lower() != ids.lower()]
+def encode(docs: DataFrame, file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with ``ids``, the array of each text's ids, and with ``decoded``, their bytes, if it is named; no shuffle.
+
+    Both in one pass share a worker's model.
+    """
+    keep = [c for c in docs.columns if c.lower() not in (ids.lower(), (decoded or ids).lower())]
     fields = [docs.schema[c] for c in keep]
     at = [c.lower() for c in keep].index(text.lower())
 
@@ -123,11 +126,15 @@ def encode(docs: DataFrame, file: str, text: str = "text", ids: str = "ids") ->
             for texts in bpe.cache.slices(batch.column(at)):
                 some = batch.slice(row, len(texts))
                 row += len(texts)
-                yield pa.RecordBatch.from_arrays([*some.columns, chunks.int32_lists(*bpe.cache.arrays(texts))], names=[*keep, ids])
+                ends, every = bpe.cache.arrays(texts)
+                new = [chunks.int32_lists(ends, every)]
+                if decoded:
+                    new.append(pa.array([bpe.decode(every[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*some.columns, *new], names=[*keep, ids, *([decoded] if decoded else [])])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
     return common.map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
 
 

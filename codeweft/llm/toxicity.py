@@ -125,7 +125,7 @@ class Model:
             return self.empty_rate, []
         key = tuple(sorted(counts.items()))
         if key not in self.found:
-            if len(self.found) >= 100_000:
+            if len(self.found) >= 20_000:
                 self.found.clear()
             self.found[key] = self._score(counts)
         return self.found[key]

@@ -45,7 +45,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, file, ids="ids"), file, ids="ids", out="decoded")
+    decoded = byte_bpe.encode(docs, file, ids="ids", decoded="decoded")
     text = F.when(F.col("text").isNotNull(), F.decode("decoded", "UTF-8")).alias("text")
     return decoded.select(*[text if c == "text" else c for c in docs.columns], F.size("ids").cast("long").alias("n_tokens"), "ids")
 
