@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from . import chunks, common
 
+#: Bytes of text that a worker has in hand at once.
+SLICE = 8 << 20
+
 
 def read_ranks(file: str) -> list[bytes]:
     """The pieces of a rank file, each at its rank."""
@@ -123,7 +126,7 @@ def encode(docs: DataFrame, file: str, text: str = "text", ids: str = "ids", dec
         bpe = model(file)
         for batch in batches:
             row = 0
-            for texts in bpe.cache.slices(batch.column(at)):
+            for texts in bpe.cache.slices(batch.column(at), SLICE):
                 some = batch.slice(row, len(texts))
                 row += len(texts)
                 ends, every = bpe.cache.arrays(texts)
@@ -168,7 +171,7 @@ def round_trip(docs: DataFrame, file: str) -> DataFrame:
         bpe, sha = model(file), hashlib.sha256
         for batch in batches:
             row = 0
-            for texts in bpe.cache.slices(batch.column(1)):
+            for texts in bpe.cache.slices(batch.column(1), SLICE):
                 ids_sha, text_sha = [], []
                 at, every = bpe.cache.arrays(texts)
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -78,9 +78,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` in workers that can import this package."""
+    """``df.mapInArrow(run, schema)`` in workers that can import this package and give freed memory back after each partition.
+
+    ``run`` gets its columns by position: their names are plain there, for those with dots can't be passed.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    if any("." in c for c in df.columns):
+        df = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+    def tidy(batches):
+        yield from run(batches)
+
+    return df.mapInArrow(tidy, schema)
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def fold(column: str, modulus: int = 5) -> Column:

@@ -222,7 +222,8 @@ def find(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, repeats: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, all columns kept; no shuffle."""
-    at = [c.lower() for c in docs.columns].index(text.lower())
+    names = docs.columns
+    at = [c.lower() for c in names].index(text.lower())
     for items in _blocks(benchmark, block):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, repeats))
 
@@ -232,7 +233,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int
             for batch in batches:
                 for k in range(0, batch.num_rows, 500):
                     some = batch.slice(k, 500)
-                    yield some.filter(pa.array([not x for x in shared.value.search(some.column(at).to_pylist())], pa.bool_()))
+                    kept = some.filter(pa.array([not x for x in shared.value.search(some.column(at).to_pylist())], pa.bool_()))
+                    yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
         docs = common.map_arrow(docs, run, T.StructType(docs.schema.fields))
     return docs

@@ -41,29 +41,33 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     return counts.join(totals, "host").where(F.col("n_pages") > F.lit(float(ratio)) * F.col("n_host"))
 
 
-def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = 200_000, salts: int = 64) -> DataFrame:
-    """``docs`` with the boilerplate lines gone from ``text``, and n_lines and n_dropped."""
+def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = 200_000, salts: int = 64, counts: bool = True) -> DataFrame:
+    """``docs`` with the boilerplate lines gone from ``text`` and, with ``counts``, n_lines and n_dropped."""
     spark = docs.sparkSession
     bad = common.written(spark, boilerplate(docs, host, text, ratio, min_pages).select("host", "line"), "boilerplate")
     few = bad.count() <= broadcast_rows
-    lists = bad.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_bad"))
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "_host", "_salt", "_bad")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("_host"))
+    site, listed, salt, dropped, kept = (common.unused(docs, x) for x in ("_host", "_bad", "_salt", "_hit", "_kept"))
+    lists = bad.groupBy(F.col("host").alias(site)).agg(F.collect_list("line").alias(listed))
+    keep = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
+    said = F.col(f"`{text}`")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias(site))
     if few:
-        rows = rows.join(F.broadcast(lists), "_host", "left")
+        rows = rows.join(F.broadcast(lists), site, "left")
     else:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
-        lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.join(lists, ["_host", "_salt"], "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    hit = F.array_intersect(_hashes(F.col(f"`{text}`")), F.col("_bad"))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_hit"), F.xxhash64(F.trim(x))))
-    rows = rows.withColumn("_hit", hit).withColumn("_kept", F.when(F.size("_hit") > 0, kept).otherwise(lines))
-    new = F.when(F.col(f"`{text}`").isNull(), F.lit(None)).when(F.size("_hit") > 0, F.array_join("_kept", "\n")).otherwise(F.col(f"`{text}`"))
-    n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines))
-    n_kept = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("_kept"))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(said), F.lit(salts)).cast("int"))
+        lists = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.join(lists, [site, salt], "left")
+    lines = F.split(said, "\n")
+    rows = rows.withColumn(dropped, F.array_intersect(_hashes(said), F.col(listed)))
+    rest = F.filter(lines, lambda x: ~F.array_contains(F.col(dropped), F.xxhash64(F.trim(x))))
+    rows = rows.withColumn(kept, F.when(F.size(dropped) > 0, rest).otherwise(lines))
+    new = F.when(said.isNull(), F.lit(None)).when(F.size(dropped) > 0, F.array_join(kept, "\n")).otherwise(said)
     out = [new.alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in keep]
-    return rows.select(*out, n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped"))
+    if counts:
+        n_lines = F.when(said.isNull(), 0).otherwise(F.size(lines))
+        n_kept = F.when(said.isNull(), 0).otherwise(F.size(kept))
+        out += [n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")]
+    return rows.select(*out)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

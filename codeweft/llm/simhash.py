@@ -252,7 +252,7 @@ def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     found = near_duplicates(docs, distance)
     found = common.written(docs.sparkSession, found.where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "groups")
     losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(losers, "doc_id", "left_anti").select(*common.quoted(docs))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     place = common.unused(docs, "place")

@@ -244,9 +244,8 @@ def _examples(rows: DataFrame, features: list[str]) -> list[tuple[int, int, dict
     return sorted(((r["doc_id"], int(r["toxic"] > 0), dict(zip(r["f"], r["n"], strict=True))) for r in got), key=lambda e: (e[0], sorted(e[2].items())))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with toxicity, toxic (at ``threshold`` or more) and evidence, the ids of the examples."""
-    new = ("toxicity", "toxic", "evidence")
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5, new: tuple[str, str, str] = ("toxicity", "toxic", "evidence")) -> DataFrame:
+    """``docs`` with toxicity, toxic (at ``threshold`` or more) and evidence, the ids of the examples, by the names in ``new``."""
     keep = [c for c in docs.columns if c.lower() not in new]
     at = [c.lower() for c in keep].index(text.lower())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -261,7 +260,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             s = [x for x, _ in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([x >= threshold for x in s], pa.bool_()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=[*keep, *new])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.BooleanType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(docs.schema[c] for c in keep), *map(T.StructField, new, (T.DoubleType(), T.BooleanType(), T.ArrayType(T.LongType())))])
     return common.map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)
 
 

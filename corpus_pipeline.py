@@ -6,7 +6,8 @@ shared folder and reads it again as the next one's documents.
 
 Defined cases: each stage keeps those of its operator; empty documents are kept by
 every stage, as one group of near duplicates; rows without a doc_id are never
-dropped as duplicates; an empty table gives an empty result.
+dropped as duplicates; an empty table gives an empty result; other columns pass
+unchanged, but for those named ids and n_tokens, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from codeweft.llm import byte_bpe, common, decontaminate, line_dedup, simhash, t
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under one half."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(docs.columns)
+    new = tuple(common.unused(docs, x) for x in ("toxicity", "toxic", "evidence"))
+    return toxicity.score(docs, model, new=new).where(~F.col(new[1])).select(*common.quoted(docs))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their sources' boilerplate lines; n_chars follows the text."""
-    return line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cleaned = line_dedup.drop_lines(docs, counts=False)
+    return cleaned.select(*[F.length("text").cast("long").alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +48,11 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.encode(docs, file, ids="ids", decoded="decoded")
-    text = F.when(F.col("text").isNotNull(), F.decode("decoded", "UTF-8")).alias("text")
-    return decoded.select(*[text if c == "text" else c for c in docs.columns], F.size("ids").cast("long").alias("n_tokens"), "ids")
+    ids, decoded = common.unused(docs, "ids"), common.unused(docs, "decoded")
+    encoded = byte_bpe.encode(docs, file, ids=ids, decoded=decoded)
+    text = F.when(F.col("text").isNotNull(), F.decode(decoded, "UTF-8"))
+    kept = [text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    return encoded.select(*kept, F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
