@@ -244,14 +244,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4, doc_id: str = "doc_id",
     return common.join_hot(fps, common.written(spark, named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row of each group of ``docs``: that of the least doc_id, and of rows with one id the first by text.
 
-    Rows without an id can't be the least of their group and are kept.
+    Rows without an id can't be the least of their group and are kept. The ids to
+    drop are broadcast up to ``broadcast_rows`` of them, so that texts stay where they
+    are; beyond that they are joined by a shuffle.
     """
     found = near_duplicates(docs, distance)
     found = common.written(docs.sparkSession, found.where(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "groups")
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    losers = common.written(docs.sparkSession, found.where("doc_id <> component_id").select("doc_id").distinct(), "losers")
+    losers = F.broadcast(losers) if losers.count() <= broadcast_rows else losers
     kept = docs.join(losers, "doc_id", "left_anti").select(*common.quoted(docs))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept

@@ -117,8 +117,8 @@ def test_op4_on_near_copies_and_hot_groups(spark, tmp_path):
 def test_keep_one_either_way(spark):
     docs = helpers.odd(spark)
     want = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    for _ in range(1):
-        kept = simhash.keep_one(docs)
+    for most in (1_000_000, 0):
+        kept = simhash.keep_one(docs, broadcast_rows=most)
         rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
         assert kept.columns == docs.columns and set(rows) <= set(want)
         ids = [i for i, _ in rows]
