@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import chunks, common
 
 #: Bytes of text that a worker has in hand at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 def read_ranks(file: str) -> list[bytes]:

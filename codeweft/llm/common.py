@@ -88,10 +88,25 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 
     def tidy(batches):
         yield from run(batches)
+        release()
 
     return df.mapInArrow(tidy, schema)
 
 
+def release() -> None:
+    """Give what this process has freed back to the system, where its C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def quoted(df: DataFrame) -> list[Column]:
     """The columns of ``df``, whatever their names."""
     return [F.col(f"`{c}`") for c in df.columns]
