@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
-GUARDS = ("if", "elif", "else", "for", "for-else", "while", "while-else", "except", "try-else", "case", "and", "or", "ternary", "comprehension", "comprehension-if", "type-checking")
-LOOPS = ("for", "while", "comprehension", "comprehension-if", "for-else", "while-else")
-EXCLUDED_DIRS = (".git", ".hg", ".svn", ".venv", "venv", "env", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "build", "dist", ".eggs", "site-packages")
-TEST_PATH = r"(^|/)(tests?|testing)/|(^|/)(test_[^/]*|[^/]*_test|conftest)\.py$"
+# The tokens of a call's control breadcrumb and which of them guard or repeat it.
+GUARDS = ("if", "if:elif", "if:else", "try:else", "try:except", "for", "for:else", "while", "while:else", "match:case", "comprehension", "comprehension:if", "bool", "ternary", "lambda", "type-checking")
+LOOPS = ("for", "while", "while:test", "comprehension", "comprehension:if", "comprehension:test")
+WITHIN_STATEMENT = ("bool", "ternary", "lambda", "comprehension", "comprehension:if", "comprehension:test", "assert")
+ERROR_PATH = ("try:except", "try:finally")
+
+# Folders that no scan enters, and globs that no question sees.
+EXCLUDED_DIRS = (".git", ".hg", ".svn", ".venv", "venv", "env", ".env", "node_modules", "__pycache__", "build", "dist", "site-packages", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".eggs")
+EXCLUDED_GLOBS = (".pytest_tmp/**", "scratch/**", "**/__pycache__/**")
+
+# What a path with tests looks like, and a file that a test runner collects.
+TEST_PATH = r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.[^/]*$|(^|/)tests?([-_]v\d+)?\.[^/]*$"
 TEST_FILE = r"^(test_.*|.*_test)\.py$"
-#: (role, decorator pattern, name pattern, file pattern): the first rule whose given patterns all match.
+
+#: (role, decorator, name pattern, file pattern): the first rule all of whose given parts match.
+#: A dotted decorator is also known by its last segment alone.
+# Fixed values.
 ROLE_RULES: list[tuple[str, str | None, str | None, str | None]] = [
     ("test", None, r"^test_", TEST_PATH),
-    ("fixture", r"(^|\.)fixture$", None, None),
-    ("route", r"\.(route|get|post|put|patch|delete|websocket)$", None, None),
-    ("command", r"(^|\.)(command|group|callback)$", None, None),
-    ("task", r"(^|\.)(task|shared_task|job)$", None, None),
-    ("handler", r"(^|\.)(on_event|listener|receiver|subscribe|handler)$", None, None),
-    ("property", r"^(property|cached_property|functools\.cached_property)$|\.(setter|deleter)$", None, None),
-    ("override", r"(^|\.)(override|overload|abstractmethod)$", None, None),
-    ("validator", r"(^|\.)(validator|field_validator|root_validator|model_validator)$", None, None),
-    ("dunder", None, r"^__\w+__$", None),
-    ("main", None, r"^(main|cli|run)$", None),
-    ("setup", None, r"^(setUp|tearDown|setup_|teardown_)", None),
-    ("visitor", None, r"^visit_", None),
-    ("migration", None, None, r"(^|/)migrations/"),
-    ("script", None, None, r"(^|/)(scripts|bin)/"),
+    ("fixture", "pytest.fixture", None, None),
+    ("fixture", None, r"^(setup|teardown)(_module|_function|_class|_method)?$", TEST_PATH),
+    ("fixture", None, r"^(setUp|tearDown)(Class|Module)?$", TEST_PATH),
+    ("dunder", None, r"^__[a-z0-9_]+__$", None),
+    ("property", "property", None, None),
+    ("property", "cached_property", None, None),
+    ("route", "app.route", None, None),
+    ("route", "router.get", None, None),
+    ("route", "router.post", None, None),
+    ("route", "router.put", None, None),
+    ("route", "router.delete", None, None),
+    ("route", "app.get", None, None),
+    ("route", "app.post", None, None),
+    ("route", "app.put", None, None),
+    ("route", "app.patch", None, None),
+    ("route", "app.delete", None, None),
+    ("route", "app.websocket", None, None),
+    ("route", "app.middleware", None, None),
+    ("command", "click.command", None, None),
+    ("command", "click.group", None, None),
+    ("command", "app.command", None, None),
+    ("handler", "on", None, None),
+    ("task", "work", None, None),
+    ("task", "app.task", None, None),
+    ("task", "shared_task", None, None),
 ]
-#: Effects as bits, and the dotted prefixes of external targets that have them.
-EFFECTS = {"fs": 1, "net": 2, "process": 4, "db": 8, "env": 16, "time": 32, "random": 64, "log": 128}
+
+# Effects as bits, and the dotted prefixes of external targets that have them.
+EFFECTS = {"filesystem": 1, "network": 2, "process": 4, "env": 8, "console": 16, "nondeterminism": 32}
 EFFECT_RULES: list[tuple[str, str]] = [
-    ("os.path", "fs"), ("os.remove", "fs"), ("os.mkdir", "fs"), ("os.makedirs", "fs"), ("os.environ", "env"), ("os.getenv", "env"), ("os.system", "process"), ("shutil", "fs"), ("pathlib", "fs"), ("tempfile", "fs"), ("open", "fs"),
-    ("socket", "net"), ("http", "net"), ("urllib", "net"), ("requests", "net"), ("httpx", "net"), ("aiohttp", "net"), ("subprocess", "process"), ("multiprocessing", "process"), ("signal", "process"),
-    ("sqlite3", "db"), ("sqlalchemy", "db"), ("psycopg2", "db"), ("pymongo", "db"), ("redis", "db"), ("time", "time"), ("datetime", "time"), ("random", "random"), ("secrets", "random"), ("uuid", "random"), ("logging", "log"), ("print", "log"), ("warnings", "log"),
+    ("open", "filesystem"), ("pathlib", "filesystem"), ("shutil", "filesystem"), ("socket", "network"), ("requests", "network"), ("httpx", "network"), ("urllib", "network"), ("subprocess", "process"),
+    ("os.environ", "env"), ("print", "console"), ("logging", "console"), ("random", "nondeterminism"), ("time", "nondeterminism"), ("datetime.datetime", "nondeterminism"), ("datetime.now", "nondeterminism"),
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vocab import ERROR_PATH, GUARDS, LOOPS
 from ..schema import EDGE_TYPES
 
 
@@ -94,12 +95,10 @@ def guarded(control: Column | str = "control") -> Column:
 
 def control_tags(sites: DataFrame, keys: tuple[str, ...] = ("source", "target")) -> DataFrame:
     """For each pair: guard (unguarded, guarded, mixed), looped by any site, the rest only if every site is."""
-    from ..functions.vocab import GUARDS, LOOPS
-
     known = sites.where(F.col("control").isNotNull())
     guard = F.exists("control", lambda x: x.isin(*GUARDS))
     loop = F.exists("control", lambda x: x.isin(*LOOPS))
-    error = F.exists("control", lambda x: x.isin("except", "finally"))
+    error = F.exists("control", lambda x: x.isin(*ERROR_PATH))
     checking = F.array_contains("control", "type-checking")
     tags = known.groupBy(*keys).agg(F.bool_or(guard).alias("_any"), F.bool_and(guard).alias("_all"), F.bool_or(loop).alias("looped"), F.bool_and(loop).alias("all_looped"), F.bool_and(error).alias("error_path"), F.bool_and(checking).alias("type_checking_only"), F.bool_and("certain").alias("certain"), F.count("*").alias("sites"))
     return tags.select(*keys, F.when(F.col("_all"), "guarded").when(F.col("_any"), "mixed").otherwise("unguarded").alias("guard"), "looped", "all_looped", "error_path", "type_checking_only", "certain", "sites")

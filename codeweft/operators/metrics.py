@@ -65,8 +65,10 @@ def coverage_total(sites: DataFrame, unresolved: DataFrame) -> DataFrame:
     return yes.join(no).withColumn("total", F.col("in_project") + F.col("out_of_project") + F.col("unknown"))
 
 
-def _decorated(pattern: str) -> Column:
-    return F.exists("decorators", lambda d: text.decorator_head(d).rlike(pattern))
+def _decorated(name: str) -> Column:
+    """Whether a decorator has the name, or the last segment of a dotted one alone."""
+    names = list(dict.fromkeys([name, name.rsplit(".", 1)[-1]]))
+    return F.exists("decorators", lambda d: text.decorator_head(d).isin(names))
 
 
 def roles(nodes: DataFrame, rules: list[tuple] = ROLE_RULES) -> DataFrame:

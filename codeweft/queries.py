@@ -333,11 +333,11 @@ def ga10_roles(spark: SparkSession, d: str) -> DataFrame:
     return metrics.roles(P.nodes(spark, d)).select("id", "role")
 
 
-@query("ga11_effects", f"WITH RECURSIVE {C}, {ALL}, d AS (SELECT id, CASE id % 40 WHEN 0 THEN {EFFECTS['fs']} WHEN 1 THEN {EFFECTS['net']} WHEN 2 THEN {EFFECTS['db']} ELSE 0 END AS mask FROM n), r AS (SELECT source, target FROM calls UNION SELECT r.source, c.target FROM r JOIN calls c ON r.target = c.source) SELECT id, (d.mask | coalesce((SELECT bit_or(x.mask) FROM r JOIN d x ON x.id = r.target WHERE r.source = d.id), 0))::INTEGER AS mask FROM d")
+@query("ga11_effects", f"WITH RECURSIVE {C}, {ALL}, d AS (SELECT id, CASE id % 40 WHEN 0 THEN {EFFECTS['filesystem']} WHEN 1 THEN {EFFECTS['network']} WHEN 2 THEN {EFFECTS['process']} ELSE 0 END AS mask FROM n), r AS (SELECT source, target FROM calls UNION SELECT r.source, c.target FROM r JOIN calls c ON r.target = c.source) SELECT id, (d.mask | coalesce((SELECT bit_or(x.mask) FROM r JOIN d x ON x.id = r.target WHERE r.source = d.id), 0))::INTEGER AS mask FROM d")
 def ga11_effects(spark: SparkSession, d: str) -> DataFrame:
     c = P.calls(spark, d)
     k = F.col("id") % 40
-    target = F.when(k == 0, "shutil.copy").when(k == 1, "requests.get").when(k == 2, "sqlite3.connect").otherwise("mymod.f")
+    target = F.when(k == 0, "shutil.copy").when(k == 1, "requests.get").when(k == 2, "subprocess.run").otherwise("mymod.f")
     direct = edges.call_nodes(P.nodes(spark, d).limit(0), c).select("id", metrics.effect_mask(target).alias("mask"))
     return graph.propagate(direct, c)
 

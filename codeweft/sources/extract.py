@@ -12,13 +12,13 @@ import inspect
 import re
 from collections.abc import Iterator
 
-from ..functions.vocab import GUARDS
+from ..functions.vocab import GUARDS, WITHIN_STATEMENT
 from .flow import certain_statements
 
 BUILTIN_LITERALS = {ast.List: "list", ast.ListComp: "list", ast.Dict: "dict", ast.DictComp: "dict", ast.Set: "set", ast.SetComp: "set", ast.Tuple: "tuple", ast.JoinedStr: "str"}
 MAX_DIAGNOSTICS = 25
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-_GUARDS = frozenset(GUARDS)
+_GUARDS = frozenset((*GUARDS, *WITHIN_STATEMENT))
 
 
 def dotted(node: ast.AST | None) -> list[str]:
@@ -165,47 +165,48 @@ class Extractor:
         block = lambda b, *token: self._block(b, scope, [*control, *token], certain)
         if isinstance(s, ast.If):
             checking = (dotted(s.test) or [""])[-1] == "TYPE_CHECKING"
-            expr(s.test)
-            token = "elif" if getattr(s, "is_elif", False) else "if"
-            block(s.body, "type-checking" if checking else token)
+            later = getattr(s, "is_elif", False)
+            expr(s.test, [*control, "if:elif"] if later else control)
+            block(s.body, "if:elif" if later else "type-checking" if checking else "if")
             if len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If) and self.lines[s.orelse[0].lineno - 1].lstrip().startswith("elif"):
                 s.orelse[0].is_elif = True
                 block(s.orelse)
             else:
-                block(s.orelse, "else")
+                block(s.orelse, "if:else")
         elif isinstance(s, (ast.For, ast.AsyncFor)):
             expr(s.iter)
             self._store(s.target, None, scope, control, certain, s.lineno)
             block(s.body, "for")
-            block(s.orelse, "for-else")
+            block(s.orelse, "for:else")
         elif isinstance(s, ast.While):
-            expr(s.test)
+            expr(s.test, [*control, "while:test"])
             block(s.body, "while")
-            block(s.orelse, "while-else")
+            block(s.orelse, "while:else")
         elif isinstance(s, (ast.Try, ast.TryStar)):
             block(s.body, "try")
             for h in s.handlers:
-                expr(h.type, [*control, "except"])
-                block(h.body, "except")
-            block(s.orelse, "try-else")
-            block(s.finalbody, "finally")
+                expr(h.type, [*control, "try:except"])
+                block(h.body, "try:except")
+            block(s.orelse, "try:else")
+            block(s.finalbody, "try:finally")
         elif isinstance(s, (ast.With, ast.AsyncWith)):
             for item in s.items:
                 expr(item.context_expr)
                 if item.optional_vars is not None:
                     self._store(item.optional_vars, item.context_expr, scope, control, certain, s.lineno)
-            block(s.body)
+            block(s.body, "with")
         elif isinstance(s, ast.Match):
             expr(s.subject)
             for case in s.cases:
-                expr(case.guard, [*control, "case"])
-                block(case.body, "case")
+                expr(case.guard)
+                block(case.body, "match:case")
         elif isinstance(s, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
             self._assignment(s, scope, control, certain)
         else:
+            inside = [*control, "assert"] if isinstance(s, ast.Assert) else control
             for child in ast.iter_child_nodes(s):
                 if isinstance(child, ast.expr):
-                    expr(child)
+                    expr(child, inside)
 
     def _assignment(self, s: ast.stmt, scope: _Scope, control: list[str], certain: bool) -> None:
         targets = s.targets if isinstance(s, ast.Assign) else [s.target]
@@ -274,7 +275,7 @@ class Extractor:
         kind = "class" if is_class else "method" if scope.kind == "class" else "function"
         own = f"{scope.id}.{s.name}"
         for d in s.decorator_list:
-            self._expression(d, scope, control, certain)
+            self._expression(d, scope, [*control, "decorator"], certain)
         if is_class:
             for b in (*s.bases, *(k.value for k in s.keywords)):
                 self._expression(b, scope, control, certain, "base")
@@ -364,17 +365,17 @@ class Extractor:
         elif isinstance(e, ast.BoolOp):
             sub(e.values[0])
             for v in e.values[1:]:
-                sub(v, "and" if isinstance(e.op, ast.And) else "or")
+                sub(v, "bool")
         elif isinstance(e, ast.IfExp):
             sub(e.test)
             sub(e.body, "ternary", position=position)
             sub(e.orelse, "ternary", position=position)
         elif isinstance(e, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
-            for k, g in enumerate(e.generators):
-                sub(g.iter, *(["comprehension"] if k else []))
+            for g in e.generators:
+                sub(g.iter)
                 for test in g.ifs:
-                    sub(test, "comprehension")
-            inner = "comprehension-if" if any(g.ifs for g in e.generators) else "comprehension"
+                    sub(test, "comprehension:test")
+            inner = "comprehension:if" if any(g.ifs for g in e.generators) else "comprehension"
             for x in (e.key, e.value) if isinstance(e, ast.DictComp) else (e.elt,):
                 sub(x, inner)
         elif isinstance(e, (ast.List, ast.Tuple, ast.Set)):
@@ -387,7 +388,7 @@ class Extractor:
             sub(e.value)
             self._store(e.target, e.value, scope, control, certain, e.lineno)
         elif isinstance(e, ast.Lambda):
-            sub(e.body)
+            sub(e.body, "lambda")
         else:
             for child in ast.iter_child_nodes(e):
                 if isinstance(child, ast.expr):

@@ -16,7 +16,7 @@ def edge_sites(spark: SparkSession, sf_dir: str, quantity: int = 49) -> DataFram
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*order))
     rows = line.select("l_orderkey", *order, "l_tax", "l_returnflag", "l_linestatus", following.alias("target")).where((F.col("l_quantity") >= quantity) & F.col("target").isNotNull() & (F.col("l_partkey") != F.col("target")))
-    guard = F.when(F.col("l_returnflag") == "R", F.array(F.lit("if"))).when(F.col("l_returnflag") == "A", F.array(F.lit("try"), F.lit("except"))).otherwise(F.array().cast("array<string>"))
+    guard = F.when(F.col("l_returnflag") == "R", F.array(F.lit("if"))).when(F.col("l_returnflag") == "A", F.array(F.lit("try:except"))).otherwise(F.array().cast("array<string>"))
     control = F.concat(guard, F.when(F.col("l_linestatus") == "O", F.array(F.lit("for"))).otherwise(F.array().cast("array<string>")))
     return rows.select(
         F.col("l_partkey").alias("source"), "target", F.when(F.col("l_linenumber") == 7, "REFERENCES").otherwise("CALLS").alias("edge_type"), F.col("l_linenumber").alias("line"), F.when(F.col("l_tax") > 0.045, "heuristic").otherwise("exact").alias("confidence"),

@@ -25,7 +25,10 @@ def test_complexity_counts_branches_of_own_body():
 
 def test_control_tokens():
     got = calls("def f():\n    if a():\n        b()\n    elif c():\n        d()\n    else:\n        e()\n    for x in g():\n        h()\n    try:\n        i()\n    except E:\n        j()\n    finally:\n        k()\n    p() and q()\n")
-    assert {k: v[6] for k, v in got.items()} == {"a": [], "b": ["if"], "c": ["else"] if got["c"][6] else [], "d": ["elif"], "e": ["else"], "g": [], "h": ["for"], "i": ["try"], "j": ["except"], "k": ["finally"], "p": [], "q": ["and"]}
+    assert {k: v[6] for k, v in got.items()} == {"a": [], "b": ["if"], "c": ["if:elif"], "d": ["if:elif"], "e": ["if:else"], "g": [], "h": ["for"], "i": ["try"], "j": ["try:except"], "k": ["try:finally"], "p": [], "q": ["bool"]}
+    got = calls("@a()\ndef f():\n    while b():\n        c()\n    else:\n        d()\n    with e() as x:\n        g()\n    match h():\n        case 1 if i():\n            j()\n    [k(y) for y in l() if m()]\n    assert n()\n    lambda: o()\n    p() if q() else r()\n")
+    want = {"a": ["decorator"], "b": ["while:test"], "c": ["while"], "d": ["while:else"], "e": [], "g": ["with"], "h": [], "i": [], "j": ["match:case"], "k": ["comprehension:if"], "l": [], "m": ["comprehension:test"], "n": ["assert"], "o": ["lambda"], "p": ["ternary"], "q": [], "r": ["ternary"]}
+    assert {k: v[6] for k, v in got.items()} == want and got["n"][7] is False
 
 
 def test_certain_means_every_way_and_no_guard():

@@ -182,3 +182,15 @@ def test_watch_stream(spark, tmp_path):
     finally:
         q.stop()
     assert seen == ["a.py", "b.py"]
+
+
+def test_roles_by_rules_in_order(spark):
+    rows = [("test_a", "tests/x.py", []), ("test_a", "src/x.py", []), ("f", "a.py", ["@pytest.fixture(scope='x')"]), ("g", "a.py", ["@fixture"]), ("setUp", "tests/a.py", []), ("__eq__", "a.py", []), ("h", "a.py", ["@router.get('/x')"]), ("i", "a.py", ["@other.get('/x')"]), ("j", "a.py", ["@get"]), ("k", "a.py", ["@staticmethod"]), ("l", "a.py", ["@x", "@on(Button)"])]
+    got = metrics.roles(frame(spark, rows, "name string, file_path string, decorators array<string>")).collect()
+    assert [r["role"] for r in got] == ["test", None, "fixture", "fixture", "fixture", "dunder", "route", None, "route", None, "handler"]
+
+
+def test_effects_of_targets(spark):
+    targets = ["open", "pathlib.Path", "pathlike", "os.environ.get", "os.path.join", "datetime.datetime", "subprocess.run", None]
+    got = frame(spark, [(t,) for t in targets], "t string").select(metrics.effect_mask("t")).collect()
+    assert [r[0] for r in got] == [1, 1, 0, 8, 0, 32, 4, 0]
