@@ -1,30 +1,31 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-:func:`fit` takes at most ``sample`` labelled rows (the least hashes of their ids),
-keeps the ``features`` words and word beginnings that go with the label most (by
-the G2 statistic, from ``least_g2`` on), counts the documents with each over the whole corpus for its
-IDF, and indexes the rows' vectors: examples lie in blocks, those of one strongest
-feature together, and each feature knows its greatest weight in every block. A query takes the blocks by their bound, the
-greatest cosine any example in them may have, and stops when no bound passes its
-k-th neighbour, so the neighbours are exact. Votes weighted by 1 / distance are
+The space is all words of the labelled examples, each weighted by (1 + ln tf) times
+its IDF over the whole corpus. :class:`Index` inverts the examples: like ones stand in
+one block, and a word that many of them hold has its list laid out block by block, with
+its greatest weight in every block. A query adds up its rarer words' lists first; what
+a block's maxima may add to that bounds the block's cosines. The best blocks are
+evaluated until there are ``k`` neighbours, then all others whose bound reaches the
+k-th of them, so the neighbours are exact. Their votes, weighted by 1 / distance, are
 calibrated by a logistic fit to the examples' own leave-one-out votes.
 
-:func:`score` is one narrow pass; the model is a few MB at most, whatever the input.
+:func:`fit` takes at most ``sample`` labelled rows and ``chars`` characters of them (by
+the least hashes of their ids), which bounds all that the driver and the workers hold;
+:func:`score` is one narrow pass.
 
-Defined cases: a null, empty or featureless text has no vector and gets the rate
-of toxic rows among such examples; without labelled rows every score is 0; a row
-labelled twice counts as toxic if either says so; null labels are ignored; of equally
-near examples those found first count, in an order that is always the same; repeated rows get equal scores;
-columns named like the results are replaced and all others kept.
+Defined cases: a null or empty text, or one without a word of the examples, has no
+vector and gets the rate of toxic rows among such examples; texts are taken whole, of
+any length; an empty table gives no rows; without labelled toxic rows every score is 0; a row
+labelled twice counts as toxic if either says so; of rows with one id the first by text is
+the example; null labels are ignored; examples as near as the k-th all vote;
+repeated rows get equal scores; columns named like the results are replaced and all others kept.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,219 +34,258 @@ from pyspark.sql import types as T
 
 from . import common
 
-_WORDS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6, 7)
-BLOCK = 64
-
-
-def features_of(text: str | None) -> set[str]:
-    """Every distinct lower-case word of ``text``, ended by $, and the words' first letters."""
-    out: set[str] = set()
-    for w in set(_WORDS.findall(text.lower())) if text else ():
-        w = w[:64]
-        out.add(w + "$")
-        out.update(w[:n] for n in STEMS if len(w) > n)
-    return out
-
-
-class Vocabulary:
-    """Counts the chosen features in a text."""
-
-    def __init__(self, features: list[str]) -> None:
-        self.at = {f: i for i, f in enumerate(features)}
-        self.heads = {f.rstrip("$")[: STEMS[0]] for f in features}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
-        heads, n, out, at = self.heads, STEMS[0], Counter(), self.at
-        for w in [w for w in _WORDS.findall(text.lower()) if w[:n] in heads]:
-            w = w[:64]
-            for f in (w + "$", *(w[:k] for k in STEMS if len(w) > k)):
-                if f in at:
-                    out[at[f]] += 1
-        return out
-
-
-@dataclass
-class Model:
-    """What :func:`score` needs. postings: for each feature, its examples in ascending order and their weights."""
-
-    features: list[str]
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    peaks: np.ndarray  # features x blocks: the greatest weight
-    empty_rate: float
-    slope: float = 1.0
-    shift: float = 0.0
-    k: int = 15
-    found: dict = field(default_factory=dict, repr=False)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The features of a text and their weights, of length 1."""
-        f = np.array(sorted(counts), dtype=np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in f.tolist()], dtype=float))) * self.idf[f] if len(f) else np.zeros(0)
-        norm = math.sqrt(float(w @ w))
-        return f, w / norm if norm else w
-
-    def nearest(self, f: np.ndarray, w: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a feature in common, without ``but``, and their cosines."""
-        bounds = w @ self.peaks[f]
-        best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
-        lists = [(*self.postings[i], x) for i, x in zip(f.tolist(), w.tolist(), strict=True)]
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best_s) == self.k and bounds[block] <= best_s[-1]:
-                break
-            acc = np.zeros(BLOCK)
-            for at, weight, x in lists:
-                a, b = np.searchsorted(at, (block * BLOCK, (block + 1) * BLOCK))
-                if a < b:
-                    acc[at[a:b] - block * BLOCK] += x * weight[a:b]
-            hit = np.nonzero(acc > 0)[0]
-            i, s = np.concatenate([best_i, hit + block * BLOCK]), np.concatenate([best_s, acc[hit]])
-            if but >= 0:
-                i, s = i[i != but], s[i != but]
-            order = np.lexsort((i, -s))[: self.k]
-            best_i, best_s = i[order], s[order]
-        return best_i, best_s
-
-    def vote(self, i: np.ndarray, s: np.ndarray) -> float:
-        weight = 1 / (1.05 - np.minimum(s, 1))
-        return float(weight @ self.labels[i] / weight.sum())
-
-    def calibrated(self, vote: float) -> float:
-        v = min(max(vote, 0.01), 0.99)
-        return 1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift)))
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """The score and the examples that gave it; equal vectors are looked up once."""
-        if not counts:
-            return self.empty_rate, []
-        key = tuple(sorted(counts.items()))
-        if key not in self.found:
-            if len(self.found) >= 20_000:
-                self.found.clear()
-            self.found[key] = self._score(counts)
-        return self.found[key]
-
-    def _score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        i, s = self.nearest(*self.vector(counts))
-        return (self.calibrated(self.vote(i, s)), self.ids[i].tolist()) if len(i) else (self.empty_rate, [])
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift of a slightly held-back logistic fit, by Newton's method."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+SAMPLE, CHARS = 4096, 32 << 20
+BLOCK, HEAD, NEAR = 64, 24, 1e-5
+#: ASCII letters and all bytes of other characters make words; the rest parts them.
+_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The lower-case words of ``text`` as UTF-8."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
+
+
+class Bags:
+    """Distinct words of some texts with their counts: row, term and n, in that order; row ``i`` ends at ``ends[i + 1]``."""
+
+    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int]) -> None:
+        v = len(terms)
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        at = np.fromiter(map(terms.get, chain.from_iterable(texts), repeat(v)), dtype=np.int64, count=int(size.sum()))
+        code, self.n = np.unique((np.repeat(np.arange(len(texts)), size) * (v + 1) + at)[at < v], return_counts=True)
+        self.row, self.term = code // (v + 1), code % (v + 1)
+        self.ends = np.searchsorted(self.row, np.arange(len(texts) + 1))
+
+
+class Index:
+    """A block-max inverted index of examples.
+
+    ids, labels: of the examples, block by block. Words from ``heads`` on have postings
+    (start, at, weight); those before lie in ``dense``, block x word x example, with
+    their block maxima in ``peaks``, word x block.
+    """
+
+    def __init__(self, terms: list[bytes], df: np.ndarray, docs: int, examples: list[tuple[int, int, list[bytes]]], k: int | None = None) -> None:
+        held = np.bincount(Bags([e[2] for e in examples], dict(zip(terms, range(len(terms)), strict=True))).term, minlength=len(terms))
+        order = np.lexsort((np.arange(len(terms)), -held))
+        self.terms = {terms[i]: n for n, i in enumerate(order.tolist())}
+        self.idf = np.log((docs + 1) / (df[order] + 1)) + 1
+        bags = Bags([e[2] for e in examples], self.terms)
+        full = np.nonzero(np.diff(bags.ends))[0]
+        bare = [e[1] for e, size in zip(examples, np.diff(bags.ends).tolist(), strict=True) if not size]
+        self.empty_rate = sum(bare) / (len(bare) + 1)
+        self.heads = int((held[order] * HEAD > max(len(full), 1)).sum())
+        self.size = len(full)
+        self.k = k or max(15, self.size // 20)
+        self.blocks = -(-self.size // BLOCK)
+        weight, head = self._weights(bags, len(examples))
+        place = np.zeros(len(examples), dtype=np.int64)
+        some = full[self._order(head[full])]
+        place[some] = np.arange(self.size)
+        self.ids = np.array([examples[i][0] for i in some.tolist()], dtype=np.int64)
+        self.labels = np.array([examples[i][1] for i in some.tolist()], dtype=np.float32)
+        width = self.blocks * BLOCK
+        wide = np.zeros((width, self.heads), dtype=np.float32)
+        wide[: self.size] = head[some]
+        self.dense = np.ascontiguousarray(wide.reshape(self.blocks, BLOCK, self.heads).transpose(0, 2, 1))
+        self.peaks = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
+        rare = bags.term >= self.heads
+        term, at = bags.term[rare] - self.heads, place[bags.row[rare]]
+        order = np.lexsort((at, term))
+        self.start = np.searchsorted(term[order], np.arange(len(terms) - self.heads + 1)).astype(np.int64)
+        self.at, self.weight = at[order].astype(np.int32), weight[rare][order].astype(np.float32)
+        self.slope, self.shift = 1.0, 0.0
+
+    def _weights(self, bags: Bags, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each entry, its row's vector of length 1, and the rows' heads as a matrix."""
+        w = (1 + np.log(bags.n)) * self.idf[bags.term]
+        norm = np.sqrt(np.bincount(bags.row, w * w, minlength=rows))
+        w /= norm[bags.row]
+        head = np.zeros((rows, self.heads), dtype=np.float32)
+        common = bags.term < self.heads
+        head[bags.row[common], bags.term[common]] = w[common]
+        return w, head
+
+    @staticmethod
+    def _order(head: np.ndarray) -> np.ndarray:
+        """Rows in an order that puts like ones together: by the nearest of some 32 of them."""
+        leaders = head[:: max(1, len(head) // 32)]
+        return np.argsort((head @ leaders.T).argmax(axis=1), kind="stable") if head.size else np.arange(len(head))
+
+    def cosines(self, bags: Bags, rows: int, but: np.ndarray | None = None, prune: bool = True) -> np.ndarray:
+        """Row x example: the cosine of all that may be among a row's k nearest, -1 for the others and for example ``but``."""
+        w, head = self._weights(bags, rows)
+        n = self.blocks * BLOCK
+        acc = np.zeros((rows, n), dtype=np.float32)
+        rare = bags.term >= self.heads
+        row, term, x = bags.row[rare], bags.term[rare] - self.heads, w[rare].astype(np.float32)
+        a = self.start[term]
+        many = self.start[term + 1] - a
+        upto = np.concatenate([[0], np.cumsum(many)])
+        first = 0
+        while first < rows:  # some rows at a time, by what their lists hold
+            lo = int(np.searchsorted(row, first))
+            last = max(first + 1, int(row[hi]) if (hi := int(np.searchsorted(upto, upto[lo] + 600_000))) < len(row) else rows)
+            hi = int(np.searchsorted(row, last))
+            size, total = many[lo:hi], int(upto[hi] - upto[lo])
+            at = np.repeat(a[lo:hi] - upto[lo:hi] + upto[lo], size) + np.arange(total)
+            to = self.at[at] + np.repeat((row[lo:hi] - first) * n, size)
+            acc[first:last] = np.bincount(to, self.weight[at] * np.repeat(x[lo:hi], size), minlength=(last - first) * n).reshape(last - first, n)
+            first = last
+        acc[:, self.size :] = -1
+        if but is not None:
+            own = np.nonzero(but >= 0)[0]
+            acc[own, but[own]] = -4
+        bound = head @ self.peaks + acc.reshape(rows, self.blocks, BLOCK).max(axis=2)
+        todo = np.ones((rows, self.blocks), dtype=bool)
+        few = -(-self.k // BLOCK) + 1
+        if prune and few < self.blocks:
+            best = np.argpartition(-bound, few, axis=1)[:, :few]
+            todo[:] = False
+            np.put_along_axis(todo, best, True, axis=1)
+            self._evaluate(acc, head, todo)
+            done = np.take_along_axis(acc.reshape(rows, self.blocks, BLOCK), best[:, :, None], axis=1).reshape(rows, -1)
+            kth = np.partition(done, -self.k, axis=1)[:, -self.k]
+            more = ~todo & (bound >= kth[:, None] - NEAR)
+            self._evaluate(acc, head, more)
+            acc[np.repeat(~(todo | more), BLOCK, axis=1)] = -1
+        else:
+            self._evaluate(acc, head, todo)
+        return acc[:, : self.size]
+
+    def _evaluate(self, acc: np.ndarray, head: np.ndarray, todo: np.ndarray) -> None:
+        """Add the head words' part to the blocks in ``todo``."""
+        for b in range(self.blocks):
+            rows = np.nonzero(todo[:, b])[0]
+            if len(rows) == len(todo):
+                acc[:, b * BLOCK : (b + 1) * BLOCK] += head @ self.dense[b]
+            elif len(rows):
+                acc[rows, b * BLOCK : (b + 1) * BLOCK] += head[rows] @ self.dense[b]
+
+    def votes(self, texts: list[list[bytes]], but: np.ndarray | None = None, evidence: int = 0) -> tuple[np.ndarray, list[list[int]]]:
+        """The share of the vote for toxic, NaN without a neighbour, and the ids of the nearest ``evidence`` examples."""
+        out, shown = np.full(len(texts), np.nan), []
+        if not self.size:
+            return out, [[] for _ in texts]
+        for k in range(0, len(texts), 64):
+            some = texts[k : k + 64]
+            s = self.cosines(Bags(some, self.terms), len(some), None if but is None else but[k : k + 64])
+            m = min(self.k, self.size)
+            kth = np.partition(s, self.size - m, axis=1)[:, self.size - m]
+            row, at = np.nonzero((s >= kth[:, None] - NEAR) & (s > 0))
+            w = 1 / (1.05 - np.minimum(s[row, at], 1))
+            with np.errstate(invalid="ignore"):
+                out[k : k + 64] = np.bincount(row, w * self.labels[at], minlength=len(some)) / np.bincount(row, w, minlength=len(some))
+            if evidence:
+                order = np.lexsort((at, -np.round(s[row, at], 4), row))
+                row, at = row[order], at[order]
+                ends = np.searchsorted(row, np.arange(len(some) + 1)).tolist()
+                shown += [self.ids[at[a : min(b, a + evidence)]].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out, shown or [[] for _ in texts]
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        v = np.clip(votes, 0.003, 0.997)
+        p = 1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))
+        return np.where(np.isnan(votes), self.empty_rate, p)
+
+
+def _logistic(votes: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and shift of a slightly held-back logistic fit to votes, by Newton's method."""
+    v = np.clip(votes, 0.003, 0.997)
+    a, w, prior = np.column_stack([np.log(v / (1 - v)), np.ones(len(v))]), np.array([1.0, 0.0]), np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(2), a.T @ (p - y) + (w - prior))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.eye(2) / 100, a.T @ (p - y) + (w - prior) / 100)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return float(w[0]), float(w[1])
 
 
-def build(features: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], k: int = 15) -> Model:
-    """A model from examples: (id, label, counts of features)."""
-    full = [e for e in examples if e[2]]
-    bare = [e[1] for e in examples if not e[2]]
-    full.sort(key=lambda e: (min(e[2], key=lambda i: (-(1 + math.log(e[2][i])) * idf[i], i)), sorted(e[2].items()), e[0]))
-    m = Model(features, idf, np.array([e[0] for e in full], dtype=np.int64), np.array([e[1] for e in full], dtype=float), [], np.zeros((len(features), 0)), sum(bare) / (len(bare) + 1), k=k)
-    vectors = [m.vector(e[2]) for e in full]
-    lists: list[tuple[list[int], list[float]]] = [([], []) for _ in features]
-    for n, (f, w) in enumerate(vectors):
-        for i, x in zip(f.tolist(), w.tolist(), strict=True):
-            lists[i][0].append(n)
-            lists[i][1].append(x)
-    m.postings = [(np.array(a, dtype=np.int64), np.array(b)) for a, b in lists]
-    m.peaks = np.zeros((len(features), -(-len(full) // BLOCK)))
-    for i, (at, weight) in enumerate(m.postings):
-        np.maximum.at(m.peaks[i], at // BLOCK, weight)
-    votes = [(m.vote(i, s), full[n][1]) for n, v in enumerate(vectors) for i, s in [m.nearest(*v, but=n)] if len(i)]
-    if votes:
-        v = np.clip(np.array([x for x, _ in votes]), 0.01, 0.99)
-        m.slope, m.shift = _logistic(np.log(v / (1 - v)), np.array([y for _, y in votes], dtype=float))
-    return m
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 256, support: int = 4, least_g2: float = 15.0, k: int = 15) -> Model:
-    """Learn from rows of ``labels`` (doc_id, toxic) outside the held-out fold.
-
-    ``sample`` and ``features`` bound what reaches the driver and the model.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, chars: int) -> DataFrame:
+    """(doc_id, toxic, text) of the examples, written."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.fold("doc_id") != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = common.sampled(known, "doc_id", sample)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = common.written(docs.sparkSession, text.join(F.broadcast(chosen), "doc_id"), "labelled")
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = common.written(docs.sparkSession, rows, "labelled")
+    sizes = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id")).limit(sample).collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    return rows if not len(total) or total[-1] <= chars else rows.where(F.col("doc_id").isin([r["doc_id"] for r, n in zip(sizes, total.tolist(), strict=True) if n <= chars]))
+
+
+def _document_frequencies(docs: DataFrame, terms: list[bytes], part: int = 4096) -> tuple[np.ndarray, int]:
+    """The documents of the corpus with each of ``terms``, and all documents.
+
+    Each partition gives its counts in parts of the vocabulary, which are added up
+    part by part; the driver gets one number a term.
+    """
+    shared, v = docs.sparkSession.sparkContext.broadcast(terms), len(terms)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        find, df, n = {t: i for i, t in enumerate(shared.value)}.get, np.zeros(v + 1, dtype=np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some, n = batch.slice(at, 500), {}
-                for text, y in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    for f in features_of(text):
-                        n.setdefault(f, [0, 0])[y > 0] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], names=["feature", "clean", "toxic"])
-
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    if not n1:
-        return Model([], np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0), [], np.zeros((0, 0)), 0.0, k=k)
-    n, counts = n0 + n1, common.map_arrow(rows.select("doc_id", "text", "toxic"), count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, b = F.col("a"), F.col("b")
-    g2 = 2 * (part(a, (a + b) * n1 / n) + part(b, (a + b) * n0 / n) + part(n1 - a, (n - a - b) * n1 / n) + part(n0 - b, (n - a - b) * n0 / n))
-    best = counts.where((a >= support) & (a * n0 > b * n1) & (g2 >= least_g2)).orderBy(F.round(g2, 6).desc(), "feature").limit(features)
-    chosen_features = [r["feature"] for r in best.select("feature").collect()]
-    idf = _idf(text, chosen_features)
-    examples = _examples(rows, chosen_features)
-    return build(chosen_features, idf, examples, k)
-
-
-def _idf(text: DataFrame, features: list[str]) -> np.ndarray:
-    """log((documents + 1) / (those with the feature + 1)) + 1 over all rows."""
-
-    def run(batches: Iterator) -> Iterator:
+            for k in range(0, batch.num_rows, 64):
+                words = [set(words_of(t)) for t in batch.column(0).slice(k, 64).to_pylist()]
+                n += len(words)
+                at = np.fromiter(map(find, chain.from_iterable(words), repeat(v)), dtype=np.int64, count=sum(map(len, words)))
+                df += np.bincount(at, minlength=v + 1)
+        df[v] = n
+        parts = [df[k : k + part].tolist() for k in range(0, v + 1, part)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["part", "df"])
+
+    def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary, n, df = Vocabulary(features), 0, np.zeros(len(features), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n += 1
-                for i in vocabulary.counts(t):
-                    df[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["n", "df"])
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+            for p, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
+                total[p] = total[p] + flat[a:b] if p in total else flat[a:b].copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))], names=["part", "df"])
 
-    got = common.map_arrow(text.select("text"), run, "n long, df array<long>").select("n", F.posexplode("df").alias("i", "df")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
-    out = np.ones(len(features))
-    for r in got:
-        out[r["i"]] = math.log((r["n"] + 1) / (r["df"] + 1)) + 1
-    return out
+    each = common.map_arrow(docs.select("text"), count, "part int, df array<long>")
+    got = common.map_arrow(each.repartition(v // part + 1, "part"), add, "part int, df array<long>").collect()
+    every = np.array(list(chain.from_iterable(r["df"] for r in sorted(got, key=lambda r: r["part"]))), dtype=np.int64)
+    return (every[:v], int(every[v])) if len(every) else (np.zeros(v, dtype=np.int64), 0)
 
 
-def _examples(rows: DataFrame, features: list[str]) -> list[tuple[int, int, dict[int, int]]]:
-    """The features of the sampled rows, ordered by id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS, k: int | None = None) -> Index:
+    """Learn from rows of ``labels`` (doc_id, toxic) outside the held-out fold; k: a twentieth of the examples unless it is given.
 
-    def run(batches: Iterator) -> Iterator:
+    ``sample`` and ``chars`` bound what reaches the driver and the index.
+    """
+    spark = docs.sparkSession
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _sample(text, labels, sample, chars)
+    examples = sorted(((r["doc_id"], int(r["toxic"] > 0), words_of(r["text"])) for r in rows.collect()), key=lambda e: e[0])
+    if not any(y for _, y, _ in examples):
+        return Index([], np.zeros(0), 0, [])
+    terms = sorted(set(chain.from_iterable(e[2] for e in examples)))
+    index = Index(terms, *_document_frequencies(text, terms), examples, k)
+    shared = spark.sparkContext.broadcast(index)
+
+    def leave_out(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary = Vocabulary(features)
+        place = {d: i for i, d in enumerate(shared.value.ids.tolist())}
         for batch in batches:
-            got = [vocabulary.counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(g) for g in got], pa.list_(pa.int32())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "f", "n"])
+            but = np.array([place.get(d, -1) for d in batch.column(0).to_pylist()], dtype=np.int64)
+            votes, _ = shared.value.votes([words_of(t) for t in batch.column(2).to_pylist()], but)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["toxic", "vote"])
 
-    got = common.map_arrow(rows.select("doc_id", "text", "toxic"), run, "doc_id long, toxic int, f array<int>, n array<int>").collect()
-    return sorted(((r["doc_id"], int(r["toxic"] > 0), dict(zip(r["f"], r["n"], strict=True))) for r in got), key=lambda e: (e[0], sorted(e[2].items())))
+    parts = max(1, len(examples) // 256)
+    own = [(r["vote"], r["toxic"] > 0) for r in common.map_arrow(rows.select("doc_id", "toxic", "text").repartition(parts), leave_out, "toxic int, vote double").collect() if not math.isnan(r["vote"])]
+    if own:
+        index.slope, index.shift = _logistic(np.array([v for v, _ in own]), np.array([y for _, y in own], dtype=float))
+    return index
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5, new: tuple[str, str, str] = ("toxicity", "toxic", "evidence")) -> DataFrame:
-    """``docs`` with toxicity, toxic (at ``threshold`` or more) and evidence, the ids of the examples, by the names in ``new``."""
+def score(docs: DataFrame, model: Index, text: str = "text", threshold: float = 0.5, new: tuple[str, str, str] = ("toxicity", "toxic", "evidence"), evidence: int = 5) -> DataFrame:
+    """``docs`` with toxicity, toxic (at ``threshold`` or more) and evidence, the ids of the nearest examples, by the names in ``new``."""
     keep = [c for c in docs.columns if c.lower() not in new]
     at = [c.lower() for c in keep].index(text.lower())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -254,11 +294,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         import pyarrow as pa
 
         m = shared.value
-        vocabulary = Vocabulary(m.features)
         for batch in batches:
-            got = [m.score(vocabulary.counts(t)) for t in batch.column(at).to_pylist()]
-            s = [x for x, _ in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([x >= threshold for x in s], pa.bool_()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=[*keep, *new])
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                votes, shown = m.votes([words_of(t) for t in some.column(at).to_pylist()], evidence=evidence)
+                s = m.calibrated(votes)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_()), pa.array(shown, pa.list_(pa.int64()))], names=[*keep, *new])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), *map(T.StructField, new, (T.DoubleType(), T.BooleanType(), T.ArrayType(T.LongType())))])
     return common.map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep]), run, schema)

@@ -70,24 +70,71 @@ def test_lines_keep_other_columns(spark):
 # -- op3 -------------------------------------------------------------------------
 
 
-def test_neighbours_are_those_of_all_cosines():
-    r = np.random.default_rng(2)
-    features = [f"f{i}" for i in range(30)]
-    examples = [(i, int(r.random() < 0.4), {int(f): int(r.integers(1, 4)) for f in r.choice(30, r.integers(0, 6), replace=False)}) for i in range(500)]
-    m = toxicity.build(features, r.random(30) + 0.5, examples, k=9)
-    dense = np.zeros((len(m.ids), 30))
-    by_id = {e[0]: e[2] for e in examples}
-    for n, i in enumerate(m.ids.tolist()):
-        f, w = m.vector(by_id[i])
-        dense[n, f] = w
-    for _ in range(60):
-        f, w = m.vector({int(x): int(r.integers(1, 4)) for x in r.choice(30, r.integers(1, 6), replace=False)})
-        q = np.zeros(30)
-        q[f] = w
-        cosines = dense @ q
-        _, s = m.nearest(f, w)
-        want = np.sort(cosines[cosines > 0])[::-1][:9]
-        assert np.allclose(s, want)
+def dense_votes(docs: dict, labels: dict, k: int, queries: list) -> tuple[list[float], float]:
+    """Each query's vote and the rate of examples without a word, from all cosines of plain dense vectors; queries: (own id or None, text)."""
+    words = {d: Counter(re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").lower())) for d, t in docs.items()}
+    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(words[d] for d in labels))))}
+    df = np.zeros(len(vocabulary))
+    for c in words.values():
+        df[[vocabulary[w] for w in c if w in vocabulary]] += 1
+    idf = np.log((len(docs) + 1) / (df + 1)) + 1
+
+    def vector(c):
+        v = np.zeros(len(vocabulary))
+        for w, n in c.items():
+            if w in vocabulary:
+                v[vocabulary[w]] = (1 + np.log(n)) * idf[vocabulary[w]]
+        return v / (np.linalg.norm(v) or 1)
+
+    full = [d for d in labels if words[d]]
+    matrix, y = np.array([vector(words[d]) for d in full]), np.array([labels[d] for d in full])
+    out = []
+    for own, text in queries:
+        s = matrix @ vector(Counter(re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").lower())))
+        s[[i for i, d in enumerate(full) if d == own]] = -1
+        s[s <= 1e-9] = -1
+        near = (s >= max(np.sort(s)[-k], 0) - 1e-5) & (s > 0)
+        w = 1 / (1.05 - np.minimum(s[near], 1))
+        out.append(float(w @ y[near] / w.sum()) if near.any() else float("nan"))
+    bare = [labels[d] for d in labels if not words[d]]
+    return out, sum(bare) / (len(bare) + 1)
+
+
+@pytest.mark.parametrize("k", [5, 40, 300])
+def test_votes_are_those_of_all_cosines(k):
+    r = random.Random(k)
+    docs = {i: helpers.sentence(r, r.choice([0, 1, 3, 20, 80, 700]), r.choice([30, 900]), r.choice(["a", "b"])).replace("1", "x") for i in range(700)}
+    docs |= {i: docs[i - 1000] for i in range(1000, 1100)}
+    labels = {i: r.randrange(2) for i in sorted(docs) if i % 7}
+    examples = [(d, y, toxicity.words_of(docs[d])) for d, y in labels.items()]
+    terms = sorted({w for e in examples for w in e[2]})
+    df = Counter(w for t in docs.values() for w in set(toxicity.words_of(t)))
+    index = toxicity.Index(terms, np.array([df[t] for t in terms]), len(docs), examples, k)
+    queries = [(None, t) for t in [*docs.values()][:150]] + [(d, docs[d]) for d in [*labels][:150]] + [(None, "never seen"), (None, "")]
+    place = {d: i for i, d in enumerate(index.ids.tolist())}
+    got, _ = index.votes([toxicity.words_of(t) for _, t in queries], np.array([place.get(own, -1) for own, _ in queries]))
+    want, empty = dense_votes(docs, labels, k, queries)
+    assert np.allclose(got, want, atol=1e-4, equal_nan=True) and index.empty_rate == empty
+    bags = toxicity.Bags([toxicity.words_of(t) for _, t in queries[:60]], index.terms)
+    pruned, every = index.cosines(bags, 60), index.cosines(bags, 60, prune=False)
+    kth = np.sort(every, axis=1)[:, -k]
+    near = every >= kth[:, None] - toxicity.NEAR
+    assert np.allclose(pruned[near], every[near], atol=1e-6) and (k > 40 or (pruned < -0.5).any()), "blocks are left out and no neighbour is lost"
+
+
+def test_op3_is_the_vote_of_all_cosines(spark):
+    small = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    every = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r["toxic"] is not None}
+    labels = {d: y for d, y in sorted(every.items()) if zlib.crc32(str(d).encode()) % 5 and d in docs}
+    k = max(15, sum(bool(toxicity.words_of(docs[d])) for d in labels) // 20)
+    votes, empty = dense_votes(docs, labels, k, [(None, t) for t in docs.values()])
+    own, _ = dense_votes(docs, labels, k, [(d, docs[d]) for d in labels])
+    slope, shift = toxicity._logistic(*(np.array(x, dtype=float) for x in zip(*[(v, y) for v, y in zip(own, labels.values(), strict=True) if v == v], strict=True)))
+    v = np.clip(votes, 0.003, 0.997)
+    want = np.where(np.isnan(votes), empty, 1 / (1 + np.exp(-(slope * np.log(v / (1 - v)) + shift))))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op3_toxicity"](spark, small).collect()}
+    assert np.allclose([got[d] for d in docs], want, atol=2e-3)
 
 
 def test_toxicity_on_rows_held_out(spark):
@@ -111,6 +158,8 @@ def test_toxicity_of_odd_tables(spark):
     assert out.count() == docs.count() and set(docs.columns) <= set(out.columns) and dict(out.dtypes)["toxic"] == "boolean"
     s = {r["text"]: r["toxicity"] for r in toxicity.score(bad, model).collect()}
     assert s["vileword you are vileword"] > 0.5 > s["nice words here"]
+    twice = toxicity.fit(bad.unionByName(bad), labels, sample=30, chars=200)
+    assert 0 < twice.size < 30 and 0 <= toxicity.score(bad, twice).agg({"toxicity": "max"}).first()[0] <= 1
     for none in (labels.limit(0), labels.where("toxic = 0")):
         assert {r["toxicity"] for r in toxicity.score(docs, toxicity.fit(bad, none)).collect()} == {0.0}
     assert toxicity.score(helpers.empty(spark), toxicity.fit(helpers.empty(spark), labels)).count() == 0
