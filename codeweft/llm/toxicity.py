@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-SAMPLE, CHARS = 4096, 32 << 20
+SAMPLE, CHARS = 8192, 64 << 20
 BLOCK, HEAD, NEAR = 64, 24, 1e-5
 #: ASCII letters and all bytes of other characters make words; the rest parts them.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -45,13 +45,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
+def numbered(texts: list[list[bytes]], terms: dict[bytes, int]) -> list[np.ndarray]:
+    """The numbers of each text's words in ``terms``, ``len(terms)`` for those that aren't there."""
+    at = np.fromiter(map(terms.get, chain.from_iterable(texts), repeat(len(terms))), dtype=np.int32, count=sum(map(len, texts)))
+    return np.split(at, np.cumsum([len(t) for t in texts])[:-1]) if texts else []
+
+
 class Bags:
-    """Distinct words of some texts with their counts: row, term and n, in that order; row ``i`` ends at ``ends[i + 1]``."""
+    """Distinct words of some texts, given by number, with their counts: row, term and n, in that order; row ``i`` ends at ``ends[i + 1]``."""
 
-    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int]) -> None:
-        v = len(terms)
+    def __init__(self, texts: list[np.ndarray], v: int) -> None:
         size = np.array([len(t) for t in texts], dtype=np.int64)
-        at = np.fromiter(map(terms.get, chain.from_iterable(texts), repeat(v)), dtype=np.int64, count=int(size.sum()))
+        at = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, dtype=np.int64)
         code, self.n = np.unique((np.repeat(np.arange(len(texts)), size) * (v + 1) + at)[at < v], return_counts=True)
         self.row, self.term = code // (v + 1), code % (v + 1)
         self.ends = np.searchsorted(self.row, np.arange(len(texts) + 1))
@@ -65,12 +70,16 @@ class Index:
     their block maxima in ``peaks``, word x block.
     """
 
-    def __init__(self, terms: list[bytes], df: np.ndarray, docs: int, examples: list[tuple[int, int, list[bytes]]], k: int | None = None) -> None:
-        held = np.bincount(Bags([e[2] for e in examples], dict(zip(terms, range(len(terms)), strict=True))).term, minlength=len(terms))
-        order = np.lexsort((np.arange(len(terms)), -held))
+    def __init__(self, terms: list[bytes], df: np.ndarray, docs: int, examples: list[tuple[int, int, np.ndarray]], k: int | None = None) -> None:
+        """terms: in ascending order; examples: (id, label, the numbers of its words among ``terms``)."""
+        bags = Bags([e[2] for e in examples], len(terms))
+        held = np.bincount(bags.term, minlength=len(terms))
+        order = np.argsort(-held, kind="stable")
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        bags.term = back[bags.term]
         self.terms = {terms[i]: n for n, i in enumerate(order.tolist())}
         self.idf = np.log((docs + 1) / (df[order] + 1)) + 1
-        bags = Bags([e[2] for e in examples], self.terms)
         full = np.nonzero(np.diff(bags.ends))[0]
         bare = [e[1] for e, size in zip(examples, np.diff(bags.ends).tolist(), strict=True) if not size]
         self.empty_rate = sum(bare) / (len(bare) + 1)
@@ -102,8 +111,8 @@ class Index:
         norm = np.sqrt(np.bincount(bags.row, w * w, minlength=rows))
         w /= norm[bags.row]
         head = np.zeros((rows, self.heads), dtype=np.float32)
-        common = bags.term < self.heads
-        head[bags.row[common], bags.term[common]] = w[common]
+        often = bags.term < self.heads
+        head[bags.row[often], bags.term[often]] = w[often]
         return w, head
 
     @staticmethod
@@ -169,7 +178,7 @@ class Index:
             return out, [[] for _ in texts]
         for k in range(0, len(texts), 64):
             some = texts[k : k + 64]
-            s = self.cosines(Bags(some, self.terms), len(some), None if but is None else but[k : k + 64])
+            s = self.cosines(Bags(numbered(some, self.terms), len(self.terms)), len(some), None if but is None else but[k : k + 64])
             m = min(self.k, self.size)
             kth = np.partition(s, self.size - m, axis=1)[:, self.size - m]
             row, at = np.nonzero((s >= kth[:, None] - NEAR) & (s > 0))
@@ -261,10 +270,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _sample(text, labels, sample, chars)
-    examples = sorted(((r["doc_id"], int(r["toxic"] > 0), words_of(r["text"])) for r in rows.collect()), key=lambda e: e[0])
+    seen: dict[bytes, int] = {}
+    examples = []
+    for r in rows.orderBy("doc_id").toLocalIterator():
+        examples.append((r["doc_id"], int(r["toxic"] > 0), np.array([seen.setdefault(w, len(seen)) for w in words_of(r["text"])], dtype=np.int64)))
     if not any(y for _, y, _ in examples):
         return Index([], np.zeros(0), 0, [])
-    terms = sorted(set(chain.from_iterable(e[2] for e in examples)))
+    terms = sorted(seen)
+    rank = np.empty(len(terms), dtype=np.int64)
+    rank[[seen[t] for t in terms]] = np.arange(len(terms))
+    examples = [(d, y, rank[at]) for d, y, at in examples]
+    del seen
     index = Index(terms, *_document_frequencies(text, terms), examples, k)
     shared = spark.sparkContext.broadcast(index)
 

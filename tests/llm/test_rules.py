@@ -106,8 +106,9 @@ def test_votes_are_those_of_all_cosines(k):
     docs = {i: helpers.sentence(r, r.choice([0, 1, 3, 20, 80, 700]), r.choice([30, 900]), r.choice(["a", "b"])).replace("1", "x") for i in range(700)}
     docs |= {i: docs[i - 1000] for i in range(1000, 1100)}
     labels = {i: r.randrange(2) for i in sorted(docs) if i % 7}
-    examples = [(d, y, toxicity.words_of(docs[d])) for d, y in labels.items()]
-    terms = sorted({w for e in examples for w in e[2]})
+    terms = sorted({w for d in labels for w in toxicity.words_of(docs[d])})
+    at = {w: i for i, w in enumerate(terms)}
+    examples = [(d, y, np.array([at[w] for w in toxicity.words_of(docs[d])], dtype=int)) for d, y in labels.items()]
     df = Counter(w for t in docs.values() for w in set(toxicity.words_of(t)))
     index = toxicity.Index(terms, np.array([df[t] for t in terms]), len(docs), examples, k)
     queries = [(None, t) for t in [*docs.values()][:150]] + [(d, docs[d]) for d in [*labels][:150]] + [(None, "never seen"), (None, "")]
@@ -115,7 +116,7 @@ def test_votes_are_those_of_all_cosines(k):
     got, _ = index.votes([toxicity.words_of(t) for _, t in queries], np.array([place.get(own, -1) for own, _ in queries]))
     want, empty = dense_votes(docs, labels, k, queries)
     assert np.allclose(got, want, atol=1e-4, equal_nan=True) and index.empty_rate == empty
-    bags = toxicity.Bags([toxicity.words_of(t) for _, t in queries[:60]], index.terms)
+    bags = toxicity.Bags(toxicity.numbered([toxicity.words_of(t) for _, t in queries[:60]], index.terms), len(index.terms))
     pruned, every = index.cosines(bags, 60), index.cosines(bags, 60, prune=False)
     kth = np.sort(every, axis=1)[:, -k]
     near = every >= kth[:, None] - toxicity.NEAR
