@@ -65,9 +65,10 @@ class Bags:
 class Index:
     """A block-max inverted index of examples.
 
-    ids, labels: of the examples, block by block. Words from ``heads`` on have postings
-    (start, at, weight); those before lie in ``dense``, block x word x example, with
-    their block maxima in ``peaks``, word x block.
+    ids, labels: of the examples, block by block. Each word has postings (start, at,
+    weight); those of the first ``heads`` words are also laid out in ``dense``, block x
+    word x example, with their block maxima in ``peaks``, word x block. Only postings
+    are pickled.
     """
 
     def __init__(self, terms: list[bytes], df: np.ndarray, docs: int, examples: list[tuple[int, int, np.ndarray]], k: int | None = None) -> None:
@@ -93,18 +94,27 @@ class Index:
         place[some] = np.arange(self.size)
         self.ids = np.array([examples[i][0] for i in some.tolist()], dtype=np.int64)
         self.labels = np.array([examples[i][1] for i in some.tolist()], dtype=np.float32)
-        width = self.blocks * BLOCK
-        wide = np.zeros((width, self.heads), dtype=np.float32)
-        wide[: self.size] = head[some]
-        self.dense = np.ascontiguousarray(wide.reshape(self.blocks, BLOCK, self.heads).transpose(0, 2, 1))
-        self.peaks = np.ascontiguousarray(self.dense.max(axis=2, initial=0).T)
-        rare = bags.term >= self.heads
-        term, at = bags.term[rare] - self.heads, place[bags.row[rare]]
-        order = np.lexsort((at, term))
-        self.start = np.searchsorted(term[order], np.arange(len(terms) - self.heads + 1)).astype(np.int64)
-        self.at, self.weight = at[order].astype(np.int32), weight[rare][order].astype(np.float32)
+        at = place[bags.row]
+        order = np.lexsort((at, bags.term))
+        self.start = np.searchsorted(bags.term[order], np.arange(len(terms) + 1)).astype(np.int64)
+        self.at, self.weight = at[order].astype(np.uint16 if self.size < 1 << 16 else np.int32), weight[order].astype(np.float32)
+        self._lay_out()
         self.slope, self.shift = 1.0, 0.0
 
+    def _lay_out(self) -> None:
+        n = int(self.start[self.heads])
+        wide = np.zeros((self.heads, self.blocks * BLOCK), dtype=np.float32)
+        wide[np.repeat(np.arange(self.heads), np.diff(self.start[: self.heads + 1])), self.at[:n]] = self.weight[:n]
+        wide = wide.reshape(self.heads, self.blocks, BLOCK)
+        self.peaks, self.dense = wide.max(axis=2, initial=0), np.ascontiguousarray(wide.transpose(1, 0, 2))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("peaks", "dense")} | {"terms": list(self.terms)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"terms": {t: i for i, t in enumerate(state["terms"])}}
+        self._lay_out()
+
     def _weights(self, bags: Bags, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """The weight of each entry, its row's vector of length 1, and the rows' heads as a matrix."""
         w = (1 + np.log(bags.n)) * self.idf[bags.term]
@@ -127,7 +137,7 @@ class Index:
         n = self.blocks * BLOCK
         acc = np.zeros((rows, n), dtype=np.float32)
         rare = bags.term >= self.heads
-        row, term, x = bags.row[rare], bags.term[rare] - self.heads, w[rare].astype(np.float32)
+        row, term, x = bags.row[rare], bags.term[rare], w[rare].astype(np.float32)
         a = self.start[term]
         many = self.start[term + 1] - a
         upto = np.concatenate([[0], np.cumsum(many)])
@@ -258,6 +268,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes], part: int = 4096)
 
     each = common.map_arrow(docs.select("text"), count, "part int, df array<long>")
     got = common.map_arrow(each.repartition(v // part + 1, "part"), add, "part int, df array<long>").collect()
+    shared.destroy()
     every = np.array(list(chain.from_iterable(r["df"] for r in sorted(got, key=lambda r: r["part"]))), dtype=np.int64)
     return (every[:v], int(every[v])) if len(every) else (np.zeros(v, dtype=np.int64), 0)
 
@@ -295,6 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
 
     parts = max(1, len(examples) // 256)
     own = [(r["vote"], r["toxic"] > 0) for r in common.map_arrow(rows.select("doc_id", "toxic", "text").repartition(parts), leave_out, "toxic int, vote double").collect() if not math.isnan(r["vote"])]
+    shared.destroy()
     if own:
         index.slope, index.shift = _logistic(np.array([v for v, _ in own]), np.array([y for _, y in own], dtype=float))
     return index
