@@ -2,8 +2,7 @@
 
 Words of one length are one matrix of characters. From each position a trie of the
 pieces is walked for all words at once; what it finds are the lattice's edges. The
-forward recursion, in log space, adds up every path to a position; the backward one,
-to the end, gives each piece's expected count.
+forward recursion, in log space, adds up every path to a position.
 """
 
 from __future__ import annotations
@@ -103,28 +102,6 @@ class Pieces:
             out[some] = self._forward(edges, scored, len(some))[-1]
         return out
 
-    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """The expected number of times each piece and byte is used, each word ``counts`` times."""
-        out = np.zeros(len(self.log_p))
-        for some, codes in self._by_length(words):
-            edges = self.edges(codes)
-            scored = [[self.scores(p) for _, _, p in x] for x in edges]
-            alpha = self._forward(edges, scored, len(some))
-            n = len(edges) - 1
-            beta = np.full((n + 1, len(some)), -np.inf)
-            beta[n] = 0
-            weight = counts[some]
-            for e in range(n, 0, -1):
-                for (s, at, piece), p in zip(edges[e], scored[e], strict=True):
-                    beta[s, at] = np.logaddexp(beta[s, at], beta[e, at] + p)
-                    use = np.exp(alpha[s, at] + p + beta[e, at] - alpha[n, at]) * weight[at]
-                    whole = piece >= 0
-                    out += np.bincount(piece[whole], use[whole], minlength=len(out))
-                    for c, u in zip((-1 - piece[~whole]).tolist(), use[~whole].tolist(), strict=True):
-                        for b in chr(c).encode("utf-8", "surrogatepass"):
-                            out[len(self.names) + b] += u
-        return out
-
 
 def from_sentencepiece(file: str) -> Pieces:
     """The pieces of a sentencepiece model by their scores.

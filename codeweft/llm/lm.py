@@ -1,15 +1,15 @@
 """LM scoring by subword lattice likelihood.
 
-A token's probability sums over all its segmentations. Most are into pieces of an
-existing unigram vocabulary, whose scores weight them; they are fitted to the
-training words by expectation maximisation, with the existing scores as prior. One
-more segmentation leaves the token whole, with its count in training. Together
+A token's probability sums over all its segmentations into pieces of an existing
+unigram vocabulary, weighted by the vocabulary's own scores, by a forward recursion
+in log space. What the corpus teaches is one more edge of a word's lattice, from its
+start to its end, of the small constant weight ``WHOLE``:
 
-    P(word) = (c + V * lattice(word)) / (N + V + 1),  P(end) = (c_end + 1) / (N + V + 1)
+    P(word) = WHOLE * c / N + (1 - WHOLE) * lattice(word),  P(end) = (c_end + 1) / (N + V + 1)
 
-sums to 1 over all words, known or not (Witten-Bell). A text's score is the sum of
-the log10 of its words and of the end; pieces don't cross words, so this is the
-forward recursion over the whole text's lattice.
+c: the word's count in training. Without training rows the lattice is all. A text's
+score is the sum of the log10 of its words and of the end; pieces don't cross words,
+so this is the forward recursion over the whole text's lattice.
 
 Words are counted over all documents and scored once each. The ``frequent`` words,
 a bounded number, are scored where they are read; rows for the rest go by a shuffle
@@ -19,14 +19,15 @@ by partition and position, which any rerun of a task gives again.
 
 Defined cases: a null or empty text is the end alone; without training rows the
 words have their lattice probability; repeated rows count each time; null ids are
-the empty text in the fold; very long words are taken whole; an empty table gives
-no rows; other columns aren't read.
+the empty text in the fold; words with equal counts are all frequent or all not, whatever
+else; very long texts and words are taken whole; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 from .lattice import Pieces, from_sentencepiece
 
-HELD_OUT, FREQUENT, PRIOR, LOG10 = 1, 300_000, 2_000.0, float(np.log(10))
+HELD_OUT, FREQUENT, WHOLE, LOG10 = 1, 200_000, 0.1, float(np.log(10))
 _FLUSH = 400_000
 _pieces: dict[str, Pieces] = {}
 
@@ -90,28 +91,8 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def fitted(pieces: Pieces, counts: DataFrame, prior: np.ndarray) -> Pieces:
-    """``pieces`` after one step of expectation maximisation over ``counts``; ``prior``: the existing probabilities."""
-    shared = counts.sparkSession.sparkContext.broadcast(pieces)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        total = np.zeros(len(shared.value.log_p))
-        for batch in batches:
-            total += shared.value.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float))
-        some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
-
-    used = np.zeros(len(pieces.log_p))
-    for r in common.map_arrow(counts.where("c > 0").select("word", "c"), run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        used[r["piece"]] = r["n"]
-    p = used + PRIOR * prior
-    return Pieces(pieces.names, np.log(p / p.sum()))
-
-
 def word_scores(counts: DataFrame, pieces: Pieces, n: int, v: int) -> DataFrame:
-    """(word, known, base, model): log10 of each word by the base formula and by the model."""
+    """(word, c, known, base, model): log10 of each word by the base formula and by the model."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator) -> Iterator:
@@ -121,14 +102,16 @@ def word_scores(counts: DataFrame, pieces: Pieces, n: int, v: int) -> DataFrame:
             c = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             lattice = shared.value.marginal(batch.column(0).to_pylist()) if len(c) else np.zeros(0)
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-            with np.errstate(divide="ignore"):
-                model = np.logaddexp(np.log(c), np.log(max(v, 1)) + lattice) - np.log(n + max(v, 1) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(model / LOG10)], names=["word", "known", "base", "model"])
+            model = lattice
+            if n:
+                with np.errstate(divide="ignore"):
+                    model = np.logaddexp(np.log(WHOLE * c / n), np.log(1 - WHOLE) + lattice)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c > 0), pa.array(base), pa.array(model / LOG10)], names=["word", "c", "known", "base", "model"])
 
-    return common.map_arrow(counts.select("word", "c"), run, "word string, known boolean, base double, model double")
+    return common.map_arrow(counts.select("word", "c"), run, "word string, c long, known boolean, base double, model double")
 
 
-def score(docs: DataFrame, file: str, held_out: int = HELD_OUT, frequent: int = FREQUENT, steps: int = 2) -> DataFrame:
+def score(docs: DataFrame, file: str, held_out: int = HELD_OUT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (common.fold("doc_id") != held_out).alias("training"))
@@ -136,52 +119,42 @@ def score(docs: DataFrame, file: str, held_out: int = HELD_OUT, frequent: int =
     ends = rows.where("training").count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
-
-    existing = vocabulary(file)
-    pieces, prior = existing, np.exp(existing.log_p)
-    top = common.written(spark, counts.where(F.col("c") >= _least_count(counts, frequent)), "frequent")
-    for _ in range(steps):
-        pieces = fitted(pieces, top, prior)
-    pieces = fitted(pieces, counts, prior)
-
-    scores = common.written(spark, word_scores(counts, pieces, n, v), "scores")
-    near = scores.join(F.broadcast(top.select("word")), "word", "left_semi").collect()
-    shared = spark.sparkContext.broadcast(([r["word"].encode("utf-8") for r in near], np.array([(r["base"], r["model"], r["known"]) for r in near], dtype=float).reshape(-1, 3)))
-    del near
-    end = (float(np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))), float(np.log10((ends + 1) / (n + max(v, 1) + 1))), int(ends > 0))
+    scores = common.written(spark, word_scores(counts, vocabulary(file), n, v), "scores")
+    shared = spark.sparkContext.broadcast(scores.where(F.col("c") >= _least_count(counts, frequent)).select("word", "base", "model", "known").toArrow())
+    end = (float(np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))), float(np.log10((ends + 1) / (n + v + 1))), int(ends > 0))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names, table = shared.value
-        at = {w: i for i, w in enumerate(names)}
+        words = shared.value
+        at = dict(zip((w.encode("utf-8") for w in words["word"].to_pylist()), range(len(words)), strict=True))
+        table = np.column_stack([words[c].to_numpy().astype(float) for c in ("base", "model", "known")])
+        table = np.concatenate([table, np.zeros((1, 3))])
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                some = batch.slice(k, 1000)
-                out, far = [], []
-                for doc, text, training in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
-                    words = Counter(lower_words(text))
-                    i = np.array([at.get(w, -1) for w in words], dtype=np.int64)
-                    tf = np.array(list(words.values()), dtype=float)
-                    near = i >= 0
-                    s = tf[near] @ table[i[near]] if near.any() else np.zeros(3)
-                    out.append((row, doc, training, int(tf.sum()) + 1, int(s[2]) + end[2], s[0] + end[0], s[1] + end[1]))
-                    if not near.all():
-                        far += [(row, w.decode("utf-8"), n) for w, n in words.items() if w not in at]
-                    row += 1
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                a = [pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)]
-                m, f = len(out), len(far)
-                a = [pa.concat_arrays([x, pa.nulls(f, x.type)]) if j else pa.array([o[0] for o in out] + [x[0] for x in far], pa.int64()) for j, x in enumerate(a)]
-                word = pa.array([None] * m + [x[1] for x in far], pa.string())
-                tf = pa.array([None] * m + [x[2] for x in far], pa.int64())
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                texts = [lower_words(t) for t in some.column(1).to_pylist()]
+                size, m = np.array([len(t) for t in texts], dtype=np.int64), len(texts)
+                flat = list(chain.from_iterable(texts))
+                i = np.fromiter(map(at.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+                of = np.repeat(np.arange(m), size)
+                base, model, known = (np.bincount(of, table[i, j], minlength=m) + end[j] for j in range(3))
+                rest = np.nonzero(i < 0)[0]
+                far = Counter(zip((of[rest] + row).tolist(), map(flat.__getitem__, rest.tolist()), strict=True))
+                f = len(far)
+                a = [pa.array(np.concatenate([np.arange(row, row + m), np.fromiter((d for d, _ in far), dtype=np.int64, count=f)]))]
+                own = [some.column(0), some.column(2), pa.array(size + 1), pa.array(np.round(known).astype(np.int64)), pa.array(base), pa.array(model)]
+                a += [pa.concat_arrays([x, pa.nulls(f, x.type)]) for x in own]
+                word = pa.array([None] * m + [w.decode("utf-8") for _, w in far], pa.string())
+                tf = pa.array([None] * m + list(far.values()), pa.int64())
+                row += m
                 yield pa.RecordBatch.from_arrays([*a, word, tf], names=["row", "doc_id", "training", "n_tokens", "n_known", "base", "model", "word", "tf"])
 
     both = common.written(spark, common.map_arrow(rows, run, "row long, doc_id long, training boolean, n_tokens long, n_known long, base double, model double, word string, tf long"), "lm-rows")
     sums = ["row", "doc_id", "training", "n_tokens", "n_known", "base", "model"]
-    rest = both.where(F.col("word").isNotNull()).select("row", "word", "tf").join(scores.hint("shuffle_hash"), "word")
+    rest = both.where(F.col("word").isNotNull()).select("row", "word", "tf").join(scores.drop("c").hint("shuffle_hash"), "word")
     rest = rest.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("training"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("known"), F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.col("base")).alias("base"), (F.col("tf") * F.col("model")).alias("model"))
     every = both.where(F.col("word").isNull()).select(sums).unionByName(rest).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("training").alias("training"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score")

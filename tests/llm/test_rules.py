@@ -234,13 +234,9 @@ def test_lattice_sums_every_segmentation():
 
     words = ["a", "ab", "abba", "é", "aéb", "b" * 9, "\U0001f600"]
     assert np.allclose(np.exp(pieces.marginal(words)), [brute("▁" + w) for w in words])
-    step, base = 1e-6, pieces.expected(["abba"], np.array([1.0]))
-    for i in range(len(names)):
-        up = lattice.Pieces(names, pieces.log_p + step * (np.arange(len(pieces.log_p)) == i))
-        assert math.isclose((up.marginal(["abba"])[0] - pieces.marginal(["abba"])[0]) / step, base[i], abs_tol=1e-4), "a count is the derivative of the sum"
 
 
-def test_base_scores_by_definition_and_known_words_by_their_counts_at_least(spark):
+def test_base_scores_by_definition(spark):
     docs = rows_of(spark)
     got = {r["doc_id"]: r for r in QUERIES["op10_lm_score"](spark, SF).collect()}
     tokens = {r["doc_id"]: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")), None] for r in docs}
@@ -252,8 +248,46 @@ def test_base_scores_by_definition_and_known_words_by_their_counts_at_least(spar
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(g["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
         assert g["score"] < 0
-        if g["n_known"] == g["n_tokens"]:
-            assert g["score"] >= sum(math.log10(c[w] / (n + v + 1)) for w in t), "a known word whole is one of its segmentations"
+
+
+def test_op10_is_the_forward_pass_over_each_whole_text(spark):
+    """All paths through one lattice a text: the vocabulary's pieces by its own scores, and each training word as one edge."""
+    import public_tokenizers
+
+    small = "/root/testdata/sf0.001"
+    pieces = lm.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    log_p = dict(zip(pieces.names, pieces.log_p[: len(pieces.names)].tolist(), strict=True))
+    raw, longest = pieces.log_p[len(pieces.names) :].tolist(), max(map(len, pieces.names))
+    docs = rows_of(spark, small)
+    words = {r["doc_id"]: [w.decode() for w in lm.lower_words(r["text"])] for r in docs}
+    training = [i for i in words if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for i in training for w in words[i])
+    n, v = c.total() + len(training), len(c) + 1
+
+    def add(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+
+    def forward(ws):
+        text = "".join("▁" + w for w in ws)
+        starts = {}
+        for w in ws:
+            starts[sum(map(len, starts.values())) + len(starts)] = w
+        alpha = [0.0] + [-math.inf] * len(text)
+        for s in range(len(text)):
+            here = alpha[s] + (math.log(1 - lm.WHOLE) if s in starts else 0)
+            if s in starts and c[starts[s]]:
+                e = s + 1 + len(starts[s])
+                alpha[e] = add(alpha[e], alpha[s] + math.log(lm.WHOLE * c[starts[s]] / n))
+            for e in range(s + 1, min(s + longest, len(text)) + 1):
+                if (p := log_p.get(text[s:e])) is not None:
+                    alpha[e] = add(alpha[e], here + p)
+                elif e == s + 1:
+                    alpha[e] = add(alpha[e], here + sum(raw[b] for b in text[s].encode()))
+        return (alpha[-1] + math.log((len(training) + 1) / (n + v + 1))) / math.log(10)
+
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op10_lm_score"](spark, small).collect()}
+    short = sorted(words, key=lambda i: len(words[i]))[:120]
+    assert all(math.isclose(got[i], forward(words[i]), rel_tol=1e-9, abs_tol=1e-9) for i in short) and len(got) == len(docs)
 
 
 def test_word_probabilities_sum_to_one_at_most(spark):
@@ -264,7 +298,7 @@ def test_word_probabilities_sum_to_one_at_most(spark):
     names = ["▁", "a", "b", "▁a"]
     p = np.array([0.4, 0.2, 0.2, 0.1] + [0.1 / 256] * 256)
     got = {r["word"]: 10 ** r["model"] for r in lm.word_scores(counts, lattice.Pieces(names, np.log(p)), 10, 3).collect()}
-    assert sum(got.values()) + 4 / 14 < 1 and got["a"] > 5 / 14 and 0 < got["bbb"] < got["b"]
+    assert sum(got.values()) + 4 / 14 < 1 and got["a"] > lm.WHOLE * 5 / 10 and 0 < got["bbb"] < got["b"]
 
 
 def test_rare_words_go_by_the_shuffle_to_the_same_scores(spark, tmp_path):
@@ -276,6 +310,6 @@ def test_rare_words_go_by_the_shuffle_to_the_same_scores(spark, tmp_path):
     both = docs.select(*more.columns).unionByName(more)
     file = public_tokenizers.path("piece_bpe_32k.model")
     key = lambda x: [(a["doc_id"] or -1, a["n_tokens"], a["n_known"], round(a["base_score"], 6), round(a["score"], 6)) for a in x]
-    near, far = (sorted(key(lm.score(both, file, frequent=n, steps=0).collect())) for n in (300_000, 0))
+    near, far = (sorted(key(lm.score(both, file, frequent=n).collect())) for n in (300_000, 0))
     assert near == far and len(near) == both.count()
     assert lm.score(helpers.empty(spark), file).count() == 0
