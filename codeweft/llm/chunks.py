@@ -37,10 +37,11 @@ class ChunkCache:
     gathered by numpy.
     """
 
-    def __init__(self, encode: Encode, limit: int = 500_000) -> None:
+    def __init__(self, encode: Encode, limit: int = 500_000, marks: tuple[str, ...] = (), whole: Encode | None = None) -> None:
+        """A text with one of ``marks`` in it goes to ``whole`` as it is."""
         import pyarrow as pa
 
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.marks, self.whole = encode, limit, marks, whole
         self.known = pa.array([], pa.string())
         self.flat = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
@@ -72,7 +73,7 @@ class ChunkCache:
         chunk, of = coded.dictionary, coded.indices.to_numpy()
         place = pc.fill_null(pc.index_in(chunk, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.nonzero(place < 0)[0]
-        names = chunk.take(pa.array(missing)).to_pylist()
+        names = _listed(chunk, missing)
         odd = [k for k, x in enumerate(names) if not x or x[0].isspace() or x[-1].isspace()]
         strange = np.zeros(len(texts), dtype=bool)
         if odd:  # white space on both sides of a cut
@@ -80,8 +81,10 @@ class ChunkCache:
             bad[missing[odd]] = True
             place[missing[odd]] = 0
             missing = missing[~bad[missing]]
-            names = chunk.take(pa.array(missing)).to_pylist()
+            names = _listed(chunk, missing)
             strange = np.logical_or.reduceat(bad[of], at[:-1])
+        for mark in self.marks:
+            strange |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
         first, rank = np.unique(of[at[:-1]], return_inverse=True)
         got = self.encode([" " + x for x in names])
         place[missing] = len(self.known) + np.arange(len(missing))
@@ -92,7 +95,7 @@ class ChunkCache:
         flat = np.concatenate([self.flat, np.frombuffer(b"".join([*got, *extra]), dtype="<u4")])
         occurs = place[of]
         occurs[at[:-1]] = n + rank
-        if odd:
+        if len(whole):
             occurs[np.repeat(strange, np.diff(at))] = n + len(extra) - 1
             occurs[at[:-1][strange]] = n + len(first) + np.arange(len(whole))
         size = (ends[1:] - ends[:-1])[occurs]
@@ -106,9 +109,11 @@ class ChunkCache:
         return np.concatenate([[0], to[at[1:] - 1]]), out
 
     def _apart(self, text: str | None) -> bytes:
-        """The ids of a text with white space beside a space."""
+        """The ids of a text with white space beside a space, or with a mark."""
         if not text:
             return b""
+        if any(m in text for m in self.marks):
+            return self.whole([text])[0]
         first, *rest = split_chunks(text)
         return b"".join(self.encode([first, *(" " + x for x in rest)]))
 
@@ -120,6 +125,15 @@ class ChunkCache:
         return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _listed(chunk, places: np.ndarray) -> list[str]:
+    """The chunks at ``places``; no chunk has a space, so one split of all of them makes the strings."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    some = chunk.take(pa.array(places))
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py().split(" ") if len(some) else []
+
+
 def _trim(known: dict[str, bytes], added: list[str], limit: int) -> None:
     """Drop the last of ``added`` from ``known`` until ``limit`` are left."""
     for x in added[len(added) - max(0, len(known) - limit) :]:

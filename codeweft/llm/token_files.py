@@ -13,8 +13,9 @@ a reader fetch a range of documents, or the metadata without the ids.
   whole corpus is that plus the totals of the parts before, one number a part.
 
 Defined cases: a null text is the empty text and gets the end id alone; null
-doc_ids sort first; rows with one doc_id are ordered by text, repeated rows are
-all kept; an empty table gives no rows. Columns other than the two are not read.
+doc_ids sort first; rows with one doc_id are ordered by their texts' hashes and then
+as they lie, in as many parts as they need; repeated rows are all kept; texts are
+taken whole, of any length; an empty table gives no rows. Columns other than the two are not read.
 """
 
 from __future__ import annotations
@@ -34,15 +35,19 @@ _encoders: dict[str, chunks.ChunkCache] = {}
 
 
 def library_encoder(file: str) -> chunks.ChunkCache:
-    """Encodes by the tokenizers library with the vocabulary in ``file``; one a process."""
+    """Encodes by the tokenizers library with the vocabulary in ``file``; one a process.
+
+    As the library does by default, the strings of added tokens in a text are those tokens.
+    """
     from tokenizers import Tokenizer
     import public_tokenizers
 
     if file not in _encoders:
         tokenizer = Tokenizer.from_file(file)
-        tokenizer.encode_special_tokens = True
         import numpy as np
 
+        marks = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
         def whole(texts: list[str]) -> list[bytes]:
             return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -52,7 +57,7 @@ def library_encoder(file: str) -> chunks.ChunkCache:
             """The library's model on pre-tokens, mapped as its byte-level pre-tokeniser does."""
             return [array("I", [t.id for t in merge(p.encode("utf-8").decode("latin-1").translate(table))]).tobytes() for p in pieces]
 
-        _encoders[file] = chunks.ChunkCache(chunks.PieceCache(public_tokenizers.PATTERN, encode, whole=whole))
+        _encoders[file] = chunks.ChunkCache(chunks.PieceCache(public_tokenizers.PATTERN, encode, whole=whole), marks=marks, whole=whole)
     return _encoders[file]
 
 
@@ -84,8 +89,10 @@ def tokenise(docs: DataFrame, file: str, end_id: int = 0, partitions: int | None
                 row += len(some)
                 start += int(at[-1])
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = ranged.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id()]
+    rows = rows.select("doc_id", "text", *(o.alias(f"o{i}") for i, o in enumerate(order[1:])))
+    ranged = rows.repartitionByRange(n, "doc_id", "o0", "o1").sortWithinPartitions("doc_id", "o0", "o1").select("doc_id", "text")
     return common.map_arrow(ranged, run, SCHEMA)
 
 
@@ -106,24 +113,37 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(columns) if columns else df
 
 
-def with_start(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    """``df``, rows of ``path``, with ``start``: the ids of all documents before each.
-
-    The driver holds one number for each part of the files.
-    """
-    totals = spark.read.schema(SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    starts, total = [], 0
-    for row in totals:
-        starts.append((row["part"], total))
+def part_starts(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
+    """(part, ids before it, ids in it) in order: the driver holds these for each part of the files."""
+    out, total = [], 0
+    for row in spark.read.schema(SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        out.append((row["part"], total, row["n"]))
         total += row["n"]
-    offsets = spark.createDataFrame(starts, "part int, before long")
+    return out
+
+
+def with_start(spark: SparkSession, path: str, df: DataFrame, parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """``df``, rows of ``path``, with ``start``: the ids of all documents before each."""
+    offsets = spark.createDataFrame(part_starts(spark, path) if parts is None else parts, "part int, before long, size long").drop("size")
     return df.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.col("part_start")).drop("before")
 
 
 def read_slice(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
-    """Of the corpus's ids from ``first`` up to ``last``, those of each document: doc_id, start, ids."""
-    df = with_start(spark, path, read_tokens(spark, path))
-    inside = df.where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    """Of the corpus's ids from ``first`` up to ``last``, those of each document: doc_id, start, ids.
+
+    The parts' totals say which parts hold them and from and up to which part_start;
+    both are pushed down to the files, so that only row groups and pages with these
+    documents are read.
+    """
+    parts = [p for p in part_starts(spark, path) if p[1] < last and p[1] + p[2] > first]
+    df = read_tokens(spark, path)
+    if not parts:
+        return df.where("false").select("doc_id", F.col("part_start").alias("start"), "ids")
+    low, high = parts[0], parts[-1]
+    begin = read_tokens(spark, path, ["part", "part_start"]).where((F.col("part") == low[0]) & (F.col("part_start") <= max(0, first - low[1]))).agg(F.max("part_start")).first()[0]
+    df = df.where((F.col("part") >= low[0]) & (F.col("part") <= high[0]))
+    df = df.where((F.col("part") > low[0]) | (F.col("part_start") >= begin)).where((F.col("part") < high[0]) | (F.col("part_start") < last - high[1]))
+    inside = with_start(spark, path, df, parts)
     skip = F.greatest(F.lit(first) - F.col("start"), F.lit(0))
     size = F.least(F.col("n_tokens"), F.lit(last) - F.col("start")) - skip
     return inside.select("doc_id", (F.col("start") + skip).alias("start"), F.slice("ids", (skip + 1).cast("int"), size.cast("int")).alias("ids"))

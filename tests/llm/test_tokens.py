@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from codeweft.llm import byte_bpe, chunks, token_files
 from codeweft.llm.queries import QUERIES
@@ -36,7 +37,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -46,7 +46,9 @@ def test_encoders_equal_the_libraries_on_tricky_texts():
     got = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_batch(texts)]
     assert got == [own.encode_ordinary(t) for t in texts]
     assert [bpe.decode(i) for i in got] == [t.encode() for t in texts]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>x<|endoftext", "word <|endof text|>"]
     cache = token_files.library_encoder(P.path("byte_bpe_50k.json"))
+    assert any(50256 in ids for ids in library()(texts))
     assert [np.frombuffer(x, "<u4").tolist() for x in cache.ids(texts)] == library()(texts)
 
 
@@ -98,8 +100,15 @@ def test_token_files_layout_and_selective_reads(spark, tmp_path, encoding):
     assert ("DICTIONARY" in " ".join(ids.encodings)) == (encoding == "dictionary") and ids.has_offset_index
     assert encoding == "dictionary" or "DELTA_BINARY_PACKED" in ids.encodings
     flat = [x for t in library()(texts) for x in (*t, 7)]
-    part = token_files.read_slice(spark, path, 1000, 2500).orderBy("start").collect()
-    assert [x for row in part for x in row["ids"]] == flat[1000:2500] and part[0]["start"] == 1000
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    for a, b in ((1000, 2500), (0, 1), (0, len(flat)), (len(flat) - 5, len(flat) + 9), (4321, 4322)):
+        df = token_files.read_slice(spark, path, a, b)
+        part = df.orderBy("start").collect()
+        assert [x for row in part for x in row["ids"]] == flat[a:b] and part[0]["start"] == a
+        pushed = df._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+        assert all(x in pushed.split("ReadSchema")[0] for x in ("GreaterThanOrEqual(part,", "GreaterThanOrEqual(part_start,", "LessThan(part_start,"))
+    assert token_files.read_slice(spark, path, len(flat), len(flat) + 1).count() == 0
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     plan = token_files.read_tokens(spark, path, ["n_tokens"], (3, 5))
     assert [x["n_tokens"] for x in plan.collect()] == [len(t) + 1 for t in library()(texts[3:6])]
     shown = plan._jdf.queryExecution().executedPlan().toString()
@@ -111,10 +120,13 @@ def test_odd_documents(spark, tmp_path):
     path, file = str(tmp_path / "t"), P.path("byte_bpe_50k.json")
     token_files.write_tokens(docs, path, file)
     read = token_files.with_start(spark, path, token_files.read_tokens(spark, path))
-    key = lambda x: (x[0] is not None, x[0] or 0, x[1] or "")
-    rows = sorted(((i, t) for i, t, *_ in helpers.odd_rows()), key=key)
-    want = [len(x) + 1 for x in library()([t or "" for _, t in rows])]
-    assert [x["n_tokens"] for x in read.orderBy("start").collect()] == want
+    got = [(x["doc_id"], x["n_tokens"]) for x in read.orderBy("start").collect()]
+    want = [(i, len(x) + 1) for (i, *_), x in zip(helpers.odd_rows(), library()([t or "" for _, t, *_ in helpers.odd_rows()]), strict=True)]
+    by_id = lambda x: (x[0] is not None, x[0] or 0)
+    assert sorted(got, key=lambda x: (*by_id(x), x[1])) == sorted(want, key=lambda x: (*by_id(x), x[1])) and [by_id(x) for x in got] == sorted(map(by_id, got))
+    hot = helpers.docs(spark, [f"text {i}" for i in range(3000)]).withColumn("doc_id", F.lit(None).cast("long"))
+    sizes = [r["count"] for r in token_files.tokenise(hot, file).groupBy("part").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 1500, "rows of one id are dealt over the parts"
     out = byte_bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), decoded="decoded")
     assert [c for c in out.columns if c not in ("ids", "decoded")] == [c for c in docs.columns if c != "ids"]
     assert sorted(bytes(x[0]) for x in out.select("decoded").collect()) == sorted((t or "").encode() for _, t, *_ in helpers.odd_rows())
