@@ -7,27 +7,44 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Nodes with over a thousandth of all links, and over so many, are hot; there are at most a thousand of them.
+HOT = 200
+
+
+def _to_least(rows: DataFrame, most: int) -> DataFrame:
+    """(u, v, m): each link with the least node among its ``u`` and all of that one's ``v``.
+
+    Hot nodes are few, so their minima are broadcast and their links stay where they
+    are; all others meet theirs by a shuffle in which no node is hot.
+    """
+    least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    hot = least.where(F.col("n") > most).select("u", "m")
+    near = rows.join(F.broadcast(hot), "u")
+    rest = rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return near.unionByName(rest)
+
 
 def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v): for each node that is linked, but the least of its component, that least node.
 
-    ``edges`` has long columns u and v in any order. Every round is written to
-    the shared folder, so no lineage grows; links stay on the executors. Rounds
-    grow with the logarithm of the longest path. The minima are combined before
-    they are shuffled, and AQE splits the joins' hot nodes.
+    ``edges`` has long columns u and v in any order. Every round is written to the
+    shared folder, and the one before it deleted; links stay on the executors. Rounds
+    grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = common.written(spark, edges, "links"), None
+    n = edges.count()
     for _ in range(rounds):
+        most = max(2 * n // 1000, HOT)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.written(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = common.written(spark, _to_least(both, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        small = _to_least(large, most)
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        last, edges = edges, common.written(spark, small, "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        common.drop(last, large)
         if now == before:
             return edges
-        before = now
+        before, n = now, now[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")
