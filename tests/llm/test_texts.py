@@ -128,12 +128,30 @@ def test_op8_finds_nearly_all_that_comparing_everything_finds(spark):
             if (e := brute_edits(own, w)) <= decontaminate.allowed(len(own)):
                 want[d, i] = e
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    for block in (4096, 10):
+    for block in (decontaminate.BLOCK, 200):
         got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.find(helpers.docs(spark, texts), benchmark, block=block).collect()}
         assert set(got) <= set(want) and all(got[k] == want[k] for k in got), "what is found is exact"
         assert len(got) >= 0.97 * len(want) and {k for k in want if want[k] == 0} <= set(got)
 
 
+def test_large_benchmarks_and_very_long_items(spark, monkeypatch):
+    """10,000 items, one of 50,000 words: found with edits in it, and by its block alone where blocks are small."""
+    r = random.Random(5)
+    long = [f"l{r.randrange(5000)}" for _ in range(50_000)]
+    items = [(i, helpers.sentence(r, r.randrange(8, 40), 3000, "b")) for i in range(10_000)] + [(10_000, " ".join(long))]
+    texts = [helpers.sentence(r, 60, 3000, "w") for _ in range(60)]
+    texts[3] = f"{texts[3]} {items[17][1]} {texts[4]}"
+    texts[9] = " ".join(["before", *changed(r, long, 40), "after"])
+    docs, benchmark = helpers.docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontaminate.BLOCK, 150_000):
+        found = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontaminate.find(docs, benchmark, block=block).collect()}
+        assert found.get((3, 17)) == 0 and 0 < found[9, 10_000] <= 40 and {d for d, _ in found} == {3, 9}
+    assert decontaminate.clean(docs, benchmark, block=150_000).count() == 58
+    monkeypatch.setattr(decontaminate, "TOGETHER", 10)
+    index = decontaminate.Index(items[:50])
+    assert [bool(x) for x in index.search(texts[:6])] == [False, False, False, True, False, False]
+
+
 def test_clean_keeps_the_rest_and_all_columns(spark):
     docs = helpers.odd(spark)
     benchmark = spark.createDataFrame([(1, "one"), (2, None), (3, ""), (None, "other text of one id"), (4, "never seen anywhere at all")], "item_id long, text string")
