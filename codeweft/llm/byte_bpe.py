@@ -5,7 +5,8 @@ bytes mapped to printable characters one for one, scored by the negative rank,
 with identity normalisation and no added spaces. sentencepiece merges the
 best-scored pair first, the leftmost of equals, which is the order of the ranks.
 A pre-token that is a piece itself is that piece; any other is merged. Decoding
-maps each piece's characters back to bytes.
+takes the model's own pieces and maps their characters back to bytes by the inverse
+of that mapping; each piece is mapped back once a process.
 
 Defined cases: a null text is the empty text, which has no ids; any text
 round-trips, very long ones and control characters included; repeated rows and
@@ -80,6 +81,8 @@ class ByteBPE:
         self.rank = {p: i for i, p in enumerate(self.pieces)}
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.pieces))
         table = dict(enumerate(byte_characters()))
+        inverse = {ord(c): b for b, c in table.items()}
+        self.bytes_of = [self.sp.id_to_piece(i).translate(inverse).encode("latin-1") for i in range(len(self.pieces))]
         to_ids, mapped = self.rank.get, lambda raw: raw.decode("latin-1").translate(table)
 
         def encode(texts: list[str]) -> list[bytes]:
@@ -98,7 +101,7 @@ class ByteBPE:
         return self.cache.ids(texts)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 _models: dict[str, ByteBPE] = {}
