@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import TEST_FILE, TEST_PATH
+from .vocab import SAYING_NOTHING, TEST_FILE, TEST_PATH, TRANSPARENT
 
 
 def _c(x: Column | str) -> Column:
@@ -45,6 +45,19 @@ def decorator_head(decorator: Column | str) -> Column:
     return F.trim(F.split(F.regexp_replace(_c(decorator), r"^@", ""), r"\(")[0])
 
 
+def plain_type(annotation: Column | str, depth: int = 4) -> Column:
+    """The one dotted type that an annotation names, through up to ``depth`` transparent wrappers and one union with None; else null."""
+    bare = F.regexp_replace(_c(annotation), "^[\\s'\"]+|[\\s'\"]+$", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, rf"^(?:(?:\w+\.)*(?:{'|'.join(TRANSPARENT)})\[(?:[^\[\]]*,)?\s*){{1,{depth}}}", ""), r"\s*\]+$", "")
+    said = F.regexp_replace(inner, r"^(?:None\s*\|\s*)+|(?:\s*\|\s*None)+$", "")
+    return F.nullif(F.regexp_extract(said, rf"^(?!(?:\w+\.)*(?:{'|'.join(SAYING_NOTHING)})$)\w+(?:\.\w+)*$", 0), F.lit(""))
+
+
+def type_names(annotation: Column | str) -> Column:
+    """Every dotted name in an annotation, those inside containers and unions with them."""
+    return F.array_distinct(F.regexp_extract_all(_c(annotation), F.lit(r"([A-Za-z_]\w*(?:\.\w+)*)"), 1))
+
+
 def truncated(text: Column | str, most: int = 80, dots: str = "...") -> Column:
     """White space made single; more than ``most`` characters are cut to that with dots."""
     flat = F.trim(F.regexp_replace(_c(text), r"\s+", " "))

@@ -16,9 +16,15 @@ EXCLUDED_GLOBS = (".pytest_tmp/**", "scratch/**", "**/__pycache__/**")
 TEST_PATH = r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.[^/]*$|(^|/)tests?([-_]v\d+)?\.[^/]*$"
 TEST_FILE = r"^(test_.*|.*_test)\.py$"
 
-#: (role, decorator, name pattern, file pattern): the first rule all of whose given parts match.
-#: A dotted decorator is also known by its last segment alone.
-# Fixed values.
+# Wrappers of annotations that are what they wrap, and annotations that say nothing.
+TRANSPARENT = ("Optional", "Awaitable", "Coroutine")
+SAYING_NOTHING = ("Any", "object", "None", "NoReturn", "Never")
+
+# Top folders that hold no sources, where the folder of the packages is looked for.
+NO_SOURCES = ("tests", "test", "docs", "doc", "examples", "example", "scripts", "benchmarks", "benches", "tools")
+
+# A symbol gets the role of the first row that it fits in each part given; a decorator
+# with dots may also be written as its last part.
 ROLE_RULES: list[tuple[str, str | None, str | None, str | None]] = [
     ("test", None, r"^test_", TEST_PATH),
     ("fixture", "pytest.fixture", None, None),

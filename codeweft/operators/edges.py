@@ -59,6 +59,19 @@ def file_edges(edges: DataFrame, file_of: DataFrame) -> DataFrame:
     return joined.groupBy("src_file", "dst_file").agg(F.sum("count").alias("count"), F.count_distinct("target").alias("symbols"))
 
 
+def import_symbols(imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """(src_file, dst_file, count, names): the names that files take from others; ``imports`` has absolute, a whole import is *.
+
+    A symbol that is a module itself is taken from that module.
+    """
+    known = modules.select(F.col("id").alias("target"), F.col("file_path").alias("dst_file"))
+    rows = imports.withColumn("deep", F.concat_ws(".", F.nullif("absolute", F.lit("")), "target_symbol"))
+    rows = rows.join(known.select(F.col("target").alias("deep"), F.lit(True).alias("whole")), "deep", "left").withColumn("target", F.when(F.col("whole"), F.col("deep")).otherwise(F.col("absolute")))
+    rows = rows.join(known, "target").join(modules.select(F.col("id").alias("module"), F.col("file_path").alias("src_file")), "module").where("src_file <> dst_file")
+    name = F.when(F.col("is_wildcard"), "*").otherwise(F.coalesce("target_symbol", "target_module"))
+    return rows.groupBy("src_file", "dst_file").agg(F.count("*").alias("count"), F.array_sort(F.collect_set(name)).alias("names"))
+
+
 def implicit_constructors(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """An edge from a called class to its __init__, where it has one."""
     classes = nodes.where("kind = 'class'").select(F.col("id").alias("target"))

@@ -100,3 +100,51 @@ def cut(df: DataFrame, by: list[Column], k: int, keys: list[str] | None = None)
     first = df.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
     first = first.join(total, keys) if keys else first.join(F.broadcast(total))
     return first.withColumn("more", F.greatest(F.col("_n") - k, F.lit(0))).drop("_n")
+
+
+def neighbours(sites: DataFrame) -> DataFrame:
+    """(id, side, neighbour): what each symbol's edges lead to, down, and come from, up."""
+    down = sites.select(F.col("source").alias("id"), F.lit("down").alias("side"), F.col("target").alias("neighbour"))
+    return down.unionByName(sites.select(F.col("target").alias("id"), F.lit("up").alias("side"), F.col("source").alias("neighbour"))).distinct()
+
+
+def resolve_references(said: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(said, id): what references mean: an id, a file, path:line, or the only name or end of an id; null for none and for several.
+
+    Ends of ids are joined as suffixes of every id, so that no reference is compared with all nodes.
+    """
+    parts = F.split("id", r"\.")
+    ends = nodes.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("said"))
+    named = ends.unionByName(nodes.where("kind <> 'module'").select("id", F.col("name").alias("said"))).distinct()
+    by_name = said.select("said").distinct().join(named, "said").groupBy("said").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"), F.max(F.when(F.col("id") == F.col("said"), F.col("id"))).alias("whole"))
+    path = F.regexp_replace(F.regexp_replace("said", r"\\", "/"), r"^(\./)+", "")
+    rows = said.withColumn("file_path", F.regexp_replace(path, r":\d+$", "")).withColumn("line", F.expr("try_cast(nullif(regexp_extract(said, ':(\\\\d+)$', 1), '') AS INT)"))
+    modules = nodes.where("kind = 'module'").select("file_path", F.col("id").alias("by_file"))
+    spans = nodes.where("kind <> 'module'").select("file_path", F.col("id").alias("by_line"), "start_line", "end_line")
+    at = rows.where("line IS NOT NULL").join(spans, "file_path").where("start_line <= line AND line <= end_line").groupBy("said").agg(F.min_by("by_line", F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"))).alias("by_line"))
+    out = rows.join(modules, "file_path", "left").join(at, "said", "left").join(by_name, "said", "left")
+    whole_file = F.when(F.col("line").isNull(), F.col("by_file"))
+    return out.select("said", F.coalesce("whole", whole_file, "by_line", F.when(F.col("n") == 1, F.col("only"))).alias("id"))
+
+
+def close_names(nodes: DataFrame, word: str, n: int = 5, cutoff: float = 0.5) -> DataFrame:
+    """(name): the ``n`` names that are most like ``word`` by difflib's ratio, of all names; equal ones by name."""
+
+    def run(batches):
+        import difflib
+
+        import pyarrow as pa
+
+        matcher = difflib.SequenceMatcher()
+        matcher.set_seq2(word)
+        for batch in batches:
+            scored = []
+            for name in batch.column(0).to_pylist():
+                matcher.set_seq1(name)
+                if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff and (ratio := matcher.ratio()) >= cutoff:
+                    scored.append((ratio, name))
+            best = sorted(scored, key=lambda x: (-x[0], x[1]))[:n]
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in best], pa.string()), pa.array([x[0] for x in best], pa.float64())], names=["name", "ratio"])
+
+    names = nodes.where("name IS NOT NULL").select("name").distinct()
+    return names.mapInArrow(run, "name string, ratio double").orderBy(F.desc("ratio"), "name").limit(n).select("name")

@@ -118,3 +118,18 @@ def group_tags(tags: DataFrame, members: DataFrame) -> DataFrame:
     joined = members.join(tags, "id", "left")
     every = lambda c: F.when(F.count("*") == F.count(c), F.bool_and(c)).alias(c)
     return joined.groupBy("component").agg(every("error_handler"), every("hot"), every("always_guarded"), F.max("complexity").alias("complexity"), F.count("*").alias("size"))
+
+
+def external_calls(unresolved: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, target, count): calls out of the project by known callers, by the first segment of what they call."""
+    away = unresolved.where(F.col("reason").startswith("external: ")).select(F.col("caller_id").alias("id"), text.first_segment(F.expr("substring(reason, 11)")).alias("target"))
+    known = away.where("target <> ''").join(nodes.select("id"), "id", "left_semi")
+    return known.groupBy(F.col("id").alias("source"), "target").agg(F.count("*").alias("count"))
+
+
+def annotation_coverage(symbols: DataFrame) -> DataFrame:
+    """(file_path, callables, returns_said, params, params_said); self and cls are no parameters here."""
+    taken = F.filter("params", lambda p: ~p["name"].isin("self", "cls"))
+    rows = symbols.where(F.col("kind").isin("function", "method")).withColumn("_p", F.coalesce(taken, F.array()))
+    said = F.size(F.filter("_p", lambda p: p["annotation"].isNotNull()))
+    return rows.groupBy("file_path").agg(F.count("*").alias("callables"), F.count("returns").alias("returns_said"), F.sum(F.size("_p")).alias("params"), F.sum(said).alias("params_said"))

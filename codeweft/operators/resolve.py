@@ -39,7 +39,9 @@ def bindings(imports: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFram
     A symbol that its module only imports itself is followed, up to MAX_EXPORTS times.
     """
     rows = first_by(absolute_imports(imports).where("NOT is_wildcard"), ["module", "alias"], F.desc("line"))
-    rows = rows.withColumn("dotted", F.concat_ws(".", F.nullif("absolute", F.lit("")), "target_symbol"))
+    plain = F.col("target_symbol").isNull() & F.col("absolute").contains(".")
+    first = F.expr(r"regexp_extract(absolute, concat('^((?:.*?[.])?', alias, ')[.]'), 1)")
+    rows = rows.withColumn("dotted", F.when(plain & (first != ""), first).otherwise(F.concat_ws(".", F.nullif("absolute", F.lit("")), "target_symbol")))
     modules = files.select(F.col("module").alias("m"), F.lit(True).alias("is_module"))
     symbols = nodes.select(F.col("id").alias("s"), F.lit(True).alias("is_symbol"))
 
@@ -48,8 +50,10 @@ def bindings(imports: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFram
         return df.join(modules, F.col("dotted") == F.col("m"), "left").join(symbols, F.col("dotted") == F.col("s"), "left").withColumn("kind", kind).drop("m", "s", "is_module", "is_symbol")
 
     out = settled(known(rows).select("module", "alias", "dotted", "kind", "absolute", "target_symbol"), "bindings")
+    wild = wildcards(imports)
     for _ in range(MAX_EXPORTS):
         through = out.select(F.col("module").alias("absolute"), F.col("alias").alias("target_symbol"), F.col("dotted").alias("next"))
+        through = through.unionByName(starred(wild, nodes, out.where("kind = 'symbol'").select("module", F.col("alias").alias("name"), F.col("dotted").alias("id"))).join(through.select("absolute", "target_symbol"), (F.col("module") == F.col("absolute")) & (F.col("root") == F.col("target_symbol")), "left_anti").select(F.col("module").alias("absolute"), F.col("root").alias("target_symbol"), F.col("by_star").alias("next")))
         again = out.where("kind = 'external' AND target_symbol IS NOT NULL").join(through, ["absolute", "target_symbol"]).where("next <> dotted")
         if again.isEmpty():
             break
@@ -60,6 +64,30 @@ def bindings(imports: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFram
     return out.select("module", "alias", "kind", F.col("dotted").alias("target"))
 
 
+def wildcards(imports: DataFrame) -> DataFrame:
+    """(module, from_module, hops, line): the modules whose names each takes in whole, through at most MAX_EXPORTS of them."""
+    step = settled(absolute_imports(imports).where("is_wildcard").groupBy("module", F.col("absolute").alias("from_module")).agg(F.min("line").alias("line")), "wildcards")
+    level, every = step.withColumn("hops", F.lit(1)), [step.withColumn("hops", F.lit(1))]
+    onward = step.select(F.col("module").alias("from_module"), F.col("from_module").alias("next"))
+    for k in range(2, MAX_EXPORTS + 1):
+        level = level.join(onward, "from_module").where("next <> module").groupBy("module", F.col("next").alias("from_module")).agg(F.min("line").alias("line")).withColumn("hops", F.lit(k))
+        level = settled(level, "wildcards")
+        if level.isEmpty():
+            break
+        every.append(level)
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
+    return first_by(out, ["module", "from_module"], "hops", "line")
+
+
+def starred(wild: DataFrame, nodes: DataFrame, exported: DataFrame) -> DataFrame:
+    """(module, root, by_star): what names mean by whole imports: the source's own symbols, then those that it imports."""
+    own = nodes.where("parent IS NULL").select(F.col("module").alias("from_module"), F.col("name").alias("root"), F.col("id").alias("by_star"), F.lit(0).alias("how"))
+    more = exported.select(F.col("module").alias("from_module"), F.col("name").alias("root"), F.col("id").alias("by_star"), F.lit(1).alias("how"))
+    return first_by(wild.join(own.unionByName(more), "from_module"), ["module", "root"], "hops", "line", "how", "by_star").select("module", "root", "by_star")
+
+
 def ancestors(nodes: DataFrame, bound: DataFrame) -> DataFrame:
     """(class, ancestor, order, foreign): each class and its bases, depth first as far as names resolve; foreign ones by name."""
     classes = nodes.where("kind = 'class'").select(F.col("id").alias("class"), "module", "bases")
@@ -106,8 +134,7 @@ def scopes(nodes: DataFrame) -> DataFrame:
 
 def local_types(local: DataFrame, nodes: DataFrame, bound: DataFrame) -> DataFrame:
     """(scope, name, type_kind, type): names that every binding gives one type, unknown ones counting; types are builtin, project or external."""
-    inner = F.regexp_extract("path", r"^(?:Optional|Awaitable|typing\.Optional)\[(.*)\]$", 1)
-    path = F.when(F.col("source").isin("annotation", "parameter"), F.regexp_replace(F.when(inner != "", inner).otherwise(F.col("path")), r"\s*\|\s*None$|^None\s*\|\s*", "")).otherwise(F.col("path"))
+    path = F.when(F.col("source").isin("annotation", "parameter"), text.plain_type("path")).otherwise(F.col("path"))
     rows = local.withColumn("path", F.trim(path)).withColumn("own", F.col("source") != "parameter")
     single = F.col("path").rlike(r"^\w+(\.\w+)*$")
     rows = rows.withColumn("path", F.when(single, F.col("path"))).withColumn("root", text.first_segment("path"))
@@ -115,7 +142,7 @@ def local_types(local: DataFrame, nodes: DataFrame, bound: DataFrame) -> DataFra
     rows = rows.join(b, ["module", "root"], "left").withColumn("full", F.coalesce(F.concat("target", F.expr("substring(path, length(root) + 1)")), F.concat_ws(".", "module", "path")))
     what = nodes.where(F.col("kind").isin("class", "function", "method")).select(F.col("id").alias("full"), F.col("kind").alias("nkind"), "returns", F.col("module").alias("nmodule"))
     rows = rows.join(what, "full", "left")
-    produced = F.when(F.col("nkind") == "class", F.col("full")).when((F.col("source") == "call") & F.col("returns").rlike(r"^['\"]?\w+['\"]?$"), F.concat_ws(".", "nmodule", F.regexp_replace("returns", "['\"]", "")))
+    produced = F.when(F.col("nkind") == "class", F.col("full")).when((F.col("source") == "call") & text.plain_type("returns").isNotNull(), F.concat_ws(".", "nmodule", text.plain_type("returns")))
     builtin = F.col("path").isin(*BUILTIN_TYPES) & F.col("target").isNull()
     kind = F.when(F.col("path").isNull(), None).when(builtin, "builtin").when(produced.isNotNull(), "project").when(F.col("bkind") == "external", "external")
     rows = rows.select("scope", "name", "own", kind.alias("type_kind"), F.when(kind == "builtin", F.col("path")).when(kind == "project", produced).when(kind == "external", F.col("full")).alias("type"))
@@ -155,9 +182,8 @@ def resolve_calls(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, d
     top = nodes.where("parent IS NULL").select("module", F.col("name").alias("root"), F.col("id").alias("by_module"))
     x = x.join(top, ["module", "root"], "left")
     x = x.join(bound.select("module", F.col("alias").alias("root"), F.col("kind").alias("bkind"), F.col("target").alias("by_import")), ["module", "root"], "left")
-    wild = absolute_imports(tables["imports"]).where("is_wildcard").select("module", F.col("absolute").alias("from_module"))
-    starred = first_by(wild.join(nodes.where("parent IS NULL").select(F.col("module").alias("from_module"), F.col("name").alias("root"), F.col("id").alias("by_star")), "from_module"), ["module", "root"], "by_star").select("module", "root", "by_star")
-    x = x.join(starred, ["module", "root"], "left")
+    through = starred(wildcards(tables["imports"]), nodes, bound.where("kind = 'symbol'").select("module", F.col("alias").alias("name"), F.col("target").alias("id")))
+    x = x.join(through, ["module", "root"], "left")
     base = F.coalesce("by_scope", "by_module", "by_import", "by_star")
     x = x.withColumn("base", F.when(~self_call, base)).withColumn("direct", F.concat_ws(".", "base", F.nullif(F.array_join("attr_path", "."), F.lit(""))))
     x = x.join(callable_.withColumnRenamed("id", "direct"), "direct", "left")

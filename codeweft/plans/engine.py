@@ -18,7 +18,8 @@ class Options:
     exclude_dirs: tuple[str, ...] = EXCLUDED_DIRS
     exclude: list[str] = field(default_factory=list)
     max_bytes: int = tree.MAX_BYTES
-    strip_prefix: str | None = None
+    strip_prefix: str = ""
+    import_prefixes: list[str] | None = None
     drop_heuristic: bool = False
     module_calls: bool = True
     external_imports: bool = False
@@ -33,14 +34,21 @@ def module_nodes(files: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def analyse(spark: SparkSession, root: str, options: Options = Options()) -> dict[str, DataFrame]:
-    """nodes, sites, edges, unresolved, bindings, imports, diagnostics and manifest of the tree under ``root``.
+    """nodes, sites, edges, unresolved, bindings, imports, diagnostics and manifest of the tree under ``root``."""
+    return analyse_files(tree.scan(spark, root, options.exclude_dirs, options.exclude, options.max_bytes), options, tree.config_text(spark, root)) | {
+        "settings": spark.createDataFrame([(root, options.exclude)], "root string, exclude array<string>")
+    }
+
+
+def analyse_files(files: DataFrame, options: Options = Options(), config: str | None = None) -> dict[str, DataFrame]:
+    """:func:`analyse` of files as a scan gives them; ``config``: the text of their pyproject.toml.
 
     The manifest is listed before the parse, so that an edit meanwhile shows as a change later.
     """
-    files = tree.scan(spark, root, options.exclude_dirs, options.exclude, options.max_bytes)
     listed = settled(tree.manifest(files), "manifest")
-    strip = tree.common_prefix(files) if options.strip_prefix is None else options.strip_prefix
-    tables = tree.parse(files, strip)
+    tables = tree.parse(files, options.strip_prefix)
+    prefixes = tree.import_prefixes(files, config) if options.import_prefixes is None else options.import_prefixes
+    tables["imports"] = tree.canonical_imports(tables["imports"], tables["files"], prefixes)
     calls, unresolved, lookups = resolve.resolve_calls(tables)
     symbols = lookups["nodes"]
     nodes = settled(symbols.unionByName(module_nodes(tables["files"], symbols)), "nodes")
@@ -61,4 +69,4 @@ def analyse(spark: SparkSession, root: str, options: Options = Options()) -> dic
     for p in parts[1:]:
         sites = sites.unionByName(p)
     sites = settled(sites, "sites")
-    return {"nodes": nodes, "sites": sites, "edges": settled(edges.fold(sites, per_type=False), "edges"), "unresolved": settled(unresolved, "unresolved"), "bindings": lookups["bindings"], "imports": tables["imports"], "diagnostics": tables["diagnostics"], "manifest": listed}
+    return {"nodes": nodes, "sites": sites, "edges": settled(edges.fold(sites, per_type=False), "edges"), "unresolved": settled(unresolved, "unresolved"), "bindings": lookups["bindings"], "imports": tables["imports"], "diagnostics": tables["diagnostics"], "occurrences": tables["occurrences"], "manifest": listed}

@@ -5,7 +5,6 @@ An answer that was cut says so: lists have ``*_more``, closures ``truncated``.
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
 
@@ -23,6 +22,8 @@ from ..streaming import snapshot
 from .engine import Options, analyse
 
 BUDGET = 200
+#: Rows of an answer that has no limit of its own.
+LISTED = 10_000
 
 
 def _listed(df: DataFrame, columns: list[str], order: list, limit: int) -> tuple[list, int]:
@@ -128,8 +129,7 @@ class Workspace:
         if named:
             raise QueryError(f"{ref!r} may be {', '.join(named)}")
         last = ref.rsplit(".", 1)[-1]
-        near = [r[0] for r in self.symbols.orderBy(F.levenshtein("name", F.lit(last)), "id").select("name").limit(200).collect()]
-        guess = difflib.get_close_matches(last, list(dict.fromkeys(near)), n=5, cutoff=0.5)
+        guess = [r[0] for r in filters.close_names(self.symbols, last).collect()]
         raise QueryError(f"no {ref!r}" + (f"; perhaps {', '.join(guess)}" if guess else ""))
 
     def _node(self, id: str) -> dict:
@@ -153,16 +153,29 @@ class Workspace:
         rows = filters.find(self.nodes, pattern, kind, regex, limit).orderBy("place", "pattern").collect()
         return {"ids": [r["id"] for r in rows], "total": sum({r["pattern"]: r["total"] for r in rows}.values())}
 
-    def refs(self, name: str, match: str = "exact", mode: str | None = None, limit: int = 100) -> dict:
-        """Sites that read, write, call or name ``name``."""
+    def refs(self, name: str, kinds: str = "all", match: str = "exact", path: str | None = None, limit: int = 100) -> dict:
+        """Where ``name`` is written, as attributes, other names and strings, by file; a structured search, no inference.
+
+        An attribute that is also a resolved read or write of its owner says exact.
+        """
         checked(match, ("exact", "substring", "regex"), "match")
-        last = text.last_segment("target")
-        hit = last == name if match == "exact" else last.contains(name) if match == "substring" else last.rlike(name)
-        rows = self.sites.where(hit)
-        if mode:
-            rows = rows.where(F.col("edge_type").isin([{"r": "READS", "w": "WRITES", "c": "CALLS"}[m] for m in mode]))
-        got, more = _listed(rows, ["source", "target", "edge_type", "line"], ["source", "line", "target"], limit)
-        return {"refs": got, "refs_more": more}
+        some = {"attr", "name", "string"} if kinds == "all" else set(kinds.split(","))
+        for k in some:
+            checked(k, ("attr", "name", "string"), "ref kind")
+        word = F.col("text")
+        hit = word == name if match == "exact" else F.lower(word).contains(name.lower()) if match == "substring" else word.rlike("(?i)" + name)
+        rows = self.tables["occurrences"].where(F.col("kind").isin(*some) & hit)
+        if path:
+            rows = rows.where(text.matches_any("file_path", [path], crossing=True))
+        known = self.of_type("READS", "WRITES").select(F.col("source").alias("owner"), text.last_segment("target").alias("text")).distinct().withColumn("exact", F.lit(True))
+        rows = rows.join(known, ["owner", "text"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)) & (F.col("kind") == "attr"))
+        got, more = _listed(rows, ["file_path", "line", "mode", "exact", "owner", "kind", "text"], ["file_path", "line", "kind", "owner", "text"], limit)
+        hits: dict[str, list[str]] = {}
+        for r in got:
+            said = " ".join(r["text"].split("\n")).strip()
+            said = repr(said if len(said) <= 80 else said[:77] + "...")
+            hits.setdefault(r["file_path"], []).append(f"L{r['line']} {r['mode']}{' exact' if r['exact'] else ''} {r['owner']}" + (f" {said}" if r["kind"] == "string" else ""))
+        return {"name": name, "total": len(got) + more, "hits": hits, "refs_more": more}
 
     def symbol(self, ref: str, limit: int = 25, code: bool = False) -> dict:
         id = self.resolve(ref)
@@ -183,7 +196,7 @@ class Workspace:
 
     def room(self, ref: str, types: tuple[str, ...] = ("CALLS",), max_neighbors: int | None = None, unresolved: bool = True) -> dict:
         """A symbol with its neighbours one edge away."""
-        id, limit = self.resolve(ref), max_neighbors or 1 << 20
+        id, limit = self.resolve(ref), max_neighbors or LISTED
         near = self.of_type(*types)
         about = self.nodes.select("id", "kind", "signature", "docstring", "file_path")
         up, up_more = _listed(near.where(F.col("target") == id).select(F.col("source").alias("id")).distinct().join(about, "id"), ["id", "kind", "signature", "file_path"], ["id"], limit)
@@ -210,27 +223,35 @@ class Workspace:
         value = {"symbols": F.count(F.when(F.col("kind") != "module", 1)), "lines": F.coalesce(F.max("end_line"), F.lit(0)), "files": F.lit(1)}[metric]
         rows = self.nodes.where("file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg(value.cast("long").alias("value"))
         dirs = paths.rollup(rows, "value", depth=depth, root=directory)
-        return {"metric": metric, "dirs": {r["dir"] or ".": r["total"] for r in dirs.orderBy("dir").collect()}}
+        got, more = _listed(dirs, ["dir", "total"], ["dir"], LISTED)
+        return {"metric": metric, "dirs": {r["dir"] or ".": r["total"] for r in got}, "dirs_more": more}
 
     def imports(self, ref: str | None = None, depth: int = 1, direction: str = "both", mixed: bool = False) -> dict:
         checked(direction, ("both", "in", "out"), "direction")
         if ref is None:
-            return {"edges": [r.asDict() for r in self.file_imports.orderBy("src_file", "dst_file").collect()]}
+            got, more = _listed(self.file_imports, self.file_imports.columns, ["src_file", "dst_file"], LISTED)
+            return {"edges": got, "edges_more": more}
         path = self._node(self.resolve(ref, ("module",)))["file_path"]
         seed = self.nodes.sparkSession.createDataFrame([(path,)], "id string")
         if mixed:
-            return {"file": path, "near": {r["id"]: r["hop"] for r in graph.grow(seed, self.file_steps, depth).collect()}}
+            got, more = _listed(graph.grow(seed, self.file_steps, depth), ["id", "hop"], ["hop", "id"], LISTED)
+            return {"file": path, "near": {r["id"]: r["hop"] for r in got}, "near_more": more}
         out: dict = {"file": path}
         for name, step in (("imports", self.file_steps), ("imported_by", graph.flipped(self.file_steps))):
             if direction in ("both", "out" if name == "imports" else "in"):
-                out[name] = {r["id"]: r["hop"] for r in graph.expand(seed, step, depth)[0].where("hop > 0").orderBy("hop", "id").collect()}
+                got, out[f"{name}_more"] = _listed(graph.expand(seed, step, depth)[0].where("hop > 0"), ["id", "hop"], ["hop", "id"], LISTED)
+                out[name] = {r["id"]: r["hop"] for r in got}
         return out
 
     def import_cycles(self) -> list[list[str]]:
         ids = self.nodes.where("kind = 'module'").select(F.col("file_path").alias("id"))
         scc = graph.strongly_connected(ids, self.file_steps)
         big = scc.join(graph.cycles(scc).select("component"), "component")
-        return [sorted(r["ids"]) for r in big.groupBy("component").agg(F.collect_list("id").alias("ids")).orderBy("component").collect()]
+        got, _ = _listed(big, ["component", "id"], ["component", "id"], LISTED)
+        out: dict[str, list[str]] = {}
+        for r in got:
+            out.setdefault(r["component"], []).append(r["id"])
+        return list(out.values())
 
     def entries(self, limit: int = 20, include_tests: bool = False) -> dict:
         """Entries by reach, the best of each component."""
@@ -262,24 +283,55 @@ class Workspace:
             out["externals"] = _listed(un.groupBy(F.expr("substring(reason, 11)").alias("target")).agg(F.count("*").alias("sites")), ["target", "sites"], ["target"], 50)[0]
         return out
 
+    def file_impact(self, path: str, budget: int | None = None) -> tuple[DataFrame, bool]:
+        """(id, hop) of the files that a change of the file reaches, itself at 0, and whether the budget cut it."""
+        return graph.expand(self._ids([path]), graph.flipped(self.file_steps), budget=budget)
+
+    def symbol_impact(self, id: str, budget: int | None = None) -> tuple[DataFrame, bool]:
+        """(id, hop) of what calls the symbol, a class's methods with it; of state, its users at 0."""
+        node, seeds = self._node(id), self._ids([id])
+        if node["kind"] in STATE_KINDS:
+            seeds = self.of_type("READS", "WRITES").where(F.col("target") == id).select(F.col("source").alias("id")).distinct()
+        elif node["kind"] == "class":
+            seeds = seeds.union(self.symbols.where((F.col("parent") == id) & F.col("kind").isin(*CALLABLE_KINDS)).select("id"))
+        every = self.calls.select("source", "target").union(self.module_calls)
+        return graph.expand(seeds, graph.flipped(every), budget=budget)
+
+    def state_of(self, seeds: DataFrame, budget: int | None = None) -> tuple[DataFrame, bool]:
+        """(seed, target, own, mode): state that each of ``seeds`` (seed, id) uses itself, and through its calls where not itself."""
+        hit, truncated = graph.expand(seeds, self.calls, budget=budget)
+        use = self.of_type("READS", "WRITES").join(hit.select("seed", F.col("id").alias("source"), "hop"), "source")
+        own = F.col("hop") == 0
+        rows = use.groupBy("seed", "target").agg(F.bool_or(own).alias("own"), *(F.bool_or(mine & (F.col("edge_type") == kind)).alias(name) for name, mine, kind in (("r", F.lit(True), "READS"), ("w", F.lit(True), "WRITES"), ("own_r", own, "READS"), ("own_w", own, "WRITES"))))
+        mode = lambda r, w: F.concat(F.when(F.col(r), "r").otherwise(""), F.when(F.col(w), "w").otherwise(""))
+        return rows.select("seed", "target", "own", F.when(F.col("own"), mode("own_r", "own_w")).otherwise(mode("r", "w")).alias("mode")), truncated
+
+    def affected(self, files: list[str], depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(id) of the test files that a change of ``files`` may break, and of those that are not known."""
+        known = self.nodes.where("kind = 'module'").select(F.col("file_path").alias("id"))
+        asked = self._ids([re.sub(r"^(\./)+", "", f) for f in files]).distinct()
+        present = settled(asked.join(known, "id", "left_semi"), "asked")
+        folder = F.regexp_replace("id", r"[^/]*$", "")
+        conftest = present.where(F.col("id").rlike(r"(^|/)conftest\.py$")).select(folder.alias("dir"))
+        under = known.join(F.broadcast(conftest), known["id"].startswith(conftest["dir"]), "left_semi") if not conftest.isEmpty() else known.limit(0)
+        hit, _ = graph.expand(present, graph.flipped(self.file_steps), depth)
+        return hit.select("id").union(under.select("id")).distinct().where(text.is_collectible_test("id")), asked.join(known, "id", "left_anti")
+
+    def _ids(self, ids: list[str]) -> DataFrame:
+        return self.nodes.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+
     def impact(self, ref: str, budget: int = BUDGET) -> dict:
         """What a change reaches: importers of a file, callers of a callable, both of a variable's users."""
         id = self.resolve(ref)
-        node, spark = self._node(id), self.nodes.sparkSession
-        one = lambda x: spark.createDataFrame([(x,)], "id string")
+        node = self._node(id)
         test = lambda p: bool(re.search(text.TEST_PATH, p or ""))
         if node["kind"] == "module":
-            hit, truncated = graph.expand(one(node["file_path"]), graph.flipped(self.file_steps), budget=budget)
-            files = {r["id"]: r["hop"] for r in hit.where("hop > 0").orderBy("hop", "id").collect()}
+            hit, truncated = self.file_impact(node["file_path"], budget)
+            files = {r["id"]: r["hop"] for r in hit.where("hop > 0").orderBy("hop", "id").limit(budget + 1).collect()}
             return {"file": node["file_path"], "files": {k: v for k, v in files.items() if not test(k)}, "test_files": {k: v for k, v in files.items() if test(k)}, "truncated": truncated}
-        seeds = one(id)
-        if node["kind"] in STATE_KINDS:
-            seeds = self.of_type("READS", "WRITES").where(F.col("target") == id).select(F.col("source").alias("id")).distinct()
-        elif node["kind"] == "class":
-            seeds = seeds.union(self.symbols.where((F.col("parent") == id) & F.col("kind").isin(*CALLABLE_KINDS)).select("id"))
-        every = self.calls.select("source", "target").union(self.module_calls)
-        hit, truncated = graph.expand(seeds, graph.flipped(every), budget=budget)
+        hit, truncated = self.symbol_impact(id, budget)
         rows = [r.asDict() for r in hit.join(self.nodes.select("id", "file_path"), "id", "left").orderBy("hop", "id").collect()]
+        seeds = hit.where("hop = 0").select("id")
         named = [r[0] for r in self.of_type("REFERENCES").join(seeds.withColumnRenamed("id", "target"), "target", "left_semi").select("source").distinct().orderBy("source").collect()]
         state = node["kind"] in STATE_KINDS
         files = sorted({r["file_path"] for r in rows if r["file_path"] and (r["hop"] > 0 or state)})
@@ -287,26 +339,16 @@ class Workspace:
 
     def tests_for(self, files: list[str], depth: int | None = None) -> dict:
         """Test files that a change of ``files`` may break: themselves, a conftest's folder, importers; others are skipped."""
-        spark = self.nodes.sparkSession
-        known = self.nodes.where("kind = 'module'").select(F.col("file_path").alias("id"))
-        asked = spark.createDataFrame([(re.sub(r"^(\./)+", "", f),) for f in files], "id string").distinct()
-        present = settled(asked.join(known, "id", "left_semi"), "asked")
-        folder = F.regexp_replace("id", r"[^/]*$", "")
-        conftest = present.where(F.col("id").rlike(r"(^|/)conftest\.py$")).select(folder.alias("dir"))
-        under = known.join(F.broadcast(conftest), known["id"].startswith(conftest["dir"]), "left_semi") if not conftest.isEmpty() else known.limit(0)
-        hit, _ = graph.expand(present, graph.flipped(self.file_steps), depth)
-        tests = hit.select("id").union(under.select("id")).distinct().where(text.is_collectible_test("id"))
-        return {"tests": [r[0] for r in tests.orderBy("id").collect()], "skipped": [r[0] for r in asked.join(known, "id", "left_anti").orderBy("id").collect()]}
+        tests, skipped = self.affected(files, depth)
+        got, more = _listed(tests, ["id"], ["id"], LISTED)
+        return {"tests": got, "tests_more": more, "skipped": _listed(skipped, ["id"], ["id"], LISTED)[0]}
 
     def state(self, ref: str, budget: int = BUDGET) -> dict:
         """State that a callable reads and writes itself, and through what it calls; both ways are rw."""
         id = self.resolve(ref, CALLABLE_KINDS)
-        seed = self.nodes.sparkSession.createDataFrame([(id,)], "id string")
-        hit, truncated = graph.expand(seed, self.calls, budget=budget)
-        use = self.of_type("READS", "WRITES").join(hit.select(F.col("id").alias("source"), "hop"), "source")
-        rows = use.groupBy("target").agg(F.bool_or(F.col("hop") == 0).alias("own"), F.bool_or(F.col("edge_type") == "READS").alias("r"), F.bool_or(F.col("edge_type") == "WRITES").alias("w"), F.bool_or((F.col("hop") == 0) & (F.col("edge_type") == "READS")).alias("own_r"), F.bool_or((F.col("hop") == 0) & (F.col("edge_type") == "WRITES")).alias("own_w")).orderBy("target").collect()
-        mode = lambda r, w: "r" * r + "w" * w
-        return {"id": id, "own": {x["target"]: mode(x["own_r"], x["own_w"]) for x in rows if x["own"]}, "through_calls": {x["target"]: mode(x["r"], x["w"]) for x in rows if not x["own"]}, "truncated": truncated}
+        used, truncated = self.state_of(self._ids([id]).select(F.col("id").alias("seed"), "id"), budget)
+        rows, more = _listed(used, ["target", "own", "mode"], ["target"], LISTED)
+        return {"id": id, "own": {x["target"]: x["mode"] for x in rows if x["own"]}, "through_calls": {x["target"]: x["mode"] for x in rows if not x["own"]}, "state_more": more, "truncated": truncated}
 
     def source(self, ref: str) -> str:
         node = self._node(self.resolve(ref))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import queries_tree
 from .functions import text
 from .functions.vocab import EFFECTS, TEST_PATH
 from .operators import edges, filters, graph, links, metrics, paths
@@ -14,8 +15,8 @@ from .sources import projections as P
 from .streaming import snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(queries_tree.QUERIES)
+SQL: dict[str, str] = dict(queries_tree.SQL)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

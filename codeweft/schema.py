@@ -15,6 +15,7 @@ CALL_SITES = "caller string, module string, file_path string, root string, attr_
 IMPORTS = "module string, alias string, target_module string, target_symbol string, is_relative boolean, level int, is_wildcard boolean, is_package boolean, line int"
 REFERENCES = "owner string, module string, root string, attr_path array<string>, position string, line int"
 ACCESSES = "owner string, module string, root string, attr string, kind string, line int"
+OCCURRENCES = "owner string, module string, file_path string, kind string, text string, mode string, line int"
 LOCALS = "scope string, module string, name string, source string, path string, line int"
 DIAGNOSTICS = "file_path string, kind string, detail string, line int"
 MANIFEST = "path string, mtime_ns long"

@@ -105,7 +105,7 @@ class Extractor:
         self.starts = [0]
         for line in self.lines:
             self.starts.append(self.starts[-1] + len(line.encode("utf-8", "surrogatepass")) + 1)
-        self.out: dict[str, list[tuple]] = {k: [] for k in ("nodes", "imports", "calls", "locals", "references", "accesses", "diagnostics")}
+        self.out: dict[str, list[tuple]] = {k: [] for k in ("nodes", "imports", "calls", "locals", "references", "accesses", "occurrences", "diagnostics")}
         self.seen: set[str] = set()
         self.package = bool(re.search(r"(^|/)__init__\.pyi?$", file_path))
         self.seq = 0
@@ -123,6 +123,7 @@ class Extractor:
             try:
                 top.globals = set()
                 self._block(tree.body, top, [], None)
+                self._occurrences(tree)
             except RecursionError:
                 self.note("depth", "nested too deep", 0)
         return self.out
@@ -140,6 +141,31 @@ class Extractor:
             ast.increment_lineno(tree, a)
             yield tree
 
+    def _occurrences(self, tree: ast.Module) -> None:
+        """Every attribute, other name and string as it is written, with the definition around its line."""
+        stored: set[int] = set()
+        called: set[int] = set()
+        todo: list[tuple[ast.AST, str]] = [(tree, self.module)]
+        while todo:
+            n, owner = todo.pop()
+            if isinstance(n, _DEFS):
+                owner = f"{owner}.{n.name}"
+            if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+                for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
+                    stored.update(id(x) for x in ast.walk(t))
+            elif isinstance(n, ast.Call):
+                called.add(id(n.func))
+            what = None
+            if isinstance(n, ast.Attribute):
+                what = ("attr", n.attr, "c" if id(n) in called else "w" if id(n) in stored else "r")
+            elif isinstance(n, ast.Name):
+                what = ("name", n.id, "r")
+            elif isinstance(n, ast.Constant) and isinstance(n.value, str):
+                what = ("string", n.value, "r")
+            if what:
+                self.out["occurrences"].append((owner, self.module, self.path, *what, n.lineno))
+            todo += [(x, owner) for x in ast.iter_child_nodes(n)]
+
     def note(self, kind: str, detail: str, line: int) -> None:
         if len(self.out["diagnostics"]) < MAX_DIAGNOSTICS:
             self.out["diagnostics"].append((self.path, kind, detail, line))
@@ -332,7 +358,7 @@ class Extractor:
         row = lambda alias, target, symbol, level, wild: self.out["imports"].append((self.module, alias, target, symbol, level > 0, level, wild, self.package, s.lineno))
         if isinstance(s, ast.Import):
             for a in s.names:
-                row(a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0], None, 0, False)
+                row(a.asname or a.name.split(".")[0], a.name, None, 0, False)
         else:
             for a in s.names:
                 row(a.asname or a.name, s.module or "", None if a.name == "*" else a.name, s.level, a.name == "*")
@@ -405,5 +431,5 @@ class Extractor:
 
 
 def extract(text: str, file_path: str, module: str) -> dict[str, list[tuple]]:
-    """Rows by table: nodes, imports, calls, locals, references, accesses, diagnostics."""
+    """Rows by table: nodes, imports, calls, locals, references, accesses, occurrences, diagnostics."""
     return Extractor(text.replace("\r\n", "\n").replace("\r", "\n"), file_path, module).run()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import subprocess
-import uuid
+import tomllib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text
-from ..functions.vocab import EXCLUDED_DIRS
-from ..session import settled, shared_dir, ship
+from ..functions.vocab import EXCLUDED_DIRS, NO_SOURCES
+from ..session import new_path, settled, ship
 
 MAX_BYTES, HEAD = 1 << 20, 8192
 #: Files by extension, and whether they are parsed.
 LANGUAGES = {"py": ("python", True), "pyi": ("python", True), "js": ("javascript", False), "ts": ("typescript", False)}
-FACTS = {"nodes": schema.NODES, "imports": schema.IMPORTS, "calls": schema.CALL_SITES, "locals": schema.LOCALS, "references": schema.REFERENCES, "accesses": schema.ACCESSES, "diagnostics": schema.DIAGNOSTICS}
+FACTS = {"nodes": schema.NODES, "imports": schema.IMPORTS, "calls": schema.CALL_SITES, "locals": schema.LOCALS, "references": schema.REFERENCES, "accesses": schema.ACCESSES, "occurrences": schema.OCCURRENCES, "diagnostics": schema.DIAGNOSTICS}
 
 
 def scan(spark: SparkSession, root: str, exclude_dirs: tuple[str, ...] = EXCLUDED_DIRS, exclude: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -34,6 +34,11 @@ def scan(spark: SparkSession, root: str, exclude_dirs: tuple[str, ...] = EXCLUDE
     rel = F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:(//[^/]*)?(?=/)', ''), {skip})")
     rows = files.select(rel.alias("file_path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "length", "content")
     rows = rows.unionByName(_underscored(spark, fs, top, skip, max_bytes))
+    return guarded(rows, exclude_dirs, exclude, max_bytes)
+
+
+def guarded(rows: DataFrame, exclude_dirs: tuple[str, ...] = EXCLUDED_DIRS, exclude: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``rows`` without excluded folders and globs; large and binary files say so in ``skipped`` and lose their content."""
     rows = rows.where(~F.arrays_overlap(F.split("file_path", "/"), F.array(*map(F.lit, exclude_dirs))))
     if exclude:
         base = F.element_at(F.split("file_path", "/"), -1)
@@ -46,41 +51,101 @@ def scan(spark: SparkSession, root: str, exclude_dirs: tuple[str, ...] = EXCLUDE
 def _underscored(spark: SparkSession, fs, top, skip: int, max_bytes: int, batch: int = 4 << 20) -> DataFrame:
     """The files that Spark's readers take for hidden ones, such as __init__.py.
 
-    The driver hands them on to the shared folder, ``batch`` bytes at a time; files
-    over ``max_bytes`` are listed without content.
+    The driver lists them. Where paths are of the file system that every machine
+    mounts, tasks open them; of other stores, whose readers all hide them, the driver
+    hands them on to the shared folder, ``batch`` bytes at a time. Files over
+    ``max_bytes`` are listed without content.
     """
     fields = "file_path string, mtime_ns long, length long, content binary"
-    path = f"{shared_dir(spark).rstrip('/')}/underscored-{uuid.uuid4().hex}"
-    spark.createDataFrame([], fields).write.parquet(path)
+    mounted = fs.getUri().getScheme() == "file"
+    path = new_path(spark, "underscored")
     rows, size, listing = [], 0, fs.listFiles(top, True)
     while listing.hasNext():
         f = listing.next()
         name = f.getPath().getName()
         if not name.startswith("_") or not LANGUAGES.get(name.rsplit(".", 1)[-1], ("", False))[1]:
             continue
-        content = None
+        at, content = f.getPath().toUri().getPath(), None
         if f.getLen() <= max_bytes:
-            stream = fs.open(f.getPath())
-            content = bytes(stream.readAllBytes())
-            stream.close()
-        rows.append((f.getPath().toUri().getPath()[skip - 1 :], f.getModificationTime() * 1_000_000, f.getLen(), content))
+            if mounted:
+                content = at.encode()
+            else:
+                stream = fs.open(f.getPath())
+                content = bytes(stream.readAllBytes())
+                stream.close()
+        rows.append((at[skip - 1 :], f.getModificationTime() * 1_000_000, f.getLen(), content))
         size += len(content or b"")
-        if size > batch or len(rows) >= 1000:
+        if size > batch or len(rows) >= 10_000:
             spark.createDataFrame(rows, fields).write.mode("append").parquet(path)
             rows, size = [], 0
-    if rows:
-        spark.createDataFrame(rows, fields).write.mode("append").parquet(path)
-    return spark.read.schema(fields).parquet(path)
+    spark.createDataFrame(rows, fields).write.mode("append").parquet(path)
+    listed = spark.read.schema(fields).parquet(path)
+
+    def opened(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            read = [None if p is None else open(p, "rb").read() for p in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(read, pa.binary())], names=batch.schema.names)
+
+    return listed.repartition(8).mapInArrow(opened, fields) if mounted else listed
+
+
+def config_text(spark: SparkSession, root: str) -> str | None:
+    """The pyproject.toml at the top of ``root``, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root, "pyproject.toml")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+    finally:
+        stream.close()
 
 
 def manifest(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_path").alias("path"), "mtime_ns")
 
 
-def common_prefix(files: DataFrame) -> str:
-    """The only top folder if it is called src, as packages in it are imported without it."""
-    tops = [r[0] for r in files.select(F.split("file_path", "/")[0].alias("t")).distinct().limit(2).collect()]
-    return "src" if tops == ["src"] else ""
+def import_prefixes(files: DataFrame, config: str | None = None) -> list[str]:
+    """Folders, as dotted prefixes of module names, that imports leave out.
+
+    ``config`` is the text of a pyproject.toml, whose package settings (setuptools,
+    hatch, poetry) come first. Without any, it is the only top folder that holds
+    packages, isn't one itself and isn't known to hold no sources.
+    """
+    settings = tomllib.loads(config).get("tool", {}) if config else {}
+    dotted = lambda p: ".".join(x for x in p.replace("\\", "/").split("/") if x not in ("", "."))
+    packages = files.where(F.element_at(F.split("file_path", "/"), -1) == "__init__.py").select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("p"))
+    out = [dotted(w) for w in settings.get("setuptools", {}).get("packages", {}).get("find", {}).get("where", [])]
+    hatch = settings.get("hatch", {}).get("build", {})
+    for entry in (*hatch.get("packages", []), *hatch.get("targets", {}).get("wheel", {}).get("packages", [])):
+        folder = dotted(entry)
+        is_package = not packages.where(F.col("p") == folder.replace(".", "/")).isEmpty()
+        out.append(folder.rpartition(".")[0] if is_package else folder)
+    out += [dotted(e["from"]) for e in settings.get("poetry", {}).get("packages", []) if "from" in e]
+    out = [x for x in dict.fromkeys(out) if x]
+    if not out:
+        parts = F.split("p", "/")
+        top = packages.groupBy(parts[0].alias("top")).agg(F.bool_or(F.size(parts) == 1).alias("itself"), F.bool_or(F.size(parts) == 2).alias("holds"))
+        some = [r["top"] for r in top.where(~F.col("itself") & F.col("holds") & ~F.col("top").isin(*NO_SOURCES) & ~F.col("top").startswith(".")).limit(2).collect()]
+        out = some if len(some) == 1 else []
+    return out
+
+
+def canonical_imports(imports: DataFrame, files: DataFrame, prefixes: list[str]) -> DataFrame:
+    """``imports`` whose absolute targets are modules' own names where they are written without one of ``prefixes``."""
+    if not prefixes:
+        return imports
+    own = files.select("module")
+    seen = None
+    for k, p in enumerate(prefixes):
+        some = own.where(F.col("module").startswith(p + ".")).select(F.expr(f"substring(module, {len(p) + 2})").alias("target_module"), F.col("module").alias("full"), F.lit(k).alias("k"))
+        seen = some if seen is None else seen.unionByName(some)
+    seen = seen.groupBy("target_module").agg(F.min_by("full", "k").alias("full")).join(own.withColumnRenamed("module", "target_module"), "target_module", "left_anti")
+    out = imports.join(seen, "target_module", "left")
+    return out.withColumn("target_module", F.when(~F.col("is_relative"), F.coalesce("full", "target_module")).otherwise(F.col("target_module"))).select(*imports.columns)
 
 
 def parse(files: DataFrame, strip: str = "") -> dict[str, DataFrame]:

@@ -58,7 +58,7 @@ def test_damaged_files_keep_what_parses():
 
 def test_imports_and_locals():
     got = extract("import a.b\nimport a.b as c\nfrom ..d import e as f\nfrom g import *\n\ndef h(p: 'Q'):\n    x: int = 1\n    y = Foo()\n    z = y if p else None\n", "k/m.py", "k.m")
-    assert [r[1:4] + (r[5], r[6]) for r in got["imports"]] == [("a", "a", None, 0, False), ("c", "a.b", None, 0, False), ("f", "d", "e", 2, False), ("*", "g", None, 0, True)]
+    assert [r[1:4] + (r[5], r[6]) for r in got["imports"]] == [("a", "a.b", None, 0, False), ("c", "a.b", None, 0, False), ("f", "d", "e", 2, False), ("*", "g", None, 0, True)]
     assert [r[2:5] for r in got["locals"]] == [("p", "parameter", "Q"), ("x", "annotation", "int"), ("y", "call", "Foo"), ("z", "unknown", None)]
 
 

@@ -51,7 +51,7 @@ def test_references_and_state(ws):
 def test_imports_and_tests(ws):
     got = ws.imports("shop/till.py")
     assert "shop/stock.py" in got["imports"] and got["imported_by"] == {"tests/test_till.py": 1}
-    assert ws.tests_for(["shop/stock.py", "gone.py"]) == {"tests": ["tests/test_till.py"], "skipped": ["gone.py"]}
+    assert ws.tests_for(["shop/stock.py", "gone.py"]) == {"tests": ["tests/test_till.py"], "tests_more": 0, "skipped": ["gone.py"]}
     assert ws.tests_for(["tests/conftest.py"])["tests"] == ["tests/test_other.py", "tests/test_till.py"]
     assert ws.import_cycles() == []
 
