@@ -148,3 +148,9 @@ def close_names(nodes: DataFrame, word: str, n: int = 5, cutoff: float = 0.5) ->
 
     names = nodes.where("name IS NOT NULL").select("name").distinct()
     return names.mapInArrow(run, "name string, ratio double").orderBy(F.desc("ratio"), "name").limit(n).select("name")
+
+
+def best_per(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The row of greatest ``value`` of each ``group``, the least id of equals; combined before the shuffle."""
+    best = F.min_by(F.struct("*"), F.struct(-F.col(value), F.col("id")))
+    return rows.groupBy(F.col(group).alias("_g")).agg(best.alias("_b")).select("_b.*")

@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import drop, settled
+
+
+#: Rounds whose tables are merged into one.
+MERGED = 6
 
 
 def expand(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
@@ -25,10 +29,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, budg
     parts, frontier, hop, left = [found], found, 0, budget
     while max_hops is None or hop < max_hops:
         hop += 1
-        reached = parts[0]
-        for p in parts[1:]:
-            reached = reached.unionByName(p)
-        new = frontier.join(step, frontier["id"] == step["source"]).select(*key[:-1], F.col("target").alias("id")).distinct().join(reached, key, "left_anti").withColumn("hop", F.lit(hop))
+        new = frontier.join(step, frontier["id"] == step["source"]).select(*key[:-1], F.col("target").alias("id")).distinct().join(_union(parts), key, "left_anti").withColumn("hop", F.lit(hop))
         frontier = settled(new, "reached")
         n = frontier.count()
         if not n:
@@ -38,6 +39,9 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, budg
             return _union(parts), True
         left = None if left is None else left - n
         parts.append(frontier)
+        if len(parts) == MERGED:  # so that files read don't grow with the square of the hops
+            old, parts = parts, [settled(_union(parts), "reached")]
+            drop(*old[:-1])
     return _union(parts), False
 
 
@@ -64,16 +68,78 @@ def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = settled(labels.join(moved.withColumnRenamed("color", "new"), "id", "left").select("id", F.coalesce("new", "color").alias("color")), "colors")
 
 
+#: Up to so many edges, one task finds the components in one pass.
+CORE = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(id, component) of at most CORE edges, by a depth-first search without recursion."""
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        to: dict = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                to.setdefault(a, []).append(b)
+                to.setdefault(b, [])
+        number, low, open_, ids, component = {}, {}, [], [], []
+        waiting: set = set()
+        for start in sorted(to):
+            if start in number:
+                continue
+            work = [(start, iter(to[start]))]
+            number[start] = low[start] = len(number)
+            open_.append(start)
+            waiting.add(start)
+            while work:
+                at, rest = work[-1]
+                for nxt in rest:
+                    if nxt not in number:
+                        number[nxt] = low[nxt] = len(number)
+                        open_.append(nxt)
+                        waiting.add(nxt)
+                        work.append((nxt, iter(to[nxt])))
+                        break
+                    if nxt in waiting:
+                        low[at] = min(low[at], number[nxt])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                    if low[at] == number[at]:
+                        members = []
+                        while not members or members[-1] != at:
+                            members.append(open_.pop())
+                        waiting.difference_update(members)
+                        ids += members
+                        component += [min(members)] * len(members)
+        out = pa.table({"id": ids, "component": component}).cast(pa.schema([("id", batch_type(kind)), ("component", batch_type(kind))])) if ids else None
+        yield from out.to_batches() if out is not None else []
+
+    def batch_type(name: str):
+        import pyarrow as pa
+
+        return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
+
+    return edges.coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+
+
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): components by their least member; isolated nodes are components, a loop is no cycle.
 
     Nodes without an edge in or out are trimmed again and again; of the rest, each
     takes the least node that reaches it as its color, and what reaches a color's
-    own node within the color is one component.
+    own node within the color is one component. What is left of CORE edges or fewer
+    is done in one task.
     """
     left = settled(edges.select("source", "target").where("source <> target").distinct(), "left")
     every, done = nodes.select("id").distinct(), []
-    while not left.isEmpty():
+    while (n := left.count()) > 0:
+        if n <= CORE and edges.schema["source"].dataType.simpleString() in ("string", "bigint", "int"):
+            done.append(_in_one_task(left))
+            break
         while True:
             n = left.count()
             left = settled(left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "left")
@@ -128,16 +194,21 @@ def rank(scc: DataFrame, dag: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def propagate(direct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, mask): each node's bits and those of all it reaches. Only what changed is sent on."""
-    masks = settled(direct.groupBy("id").agg(F.bit_or("mask").alias("mask")), "masks")
-    moved = masks.where("mask <> 0")
+    """(id, mask): each node's bits and those of all it reaches. Each round sends, and writes, only what has changed."""
+    step = settled(edges.select("source", F.col("target").alias("id")).where("source <> id").distinct(), "steps")
+    parts = [settled(direct.groupBy("id").agg(F.bit_or("mask").alias("mask")), "masks")]
+    moved = parts[0].where("mask <> 0")
     while True:
-        sent = moved.join(edges.select("source", "target"), moved["id"] == F.col("target")).groupBy(F.col("source").alias("id")).agg(F.bit_or("mask").alias("sent"))
-        grown = masks.join(sent, "id").where(F.col("mask").bitwiseOR(F.col("sent")) != F.col("mask"))
+        now = _union(parts).groupBy("id").agg(F.bit_or("mask").alias("mask")) if len(parts) > 1 else parts[0]
+        sent = moved.join(step, "id").groupBy(F.col("source").alias("id")).agg(F.bit_or("mask").alias("sent"))
+        grown = now.join(sent, "id").where(F.col("mask").bitwiseOR(F.col("sent")) != F.col("mask"))
         moved = settled(grown.select("id", F.col("mask").bitwiseOR(F.col("sent")).alias("mask")), "masks")
         if moved.isEmpty():
-            return masks
-        masks = settled(masks.join(moved.withColumnRenamed("mask", "new"), "id", "left").select("id", F.coalesce("new", "mask").alias("mask")), "masks")
+            return now
+        parts.append(moved)
+        if len(parts) == MERGED:
+            old, parts = parts, [settled(_union(parts).groupBy("id").agg(F.bit_or("mask").alias("mask")), "masks")]
+            drop(*old[:-1])
 
 
 def dominators(dag: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -208,3 +279,22 @@ def grow(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     both = edges.select("source", "target").union(flipped(edges)).distinct()
     return expand(seeds, both, depth)[0]
 
+
+
+def recursive(edges: DataFrame) -> DataFrame:
+    """(id, itself, mutual): nodes that call themselves, and how many others they call that call them."""
+    e = edges.select("source", "target").distinct()
+    both = e.join(flipped(e), ["source", "target"])
+    return both.groupBy(F.col("source").alias("id")).agg(F.bool_or(F.col("source") == F.col("target")).alias("itself"), F.count_if(F.col("source") != F.col("target")).alias("mutual"))
+
+
+def roots(scc: DataFrame, dag: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id): the components of ``entries`` and those that no other component calls."""
+    every = scc.select(F.col("component").alias("id")).distinct()
+    sources = every.join(dag.select(F.col("target").alias("id")), "id", "left_anti")
+    return sources.union(scc.join(entries.select("id"), "id", "left_semi").select("component")).distinct()
+
+
+def frontier(start: DataFrame, dag: DataFrame, depth: int) -> DataFrame:
+    """(id, hop): ``start`` and ``depth`` levels below it."""
+    return expand(start, dag, depth)[0]

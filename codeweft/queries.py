@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import queries_tree
@@ -29,13 +29,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _seeds(df: DataFrame, n: int) -> DataFrame:
-    """Sources that are multiples of ``n``: the roots of a question."""
-    return df.where(F.col("source") % n == 0).select(F.col("source").alias("id")).distinct()
-
-
-S, C, N, A, U = P.sites_sql(), P.calls_sql(), P.NODES_SQL, P.ACCESSES_SQL, P.URLS_SQL
-DENSE = P.calls_sql(48)
+S, C, N, A, U, L = P.SITES_SQL, P.CALLS_SQL, P.NODES_SQL, P.ACCESSES_SQL, P.URLS_SQL, P.LINES_SQL
+E = f"{L}, {P.line_edges_sql()}"
+#: All that each line reaches, by whatever way; orders have few lines.
+R = f"{E}, r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source)"
+#: Each line's component, by its least member.
+K = f"{R}, comp AS (SELECT line.id, least(line.id, coalesce(min(a.target) FILTER (b.source IS NOT NULL), line.id)) AS component FROM line LEFT JOIN r a ON a.source = line.id LEFT JOIN r b ON b.source = a.target AND b.target = a.source GROUP BY line.id)"
 
 
 @query("g1_edge_fold", f"""WITH {S} SELECT source, target, edge_type AS type, count(*) AS count, string_agg(DISTINCT line::VARCHAR, ',' ORDER BY line::VARCHAR) AS lines,
@@ -45,8 +44,8 @@ def g1_edge_fold(spark: SparkSession, d: str) -> DataFrame:
     return f.select("source", "target", "type", "count", F.array_join(F.array_sort(F.transform("lines", lambda x: x.cast("string"))), ",").alias("lines"), (F.col("confidence") == "exact").alias("exact"), F.forall("certains", lambda x: x).alias("certain"), F.size(F.filter("controls", lambda c: F.size(c) > 0)).cast("long").alias("guarded"))
 
 
-@query("g4_merged_fold", f"WITH {S} SELECT source, target, min(edge_type) AS type, count(DISTINCT edge_type) AS n_types, count(*) AS count FROM sites GROUP BY source, target")
-def g4_merged_fold(spark: SparkSession, d: str) -> DataFrame:
+@query("g1_merged_fold", f"WITH {S} SELECT source, target, min(edge_type) AS type, count(DISTINCT edge_type) AS n_types, count(*) AS count FROM sites GROUP BY source, target")
+def g1_merged_fold(spark: SparkSession, d: str) -> DataFrame:
     f = edges.fold(P.edge_sites(spark, d), per_type=False)
     return f.select("source", "target", "type", F.size("types").cast("long").alias("n_types"), "count")
 
@@ -132,12 +131,21 @@ def j5_state_coupling(spark: SparkSession, d: str) -> DataFrame:
     return links.coupling(a.where("kind = 'write'"), a.where("kind = 'read'")).select("from", "to", "mutual", "n")
 
 
-@query("j6_type_flow", f"""WITH {A}, p AS (SELECT DISTINCT owner, variable % 400 AS t FROM acc WHERE kind = 'write'), c AS (SELECT DISTINCT owner, variable % 400 AS t FROM acc WHERE kind = 'read'),
+@query("j6_type_flow", """WITH p AS (SELECT DISTINCT l_suppkey AS owner, l_orderkey AS t FROM lineitem), c AS (SELECT DISTINCT l_partkey AS owner, l_orderkey AS t FROM lineitem),
 few AS (SELECT t FROM (SELECT t, count(*) AS np FROM p GROUP BY t) JOIN (SELECT t, count(*) AS nc FROM c GROUP BY t) USING (t) WHERE np + nc <= 16)
 SELECT p.owner AS "from", c.owner AS "to", t AS type FROM p JOIN c USING (t) WHERE t IN (SELECT t FROM few) AND p.owner <> c.owner""")
 def j6_type_flow(spark: SparkSession, d: str) -> DataFrame:
-    a = P.accesses(spark, d).withColumn("type", F.col("variable") % 400)
-    return links.type_flow(a.where("kind = 'write'"), a.where("kind = 'read'")).select("from", "to", "type")
+    return links.type_flow(*P.uses(spark, d)).select("from", "to", "type")
+
+
+@query("j7_beside", f"""WITH {C}, {A}, w AS (SELECT DISTINCT owner, variable FROM acc WHERE kind = 'write'), r AS (SELECT DISTINCT owner, variable FROM acc WHERE kind = 'read'),
+p AS (SELECT least(w.owner, r.owner) AS a, greatest(w.owner, r.owner) AS b, w.owner < r.owner AS forth, variable FROM w JOIN r USING (variable) WHERE w.owner <> r.owner),
+g AS (SELECT a, b, bool_or(forth) AS forth, list_sort(list(DISTINCT variable)) AS names FROM p GROUP BY a, b), drawn AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM calls)
+SELECT CASE WHEN forth THEN a ELSE b END AS "from", CASE WHEN forth THEN b ELSE a END AS "to", array_to_string(names[1:2], ', ') || CASE WHEN len(names) > 2 THEN ' +' || (len(names) - 2) ELSE '' END AS label, (a, b) IN (SELECT (a, b) FROM drawn) AS beside FROM g""")
+def j7_beside(spark: SparkSession, d: str) -> DataFrame:
+    """State coupling with its labels, and whether a call joins the two either way."""
+    a = P.accesses(spark, d)
+    return links.coupling(a.where("kind = 'write'"), a.where("kind = 'read'"), P.calls(spark, d)).select("from", "to", "label", "beside")
 
 
 @query("j8_innermost", """WITH s AS (SELECT o_custkey AS g, o_orderkey AS id, o_orderkey % 1000 AS a, o_orderkey % 1000 + (o_orderkey % 7 + 1) * 20 AS b FROM orders), p AS (SELECT DISTINCT c_custkey AS g, (c_custkey * 37) % 1100 AS x FROM customer)
@@ -165,8 +173,8 @@ def j12_orphans(spark: SparkSession, d: str) -> DataFrame:
     return metrics.entry_kinds(metrics.roles(n), c, c.limit(0)).where("entry = 'orphan'").select("id")
 
 
-@query("j17_collapsed_edges", f"WITH {S}, {N}, el AS (SELECT id, file_path AS e FROM nodes) SELECT a.e AS source, b.e AS target, count(*) AS count, bool_or(confidence = 'heuristic') AS heuristic FROM sites JOIN el a ON source = a.id JOIN el b ON target = b.id WHERE a.e <> b.e GROUP BY 1, 2")
-def j17_collapsed_edges(spark: SparkSession, d: str) -> DataFrame:
+@query("ga25_collapsed_edges", f"WITH {S}, {N}, el AS (SELECT id, file_path AS e FROM nodes) SELECT a.e AS source, b.e AS target, count(*) AS count, bool_or(confidence = 'heuristic') AS heuristic FROM sites JOIN el a ON source = a.id JOIN el b ON target = b.id WHERE a.e <> b.e GROUP BY 1, 2")
+def ga25_collapsed_edges(spark: SparkSession, d: str) -> DataFrame:
     return links.collapsed(P.edge_sites(spark, d), P.nodes(spark, d).select("id", F.col("file_path").alias("element")))
 
 
@@ -187,23 +195,17 @@ def a4_test_only(spark: SparkSession, d: str) -> DataFrame:
     return metrics.test_only(P.nodes(spark, d), P.calls(spark, d))
 
 
-UNRESOLVED = "un AS (SELECT l_suppkey AS caller_id, CASE l_linenumber WHEN 1 THEN 'computed callee' WHEN 2 THEN 'builtin' WHEN 3 THEN 'external: os.path' ELSE 'not defined in project' END AS reason FROM lineitem WHERE l_quantity <= 2)"
-
-
-def _unresolved(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("l_linenumber")
-    reason = F.when(n == 1, "computed callee").when(n == 2, "builtin").when(n == 3, "external: os.path").otherwise("not defined in project")
-    return P.table(spark, d, "lineitem").where("l_quantity <= 2").select(F.col("l_suppkey").alias("caller_id"), reason.alias("reason"))
+UNRESOLVED = P.UNRESOLVED_SQL
 
 
 @query("a5_coverage", f"WITH {S}, {UNRESOLVED}, y AS (SELECT source AS id, count(*) AS r FROM sites GROUP BY 1), u AS (SELECT caller_id AS id, count(*) AS u, count_if(reason = 'computed callee') AS c FROM un GROUP BY 1) SELECT id, coalesce(r, 0) AS resolved, coalesce(u, 0) AS unresolved, coalesce(c, 0)::BIGINT AS dynamic, coalesce(r, 0) + coalesce(u, 0) AS total FROM y FULL JOIN u USING (id)")
 def a5_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.coverage(P.edge_sites(spark, d), _unresolved(spark, d))
+    return metrics.coverage(P.edge_sites(spark, d), P.unresolved(spark, d))
 
 
 @query("a6_coverage_total", f"WITH {S}, {UNRESOLVED}, y AS (SELECT count(*) AS in_project, count_if(confidence = 'heuristic')::BIGINT AS heuristic FROM sites), u AS (SELECT count_if(reason IN ('builtin', 'external: os.path'))::BIGINT AS out_of_project, count_if(reason NOT IN ('builtin', 'external: os.path'))::BIGINT AS unknown, count_if(reason = 'computed callee')::BIGINT AS computed FROM un) SELECT *, in_project + out_of_project + unknown AS total FROM y, u")
 def a6_coverage_total(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.coverage_total(P.edge_sites(spark, d), _unresolved(spark, d))
+    return metrics.coverage_total(P.edge_sites(spark, d), P.unresolved(spark, d))
 
 
 TAGS = "tags AS (SELECT source, target, CASE WHEN bool_and(guard) THEN 'guarded' WHEN bool_or(guard) THEN 'mixed' ELSE 'unguarded' END AS guard, bool_or(looped) AS looped, bool_and(looped) AS all_looped, bool_and(error) AS error_path, false AS type_checking_only, bool_and(certain) AS certain, count(*) AS sites FROM sites GROUP BY source, target)"
@@ -264,22 +266,34 @@ def u3_through_calls(spark: SparkSession, d: str) -> DataFrame:
     return a.where(F.col("owner").isin(4, 5, 6)).select("variable").distinct().join(a.where("owner = 3"), "variable", "left_anti")
 
 
-@query("u5_snapshot_diff", """WITH ev AS (SELECT * FROM events WHERE event_type IN ('error', 'purchase') AND value > 30), b AS (SELECT 'u/' || user_id AS path, max(event_id) AS was FROM ev WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 7 <> 3 GROUP BY 1),
-a AS (SELECT 'u/' || user_id AS path, max(event_id) AS now FROM ev WHERE user_id % 5 <> 2 GROUP BY 1) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM b FULL JOIN a USING (path) WHERE was IS DISTINCT FROM now""")
+@query("u5_snapshot_diff", """WITH ev AS (SELECT concat_ws('/', 'u', user_id, event_type, hour(ts)) AS path, ts < TIMESTAMP '2024-01-16' AS early, event_id FROM events), b AS (SELECT path, max(event_id) AS was FROM ev WHERE early GROUP BY 1),
+a AS (SELECT path, max(event_id) AS now FROM ev WHERE NOT early GROUP BY 1) SELECT path, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM b FULL JOIN a USING (path) WHERE was IS DISTINCT FROM now""")
 def u5_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return snapshot.diff(*P.snapshots(spark, d))
 
 
-@query("ga1_strongly_connected", f"WITH RECURSIVE {DENSE}, r AS (SELECT source, target FROM calls UNION SELECT r.source, c.target FROM r JOIN calls c ON r.target = c.source), n AS (SELECT source AS id FROM calls UNION SELECT target FROM calls) SELECT id, least(id, coalesce((SELECT min(a.target) FROM r a JOIN r b ON a.target = b.source AND b.target = a.source WHERE a.source = id), id)) AS component FROM n")
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return P.line_nodes(spark, d).select("id")
+
+
+def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = P.line_edges(spark, d)
+    return graph.strongly_connected(_lines(spark, d), e), e
+
+
+@query("ga1_strongly_connected", f"WITH RECURSIVE {K} SELECT id, component FROM comp")
 def ga1_strongly_connected(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d, 48)
-    return graph.strongly_connected(edges.call_nodes(P.nodes(spark, d).limit(0), c), c)
+    return _components(spark, d)[0]
 
 
-@query("ga2_cycles", "WITH RECURSIVE ev AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events), e AS (SELECT DISTINCT source, target FROM ev WHERE target IS NOT NULL), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source) SELECT min(a.target) AS component, count(DISTINCT a.target) AS size FROM r a JOIN r b ON a.target = b.source AND b.target = a.source GROUP BY a.source HAVING count(DISTINCT a.target) > 1 AND a.source = min(a.target)")
+@query("ga2_cycles", f"WITH RECURSIVE {K} SELECT component, count(*) AS size FROM comp GROUP BY 1 HAVING count(*) > 1")
 def ga2_cycles(spark: SparkSession, d: str) -> DataFrame:
-    e = P.event_steps(spark, d)
-    return graph.cycles(graph.strongly_connected(e.select(F.col("source").alias("id")).union(e.select("target")), e))
+    return graph.cycles(_components(spark, d)[0])
+
+
+@query("ga4_condensation", f"WITH RECURSIVE {K} SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN comp a ON a.id = source JOIN comp b ON b.id = target WHERE a.component <> b.component")
+def ga4_condensation(spark: SparkSession, d: str) -> DataFrame:
+    return graph.condensed(*_components(spark, d))
 
 
 @query("ga3_call_nodes", f"WITH {C}, {N} SELECT id FROM nodes WHERE kind IN ('function', 'method') UNION SELECT source FROM calls UNION SELECT target FROM calls")
@@ -287,110 +301,132 @@ def ga3_call_nodes(spark: SparkSession, d: str) -> DataFrame:
     return edges.call_nodes(P.nodes(spark, d), P.calls(spark, d))
 
 
-HOPS = "WITH RECURSIVE {c}, h AS (SELECT DISTINCT source AS id, 0 AS hop FROM calls WHERE source % {n} = 0 UNION SELECT c.target, hop + 1 FROM h JOIN calls c ON c.source = h.id WHERE hop < {k}) SELECT id, min(hop) AS hop FROM h GROUP BY id"
+FIRST = "SELECT id, 0 AS hop FROM line WHERE place = 1"
+
 
+def _first(spark: SparkSession, d: str) -> DataFrame:
+    """The first lines of orders: where questions start."""
+    return P.line_nodes(spark, d).where("place = 1").select("id")
 
-@query("ga5_closure_hops", HOPS.format(c=C, n=20, k=6))
+
+@query("ga5_closure_hops", f"WITH RECURSIVE {E}, h AS ({FIRST} UNION SELECT e.target, hop + 1 FROM h JOIN e ON e.source = h.id WHERE hop < 6) SELECT id, min(hop) AS hop FROM h GROUP BY id")
 def ga5_closure_hops(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    return graph.expand(_seeds(c, 20), c, 6)[0]
+    return graph.expand(_first(spark, d), P.line_edges(spark, d), 6)[0]
 
 
-@query("ga6_callers_per_seed", f"WITH RECURSIVE {C}, h AS (SELECT DISTINCT target AS seed, target AS id, 0 AS hop FROM calls WHERE target % 50 = 0 UNION SELECT seed, c.source, hop + 1 FROM h JOIN calls c ON c.target = h.id WHERE hop < 4) SELECT seed, id, min(hop) AS hop FROM h GROUP BY seed, id")
+@query("ga6_callers_per_seed", f"WITH RECURSIVE {E}, h AS (SELECT id AS seed, id, 0 AS hop FROM line UNION SELECT seed, e.source, hop + 1 FROM h JOIN e ON e.target = h.id WHERE hop < 4) SELECT seed, id, min(hop) AS hop FROM h GROUP BY seed, id")
 def ga6_callers_per_seed(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    seeds = c.where(F.col("target") % 50 == 0).select(F.col("target").alias("seed"), F.col("target").alias("id")).distinct()
-    return graph.expand(seeds, graph.flipped(c), 4)[0]
+    seeds = _lines(spark, d).select(F.col("id").alias("seed"), "id")
+    return graph.expand(seeds, graph.flipped(P.line_edges(spark, d)), 4)[0]
+
 
+@query("ga7_reach_counts", f"WITH RECURSIVE {R}, d AS (SELECT source AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1), u AS (SELECT target AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1) SELECT id, coalesce(d.k, 0) AS reach_down, coalesce(u.k, 0) AS reach_up FROM line LEFT JOIN d USING (id) LEFT JOIN u USING (id)")
+def ga7_reach_counts(spark: SparkSession, d: str) -> DataFrame:
+    scc, e = _components(spark, d)
+    return graph.reach(scc, graph.condensed(scc, e))
 
-ALL = "n AS (SELECT source AS id FROM calls UNION SELECT target FROM calls)"
 
+DAG_SQL = "cd AS (SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN comp a ON a.id = source JOIN comp b ON b.id = target WHERE a.component <> b.component), entry AS (SELECT id FROM line WHERE id NOT IN (SELECT target FROM e WHERE source <> target))"
 
-@query("ga7_reach_counts", f"WITH RECURSIVE {C}, r AS (SELECT source, target FROM calls UNION SELECT r.source, c.target FROM r JOIN calls c ON r.target = c.source), {ALL}, d AS (SELECT source AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1), u AS (SELECT target AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1) SELECT id, coalesce(d.k, 0) AS reach_down, coalesce(u.k, 0) AS reach_up FROM n LEFT JOIN d USING (id) LEFT JOIN u USING (id)")
-def ga7_reach_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    scc = graph.strongly_connected(edges.call_nodes(P.nodes(spark, d).limit(0), c), c)
-    return graph.reach(scc, graph.condensed(scc, c))
 
+def _entries(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
+    return _lines(spark, d).join(e.where("source <> target").select(F.col("target").alias("id")), "id", "left_anti")
 
-@query("ga8_rank", f"WITH RECURSIVE {C}, {ALL}, h AS (SELECT id, 0 AS hop FROM n WHERE id NOT IN (SELECT target FROM calls) AND id % 3 = 0 UNION SELECT c.target, hop + 1 FROM h JOIN calls c ON c.source = h.id WHERE hop < 60), m AS (SELECT id, min(hop) AS rank FROM h GROUP BY id) SELECT id, rank FROM n LEFT JOIN m USING (id) WHERE id IN (SELECT id FROM n EXCEPT (SELECT a.source FROM calls a, calls b WHERE a.source = b.target AND a.target = b.source)) AND id % 2 = 0")
+
+@query("ga8_rank", f"WITH RECURSIVE {K}, {DAG_SQL}, h AS (SELECT DISTINCT component AS id, 0 AS hop FROM comp WHERE id IN (SELECT id FROM entry) UNION SELECT cd.target, hop + 1 FROM h JOIN cd ON cd.source = h.id), m AS (SELECT id AS component, min(hop) AS rank FROM h GROUP BY 1) SELECT id, rank FROM comp LEFT JOIN m USING (component)")
 def ga8_rank(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    n = edges.call_nodes(P.nodes(spark, d).limit(0), c)
-    entries = n.join(c.select(F.col("target").alias("id")), "id", "left_anti").where("id % 3 = 0")
-    each = n.select("id", F.col("id").alias("component"))
-    two = c.join(graph.flipped(c), ["source", "target"]).select(F.col("source").alias("id"))
-    return graph.rank(each, c, entries).join(two, "id", "left_anti").where("id % 2 = 0")
+    scc, e = _components(spark, d)
+    return graph.rank(scc, graph.condensed(scc, e), _entries(spark, d, e))
+
+
+@query("u6_roots", f"WITH RECURSIVE {K}, {DAG_SQL} SELECT DISTINCT component AS id FROM comp WHERE component NOT IN (SELECT target FROM cd) OR id IN (SELECT id FROM entry)")
+def u6_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Components of entries, and those that no other calls."""
+    scc, e = _components(spark, d)
+    return graph.roots(scc, graph.condensed(scc, e), _entries(spark, d, e))
 
 
-@query("ga9_entry_kinds", f"WITH {C}, {N} SELECT id, CASE WHEN id IN (SELECT target FROM calls) THEN 'internal' WHEN routed THEN 'framework-entry' WHEN id IN (SELECT source FROM calls) THEN 'entry' ELSE 'orphan' END AS entry FROM nodes")
+@query("ga14_frontier", f"WITH RECURSIVE {K}, {DAG_SQL}, h AS (SELECT DISTINCT component AS id, 0 AS hop FROM comp WHERE component NOT IN (SELECT target FROM cd) OR id IN (SELECT id FROM entry) UNION SELECT cd.target, hop + 1 FROM h JOIN cd ON cd.source = h.id WHERE hop < 2) SELECT id, min(hop) AS hop FROM h GROUP BY 1")
+def ga14_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """The overview's components: roots, and two levels below them."""
+    scc, e = _components(spark, d)
+    dag = graph.condensed(scc, e)
+    return graph.frontier(graph.roots(scc, dag, _entries(spark, d, e)), dag, 2)
+
+
+STEPS = f"{L}, {P.line_edges_sql('step', 'calls')}, {P.line_edges_sql('skip', 'refs')}"
+
+
+@query("ga9_entry_kinds", f"WITH {STEPS} SELECT id, CASE WHEN id IN (SELECT target FROM calls) THEN 'internal' WHEN routed THEN 'framework-entry' WHEN id IN (SELECT target FROM refs) THEN 'referenced' WHEN id IN (SELECT source FROM calls) THEN 'entry' ELSE 'orphan' END AS entry FROM line")
 def ga9_entry_kinds(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    return metrics.entry_kinds(metrics.roles(P.nodes(spark, d)), c, c.limit(0))
+    n = P.line_nodes(spark, d).select("id", F.when(F.col("routed"), "route").alias("role"))
+    return metrics.entry_kinds(n, P.line_edges(spark, d, "step"), P.line_edges(spark, d, "skip"))
 
 
-@query("ga10_roles", f"WITH {N} SELECT id, CASE WHEN routed THEN 'route' END AS role FROM nodes")
+@query("ga10_roles", P.ROLES_SQL)
 def ga10_roles(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.roles(P.nodes(spark, d)).select("id", "role")
+    return metrics.roles(P.role_nodes(spark, d)).select("id", "role")
 
 
-@query("ga11_effects", f"WITH RECURSIVE {C}, {ALL}, d AS (SELECT id, CASE id % 40 WHEN 0 THEN {EFFECTS['filesystem']} WHEN 1 THEN {EFFECTS['network']} WHEN 2 THEN {EFFECTS['process']} ELSE 0 END AS mask FROM n), r AS (SELECT source, target FROM calls UNION SELECT r.source, c.target FROM r JOIN calls c ON r.target = c.source) SELECT id, (d.mask | coalesce((SELECT bit_or(x.mask) FROM r JOIN d x ON x.id = r.target WHERE r.source = d.id), 0))::INTEGER AS mask FROM d")
+@query("ga11_effects", f"WITH RECURSIVE {R}, d AS (SELECT id, CASE flag || status WHEN 'RF' THEN {EFFECTS['filesystem']} WHEN 'AF' THEN {EFFECTS['network']} WHEN 'NO' THEN {EFFECTS['process']} ELSE 0 END AS mask FROM line), x AS (SELECT r.source AS id, bit_or(d.mask) AS mask FROM r JOIN d ON d.id = r.target GROUP BY 1) SELECT id, (d.mask | coalesce(x.mask, 0))::INTEGER AS mask FROM d LEFT JOIN x USING (id)")
 def ga11_effects(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    k = F.col("id") % 40
-    target = F.when(k == 0, "shutil.copy").when(k == 1, "requests.get").when(k == 2, "subprocess.run").otherwise("mymod.f")
-    direct = edges.call_nodes(P.nodes(spark, d).limit(0), c).select("id", metrics.effect_mask(target).alias("mask"))
-    return graph.propagate(direct, c)
+    k = F.concat("flag", "status")
+    target = F.when(k == "RF", "shutil.copy").when(k == "AF", "requests.get").when(k == "NO", "subprocess.run").otherwise("mymod.f")
+    direct = P.line_nodes(spark, d).select("id", metrics.effect_mask(target).alias("mask"))
+    return graph.propagate(direct, P.line_edges(spark, d))
 
 
-DAG = "dag AS (SELECT DISTINCT l_suppkey % 60 AS source, (l_suppkey % 60) + 1 + l_partkey % 3 AS target FROM lineitem WHERE l_quantity >= 40 AND l_suppkey % 60 % 4 <> l_linenumber % 4)"
+G = f"{L}, {P.line_edges_sql('step skip', 'dag')}, roots AS (SELECT id FROM line WHERE id NOT IN (SELECT target FROM dag))"
+#: (cut, id): what roots of the same order still reach without ``cut``; what they don't, the cut dominates.
+CUT = f"{G}, w AS (SELECT c.id AS cut, r.id AS id FROM line c JOIN roots r ON r.id // 100 = c.id // 100 AND c.id <> r.id UNION SELECT cut, target FROM w JOIN dag ON w.id = dag.source WHERE target <> cut), dom AS (SELECT n.id, c.id AS d FROM line n JOIN line c ON n.id // 100 = c.id // 100 AND n.id <> c.id WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.cut = c.id AND w.id = n.id))"
 
 
-def _dag(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("l_suppkey") % 60
-    return P.table(spark, d, "lineitem").where((F.col("l_quantity") >= 40) & (s % 4 != F.col("l_linenumber") % 4)).select(s.alias("source"), (s + 1 + F.col("l_partkey") % 3).alias("target")).distinct()
+def _dominators(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    dag, n = P.line_edges(spark, d, "step skip"), _lines(spark, d)
+    return graph.dominators(dag, n, n.join(dag.select(F.col("target").alias("id")), "id", "left_anti")), n
 
 
-@query("ga12_dominators", f"""WITH RECURSIVE {DAG}, roots AS (SELECT DISTINCT source AS id FROM dag WHERE source NOT IN (SELECT target FROM dag)), nodes AS (SELECT source AS id FROM dag UNION SELECT target FROM dag),
-w AS (SELECT c.id AS cut, r.id AS id FROM nodes c, roots r WHERE c.id <> r.id UNION SELECT cut, target FROM w JOIN dag ON w.id = dag.source WHERE target <> cut),
-dom AS (SELECT n.id, c.id AS d FROM nodes n, nodes c WHERE n.id <> c.id AND NOT EXISTS (SELECT 1 FROM w WHERE w.cut = c.id AND w.id = n.id)) SELECT d AS id, count(*) AS gates FROM dom GROUP BY 1""")
+@query("ga12_dominators", f"WITH RECURSIVE {CUT}, depth AS (SELECT id, count(*) AS k FROM dom GROUP BY 1) SELECT n.id, i.d AS idom FROM line n LEFT JOIN (SELECT dom.id, dom.d FROM dom JOIN depth ON depth.id = dom.id LEFT JOIN depth up ON up.id = dom.d WHERE coalesce(up.k, 0) = depth.k - 1) i USING (id)")
 def ga12_dominators(spark: SparkSession, d: str) -> DataFrame:
-    dag = _dag(spark, d)
-    n = dag.select(F.col("source").alias("id")).union(dag.select("target")).distinct()
-    dom = graph.dominators(dag, n, dag.select(F.col("source").alias("id")).distinct().join(dag.select(F.col("target").alias("id")), "id", "left_anti"))
+    return _dominators(spark, d)[0].select("id", "idom")
+
+
+@query("ga12_gates", f"WITH RECURSIVE {CUT} SELECT d AS id, count(*) AS gates FROM dom GROUP BY 1")
+def ga12_gates(spark: SparkSession, d: str) -> DataFrame:
+    dom, n = _dominators(spark, d)
     return graph.gates(dom, n.withColumn("size", F.lit(1)))
 
 
-@query("ga13_cone")
+@query("ga13_cone", f"""WITH RECURSIVE {E}, root AS (SELECT id FROM line ORDER BY last DESC, place DESC, id LIMIT 1), middle AS (SELECT id - 5 AS id FROM root), d AS (SELECT id, 0 AS hop FROM middle UNION SELECT e.target, hop + 1 FROM d JOIN e ON e.source = d.id WHERE hop < 3), u AS (SELECT id, 0 AS hop FROM middle UNION SELECT e.source, hop + 1 FROM u JOIN e ON e.target = u.id WHERE hop < 3)
+SELECT 'root' AS side, id, 0 AS hop, 0 AS beyond, false AS truncated FROM middle UNION ALL SELECT 'down', id, min(hop), 0, false FROM d GROUP BY id HAVING min(hop) > 0 UNION ALL SELECT 'up', id, min(hop), 0, false FROM u GROUP BY id HAVING min(hop) > 0""")
 def ga13_cone(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    root = c.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()["source"]
-    rows, beyond, truncated = graph.cone(root, c, depth=3, budget=40)
+    """Three levels either way of the sixth last line of the longest order."""
+    root = P.line_nodes(spark, d).orderBy(F.desc("last"), F.desc("place"), "id").first()["id"] - 5
+    rows, beyond, truncated = graph.cone(root, P.line_edges(spark, d), depth=3, budget=80)
     return rows.withColumn("beyond", F.lit(beyond)).withColumn("truncated", F.lit(truncated))
 
 
-@query("ga15_mixed_growth", f"WITH RECURSIVE {C}, e AS (SELECT source, target FROM calls UNION SELECT target, source FROM calls), h AS (SELECT DISTINCT source AS id, 0 AS hop FROM calls WHERE source % 100 = 0 UNION SELECT e.target, hop + 1 FROM h JOIN e ON e.source = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY id")
+@query("ga15_mixed_growth", f"WITH RECURSIVE {E}, b AS (SELECT source, target FROM e UNION SELECT target, source FROM e), h AS (SELECT id, 0 AS hop FROM line WHERE place = last UNION SELECT b.target, hop + 1 FROM h JOIN b ON b.source = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY id")
 def ga15_mixed_growth(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d)
-    return graph.grow(_seeds(c, 100), c, 3)
+    return graph.grow(P.line_nodes(spark, d).where("place = last").select("id"), P.line_edges(spark, d), 3)
 
 
-@query("ga16_variable_impact", f"WITH RECURSIVE {C}, {A}, h AS (SELECT DISTINCT owner AS id, 0 AS hop FROM acc WHERE variable % 97 = 5 UNION SELECT c.source, hop + 1 FROM h JOIN calls c ON c.target = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY id")
+@query("ga16_variable_impact", f"WITH RECURSIVE {E}, h AS (SELECT variable AS seed, id, 0 AS hop FROM line UNION SELECT seed, e.source, hop + 1 FROM h JOIN e ON e.target = h.id WHERE hop < 3) SELECT seed, id, min(hop) AS hop FROM h GROUP BY seed, id")
 def ga16_variable_impact(spark: SparkSession, d: str) -> DataFrame:
-    seeds = P.accesses(spark, d).where("variable % 97 = 5").select(F.col("owner").alias("id"))
-    return graph.expand(seeds, graph.flipped(P.calls(spark, d)), 3)[0]
+    """For each part, the lines with it and what calls those."""
+    seeds = P.line_nodes(spark, d).select(F.col("variable").alias("seed"), "id")
+    return graph.expand(seeds, graph.flipped(P.line_edges(spark, d)), 3)[0]
 
 
-@query("ga27_self_and_mutual", f"WITH {DENSE} SELECT a.source AS id, count(*) AS mutual FROM calls a JOIN calls b ON a.source = b.target AND a.target = b.source GROUP BY 1")
+@query("ga27_self_and_mutual", f"WITH {E} SELECT a.source AS id, max((a.source = a.target)::INT) = 1 AS itself, count(DISTINCT CASE WHEN a.source <> a.target THEN a.target END) AS mutual FROM e a JOIN e b ON a.source = b.target AND a.target = b.source GROUP BY 1")
 def ga27_self_and_mutual(spark: SparkSession, d: str) -> DataFrame:
-    c = P.calls(spark, d, 48)
-    return c.join(graph.flipped(c), ["source", "target"]).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("mutual"))
+    return graph.recursive(P.line_edges(spark, d))
 
 
-@query("w3_best_entry_per_group", f"WITH {C}, deg AS (SELECT source AS id, count(*) AS k FROM calls GROUP BY 1) SELECT id, k, id // 25 AS g FROM deg QUALIFY row_number() OVER (PARTITION BY id // 25 ORDER BY k DESC, id) = 1")
-def w3_best_entry_per_group(spark: SparkSession, d: str) -> DataFrame:
-    deg = P.calls(spark, d).groupBy(F.col("source").alias("id")).agg(F.count("*").alias("k")).withColumn("g", F.floor(F.col("id") / 25))
-    return deg.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("k"), "id"))).where("r = 1").select("id", "k", "g")
+@query("w3_best_entry_per_component", f"WITH RECURSIVE {K}, deg AS (SELECT source AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1) SELECT component, id, coalesce(k, 0) AS reach_down FROM comp LEFT JOIN deg USING (id) QUALIFY row_number() OVER (PARTITION BY component ORDER BY coalesce(k, 0) DESC, id) = 1")
+def w3_best_entry_per_component(spark: SparkSession, d: str) -> DataFrame:
+    scc, e = _components(spark, d)
+    return filters.best_per(graph.reach(scc, graph.condensed(scc, e)).join(scc, "id"), "component", "reach_down").select("component", "id", "reach_down")
 
 
 @query("fn_strings", """SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host, CASE WHEN length(trim(regexp_replace(html, '\\s+', ' ', 'g'))) > 80 THEN substr(trim(regexp_replace(html, '\\s+', ' ', 'g')), 1, 77) || '...' ELSE trim(regexp_replace(html, '\\s+', ' ', 'g')) END AS summary,
