@@ -3,8 +3,11 @@
 :func:`format_turns` gives one row a turn: the segments that its text is made of,
 each with a loss flag, and whether the machine accepts the conversation so far.
 The machine's states are the role last seen; turns go through it in the order of
-(turn, role, text), as one sorted stream a partition with constant memory, so a
-conversation of any length needs no more than one of its turns at a time.
+(turn, role, text). Rows are dealt out in that order by ranges, so one conversation
+may be of many tasks: each runs the machine over its part, and what it finds of the
+conversation that it begins with is corrected by what the parts before ended with,
+one row a part. Only a digest, which can't be made in parts, needs a conversation in
+one task; that task hashes what others have parsed.
 
 The template's marks are found again in the output because a backslash before
 each mark and each backslash of a text takes away its meaning; :func:`parse` reads
@@ -13,7 +16,8 @@ turns back from formatted text.
 Defined cases: null texts and roles are empty; a role that the template has no
 header for gets the general header and ends acceptance; null conv_ids are one
 conversation; equal turn numbers go by role and text, nulls first; repeated rows
-are turns of their own; an empty table gives no rows; other columns aren't read.
+are turns of their own; texts and conversations are taken whole, of any length; an
+empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -86,36 +90,68 @@ def parse(formatted: str, template: Template = Template()) -> list[tuple[str, st
     return out
 
 
-SCHEMA = "conv_id long, position long, segments array<struct<text: string, loss: boolean>>, accepted boolean"
+SEGMENTS = "array<struct<text: string, loss: boolean>>"
 
 
 def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """A row for each row of ``turns`` (conv_id, turn, role, text)."""
+    """(conv_id, position, segments, accepted), a row for each row of ``turns`` (conv_id, turn, role, text)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        last, position, state = object(), 0, ""
+        part, at, first, last, place, state = TaskContext.get().partitionId(), 0, None, object(), 0, None
         for batch in batches:
             rows = []
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 role, text = role or "", text or ""
                 if conv != last:
-                    last, position, state = conv, 0, ""
-                state = template.next(state, role)
-                rows.append((conv, position, [{"text": t, "loss": x} for t, x in template.segments(role, text)], state is not None))
-                position += 1
-            c = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())]))), pa.array(c[3], pa.bool_())], names=["conv_id", "position", "segments", "accepted"])
-
-    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return common.map_arrow(rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, SCHEMA)
+                    last, place = conv, 0
+                    lead = at == 0
+                    # what came before the first conversation is known to the part before
+                    state = role if lead else template.next("", role)
+                else:
+                    state = template.next(state, role)
+                rows.append((conv, part, at, lead, place, role, [{"text": t, "loss": x} for t, x in template.segments(role, text)], state is not None))
+                place += 1
+                at += 1
+            c = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.struct([("text", pa.string()), ("loss", pa.bool_())])), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["conv_id", "part", "at", "lead", "place", "role", "segments", "ok"])
+
+    spark = turns.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.substring(F.col("text").cast("string"), 1, 64).alias("head"))
+    ranged = rows.repartitionByRange(n, "conv_id", "turn", "role", "head").sortWithinPartitions("conv_id", "turn", "role", "text").drop("head")
+    parts = common.written(spark, common.map_arrow(ranged, run, f"conv_id long, part int, at long, lead boolean, place long, role string, segments {SEGMENTS}, ok boolean"), "chat")
+    ends = parts.groupBy("part").agg(F.min_by(F.struct("conv_id", "role"), "at").alias("first"), F.max_by(F.struct("conv_id", "role", "place", "lead", "ok"), "at").alias("last"))
+    fixes, carry = [], None
+    for p in sorted(ends.collect(), key=lambda p: p["part"]):
+        first, last = p["first"], p["last"]
+        goes_on = carry is not None and carry[0] == first["conv_id"]
+        before = carry[1] if goes_on else 0
+        ok = carry[3] and template.next(carry[2], first["role"]) is not None if goes_on else template.next("", first["role"]) is not None
+        fixes.append((p["part"], before, ok))
+        carry = (last["conv_id"], last["place"] + 1 + (before if last["lead"] else 0), last["role"], last["ok"] and (ok or not last["lead"]))
+    fixed = parts.join(F.broadcast(spark.createDataFrame(fixes, "part int, before long, first_ok boolean")), "part")
+    return fixed.select("conv_id", (F.col("place") + F.when(F.col("lead"), F.col("before")).otherwise(0)).alias("position"), "segments", (F.col("ok") & (F.col("first_ok") | ~F.col("lead"))).alias("accepted"))
 
 
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
     """One row a conversation, read back from its segments by :func:`parse`, turn by turn in order."""
 
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            said, loss, chars = [], [], []
+            for segments in batch.column(2).to_pylist():
+                text = "".join(s["text"] for s in segments)
+                said.append([f"{role}\n{own}\n".encode("utf-8", "surrogatepass") for role, own in parse(text, template)])
+                loss.append("".join(unescape(s["text"]) for s in segments if s["loss"]))
+                chars.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(said, pa.list_(pa.binary())), pa.array(loss, pa.string()), pa.array(chars, pa.int64()), batch.column(3)], names=["conv_id", "position", "said", "loss", "chars", "accepted"])
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -127,19 +163,17 @@ def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
 
         now, done = None, []
         for batch in batches:
-            for conv, segments, accepted in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for conv, said, loss, chars, accepted in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if now is None or now[0] != conv:
                     if now:
                         done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6]))
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
-                text = "".join(s["text"] for s in segments)
-                for role, said in parse(text, template):
+                for turn in said:
                     now[1] += 1
-                    now[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                loss = "".join(unescape(s["text"]) for s in segments if s["loss"])
+                    now[2].update(turn)
                 now[3] += len(loss)
                 now[4].update(loss.encode("utf-8", "surrogatepass"))
-                now[5] += len(text)
+                now[5] += chars
                 now[6] = accepted
             if len(done) > 1000:
                 yield made(done)
@@ -150,7 +184,8 @@ def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
             yield made(done)
 
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = formatted.select("conv_id", "position", "segments", "accepted").repartition(n, "conv_id").sortWithinPartitions("conv_id", "position")
+    turns = common.map_arrow(formatted.select("conv_id", "position", "segments", "accepted"), read, "conv_id long, position long, said array<binary>, loss string, chars long, accepted boolean")
+    ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "position")
     return common.map_arrow(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, accepted boolean")
 
 
@@ -161,4 +196,4 @@ PROBE = "\\### Assistant: </turn> ok"
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return digests(common.written(spark, format_turns(turns), "chat"))
+    return digests(format_turns(turns))

@@ -44,6 +44,19 @@ def test_machine_accepts_turns_in_order(spark):
     assert [x for _, x in got[1]] == [[False, False, False], [False, False, False], [False, True, False]]
 
 
+def test_a_conversation_of_many_parts(spark):
+    """Positions and acceptance over all parts; a wrong turn in the first part holds for those after it."""
+    good = [(5, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(2000)]
+    bad = [(6, t, "user" if t % 2 == 0 or t == 301 else "assistant", "x") for t in range(2000)]
+    late = [(7, t, "assistant" if t % 2 == 0 else "user", "x") for t in range(1500)]
+    rows = chat.format_turns(spark.createDataFrame([(4, 0, "user", "a"), *good, *bad, *late, (8, 0, "user", "z")], TURNS)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["conv_id"]].append((r["position"], r["accepted"]))
+    assert all(sorted(p for p, _ in v) == list(range(len(v))) for v in by.values()) and {k: len(v) for k, v in by.items()} == {4: 1, 5: 2000, 6: 2000, 7: 1500, 8: 1}
+    assert all(a for _, a in by[4] + by[5] + by[8]) and not any(a for _, a in by[7]) and all(a == (p < 301) for p, a in by[6])
+
+
 def brute_chat(rows):
     by = defaultdict(list)
     for c, t, role, text in rows:
