@@ -118,3 +118,13 @@ def glob_regex(glob: str, crossing: bool = False) -> str:
 
 def matches_any(path: Column | str, globs: list[str], crossing: bool = False) -> Column:
     return F.lit(False) if not globs else _c(path).rlike("|".join(glob_regex(g, crossing) for g in globs))
+
+
+def percent(part: Column | str, whole: Column | str) -> Column:
+    """Whole percents, halves up; null of nothing."""
+    return F.when(_c(whole) > 0, F.floor(_c(part) * 100 / _c(whole) + 0.5))
+
+
+def utc_time(seconds: Column | str) -> Column:
+    """Seconds since 1970 as 2024-01-31T23:59:59Z."""
+    return F.date_format(F.timestamp_seconds(_c(seconds)).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -218,6 +218,20 @@ class Workspace:
         away = self.tables["bindings"].where((F.col("module") == id) & (F.col("kind") == "external")).select("target").distinct()
         return {"file": path, "outline": outline, "outline_more": more, "imported_by": into, "imports": outof, "external": _listed(away, ["target"], ["target"], limit)[0]}
 
+    def file_details(self, path: str | None = None) -> DataFrame:
+        """(file_path, section, value) of one file or all: who imports it, what it imports, what is in it."""
+        i, n = self.file_imports, self.nodes
+        row = lambda df, file, section, value: df.select(F.col(file).alias("file_path"), F.lit(section).alias("section"), F.col(value).alias("value"))
+        away = self.tables["bindings"].where("kind = 'external'").join(n.where("kind = 'module'").select(F.col("id").alias("module"), "file_path"), "module")
+        top = n.where("parent IS NULL")
+        parts = [row(i, "dst_file", "imported by", "src_file"), row(i, "src_file", "imports", "dst_file"), row(away, "file_path", "external", "target"), row(n.where("kind IN ('method', 'attribute')"), "file_path", "member", "id")]
+        parts += [row(top.where(F.col("kind") == k), "file_path", k, "id") for k in ("class", "function", "variable")]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = out.distinct()
+        return out if path is None else out.where(F.col("file_path") == path)
+
     def tree(self, directory: str = "", depth: int = 2, metric: str = "symbols") -> dict:
         checked(metric, ("symbols", "lines", "files"), "metric")
         value = {"symbols": F.count(F.when(F.col("kind") != "module", 1)), "lines": F.coalesce(F.max("end_line"), F.lit(0)), "files": F.lit(1)}[metric]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import queries_tree
 from .functions import text
 from .functions.vocab import EFFECTS, TEST_PATH
-from .operators import edges, filters, graph, links, metrics, paths
+from .operators import edges, filters, graph, links, metrics, paths, resolve
 from .sources import projections as P
 from .streaming import snapshot
 
@@ -438,3 +438,38 @@ def fn_strings(spark: SparkSession, d: str) -> DataFrame:
 @query("s19_source_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS code FROM documents")
 def s19_source_slice(spark: SparkSession, d: str) -> DataFrame:
     return P.table(spark, d, "documents").select("doc_id", text.source_slice("text", F.lit(2), F.lit(3)).alias("code"))
+
+
+@query("fn_paths", """SELECT p_partkey AS id, 'src/' || lower(p_type) || '/x.py' AS path, 'src.' || lower(regexp_replace(p_type, '\\W', '_', 'g')) || '.x' AS module, 'src/' || lower(p_type) || '/x.py:' || p_size AS at, lower(p_type) AS folder, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', -1) AS last,
+trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) || '-' || substr(sha256(p_name), 1, 8) AS slug, floor(p_size * 100 / 50.0 + 0.5)::BIGINT AS share, strftime(make_timestamp(p_partkey * 86400000000), '%Y-%m-%dT%H:%M:%SZ') AS day FROM part""")
+def fn_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths made plain, modules, locations, segments, slugs, percents and times."""
+    p = P.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size", F.concat(F.lit("./src\\\\"), F.lower("p_type"), F.lit("//x.py")).alias("raw")).withColumn("path", text.normal_path("raw"))
+    return p.select("id", "path", text.module_name("path").alias("module"), text.location("path", "p_size").alias("at"), F.split("path", "/")[1].alias("folder"), text.first_segment("p_name", " ").alias("first"), text.last_segment("p_name", " ").alias("last"), text.slug_id("p_name").alias("slug"), text.percent("p_size", F.lit(50)).alias("share"), text.utc_time(F.col("id") * 86400).alias("day"))
+
+
+@query("r1_first_wins", f"WITH {N} SELECT file_path AS id, min(id) AS first FROM nodes GROUP BY 1")
+def r1_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Of the rows with one key, the first in order."""
+    n = P.nodes(spark, d).select(F.col("file_path").alias("id"), F.col("id").alias("first"))
+    return resolve.first_by(n, ["id"], "first")
+
+
+@query("w10_close_names", "SELECT 'suplier' AS word, 'supplier' AS name FROM region WHERE r_regionkey = 0")
+def w10_close_names(spark: SparkSession, d: str) -> DataFrame:
+    """Did you mean: the name that is most like a misspelt one."""
+    names = spark.createDataFrame([(x,) for x in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")], "name string")
+    return filters.close_names(names, "suplier", n=1).select(F.lit("suplier").alias("word"), "name")
+
+
+@query("u2_both_types", f"WITH {S} SELECT source, target FROM sites GROUP BY 1, 2 HAVING count(DISTINCT edge_type) = 2")
+def u2_both_types(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that are joined by edges of two types."""
+    e = edges.fold(P.edge_sites(spark, d), per_type=False)
+    return edges.typed(edges.typed(e, "REFERENCES"), "CALLS").select("source", "target")
+
+
+@query("a13_access_directions", f"WITH {A} SELECT 'reader' AS direction, variable AS key, count(DISTINCT owner) AS n FROM acc WHERE kind = 'read' GROUP BY 2 UNION ALL SELECT 'writer', variable, count(DISTINCT owner) FROM acc WHERE kind = 'write' GROUP BY 2 UNION ALL SELECT 'reads', owner, count(DISTINCT variable) FROM acc WHERE kind = 'read' GROUP BY 2 UNION ALL SELECT 'writes', owner, count(DISTINCT variable) FROM acc WHERE kind = 'write' GROUP BY 2")
+def a13_access_directions(spark: SparkSession, d: str) -> DataFrame:
+    i = links.access_index(P.accesses(spark, d))
+    return i.groupBy("direction", "key").agg(F.count("*").alias("n"))

@@ -19,6 +19,7 @@ from .plans.engine import analyse_files
 from .plans.workspace import Workspace
 from .session import new_path
 from .sources import export, tree, trees
+from .streaming import snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -495,3 +496,69 @@ def s13_stored_tables(spark: SparkSession, d: str) -> DataFrame:
         one = back[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+REACH = [("pkg.m{k}.Item{k}.label", 0), ("pkg.m{k}.outer{k}.inner", 11), ("pkg.m{k}.fetch{k}", 3), ("pkg.m{k}.use{k}", 1), ("tests.test_m{k}.test_item{k}", 9)]
+
+
+@query("w4_entries_by_reach", rows("id reach_down", REACH))
+def w4_entries_by_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and how much each reaches; the best of a component stands for it."""
+    w = _workspace(spark, d)
+    found = w.roles.where(F.col("entry").isin("entry", "framework-entry", "referenced")).select("id").join(w.reach, "id").join(w.scc, "id")
+    return filters.best_per(found, "component", "reach_down").select("id", "reach_down")
+
+
+def _counted(pairs: list[tuple[str, str]], own: int) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for p in pairs:
+        out.setdefault(p[own], set()).add(p[1 - own])
+    return out
+
+
+DOWN, UP = (_counted([(s, t) for s, t, *_ in RESOLVED], i) for i in (0, 1))
+
+
+@query("ga22_symbol_counts", rows("id callers callees", [(x, len(UP.get(x, ())), len(DOWN.get(x, ()))) for x in [d[0] for d in DEFINITIONS]]))
+def ga22_symbol_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the inspector counts of each symbol outside the shared modules."""
+    w = _workspace(spark, d)
+    n = w.symbols.where(F.col("kind").isin("class", "function", "method") & ~F.col("file_path").isin("pkg/base.py", "pkg/extra.py")).select("id")
+    pairs = w.of_type("CALLS").select("source", "target").distinct()
+    return metrics.degree(n, pairs).select("id", F.col("fan_in").alias("callers"), F.col("fan_out").alias("callees"))
+
+
+@query("a17_overview", rows("kind count", [("class", 2), ("method", 4), ("function", 7), ("variable", 2), ("attribute", 2), ("module", 2)], [("class", 1), ("method", 2), ("function", 2), ("module", 4)]).join(("SELECT kind, sum(count)::BIGINT AS count FROM (", ") GROUP BY 1")))
+def a17_overview(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d)["nodes"].groupBy("kind").count()
+
+
+@query("ga31_file_details", rows("file_path section value", [
+    ("pkg/m{k}.py", "imported by", "tests/test_m{k}.py"), ("pkg/m{k}.py", "imports", "pkg/base.py"), ("pkg/m{k}.py", "imports", "pkg/__init__.py"), ("pkg/m{k}.py", "imports", "pkg/extra.py"), ("pkg/m{k}.py", "external", "os"), ("pkg/m{k}.py", "external", "json"), ("pkg/m{k}.py", "external", "requests"),
+    ("pkg/m{k}.py", "class", "pkg.m{k}.Item{k}"), ("pkg/m{k}.py", "class", "pkg.m{k}.Loose{k}"), ("pkg/m{k}.py", "member", "pkg.m{k}.Item{k}.__init__"), ("pkg/m{k}.py", "member", "pkg.m{k}.Item{k}.label"), ("pkg/m{k}.py", "member", "pkg.m{k}.Item{k}.run"), ("pkg/m{k}.py", "member", "pkg.m{k}.Item{k}.size"), ("pkg/m{k}.py", "member", "pkg.m{k}.Item{k}.key"),
+    ("pkg/m{k}.py", "member", "pkg.m{k}.Loose{k}.solo_{k}"), ("pkg/m{k}.py", "function", "pkg.m{k}.helper{k}"), ("pkg/m{k}.py", "function", "pkg.m{k}.local"), ("pkg/m{k}.py", "function", "pkg.m{k}.outer{k}"), ("pkg/m{k}.py", "function", "pkg.m{k}.fetch{k}"), ("pkg/m{k}.py", "function", "pkg.m{k}.use{k}"),
+    ("pkg/m{k}.py", "variable", "pkg.m{k}.LIMIT"), ("pkg/m{k}.py", "variable", "pkg.m{k}.table"), ("tests/test_m{k}.py", "imports", "pkg/m{k}.py"), ("tests/test_m{k}.py", "function", "tests.test_m{k}.test_item{k}"), ("pkg/base.py", "imported by", "pkg/m{k}.py"), ("pkg/__init__.py", "imported by", "pkg/m{k}.py"), ("pkg/extra.py", "imported by", "pkg/m{k}.py"),
+], [("pkg/base.py", "imported by", "pkg/__init__.py"), ("pkg/base.py", "imported by", "tests/conftest.py"), ("pkg/__init__.py", "imports", "pkg/base.py"), ("tests/conftest.py", "imports", "pkg/base.py"), ("pkg/base.py", "class", "pkg.base.Base"), ("pkg/base.py", "member", "pkg.base.Base.load"), ("pkg/base.py", "member", "pkg.base.Base.rows"), ("pkg/base.py", "function", "pkg.base.make"), ("pkg/extra.py", "function", "pkg.extra.star")]))
+def ga31_file_details(spark: SparkSession, d: str) -> DataFrame:
+    """All rows that a file's page shows."""
+    return _workspace(spark, d).file_details()
+
+
+NAMED = f"e AS ({rows('s t', [('pkg/m{k}.py', 'pkg/base.py'), ('pkg/m{k}.py', 'pkg/__init__.py'), ('pkg/m{k}.py', 'pkg/extra.py'), ('tests/test_m{k}.py', 'pkg/m{k}.py')], [('pkg/__init__.py', 'pkg/base.py'), ('tests/conftest.py', 'pkg/base.py')])}), names AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS n FROM (SELECT DISTINCT unnest([s, t]) AS path FROM e))"
+
+
+@query("s15_mermaid", f"""WITH {NAMED} SELECT 'flowchart LR' AS line UNION ALL SELECT '  n' || n || '["' || path || '"]' FROM names UNION ALL SELECT '  n' || a.n || ' --> n' || b.n FROM e JOIN names a ON a.path = s JOIN names b ON b.path = t""")
+def s15_mermaid(spark: SparkSession, d: str) -> DataFrame:
+    """The import graph as the lines of a diagram."""
+    lines = _workspace(spark, d).diagram("imports").split("\n")
+    return spark.createDataFrame([(x,) for x in lines if "%%" not in x], "line string")
+
+
+@query("st3_changed_files", rows("path change", [("pkg/m{k}.py", "modified"), ("tests/test_m{k}.py", "deleted"), ("pkg/new_{k}.py", "added")]))
+def st3_changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the tree since the analysis: modules edited, tests gone, files added."""
+    was = _tables(spark, d)["manifest"]
+    mine = F.col("path").rlike(r"^pkg/m\d+\.py$")
+    now = was.where(~F.col("path").rlike(r"^tests/test_m\d+\.py$")).withColumn("mtime_ns", F.when(mine, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")))
+    new = was.where(mine).select(F.regexp_replace("path", "^pkg/m", "pkg/new_").alias("path"), "mtime_ns")
+    return snapshot.diff(was, now.unionByName(new))

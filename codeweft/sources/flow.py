@@ -94,23 +94,57 @@ class Flow:
         self.next[head].update([start, *handlers])
         return head
 
-    def reaches_exit(self, without: int = -1) -> bool:
-        seen, todo = {ENTRY}, [ENTRY]
-        while todo:
-            for k in self.next[todo.pop()]:
-                if k == EXIT:
-                    return True
-                if k != without and k not in seen:
-                    seen.add(k)
-                    todo.append(k)
-        return False
-
-
-def certain_statements(function: ast.AST, most: int = 2000) -> set[int]:
+    def dominators_of_exit(self) -> list[int]:
+        """The nodes that every way from the entry to the exit passes; empty if there is no way.
+
+        Immediate dominators over reverse postorder, by the two-finger walk up the tree, until none changes.
+        """
+        order, seen, work = [], {ENTRY}, [(ENTRY, iter(self.next[ENTRY]))]
+        while work:
+            at, rest = work[-1]
+            for nxt in rest:
+                if nxt not in seen:
+                    seen.add(nxt)
+                    work.append((nxt, iter(self.next[nxt])))
+                    break
+            else:
+                order.append(at)
+                work.pop()
+        if EXIT not in seen:
+            return []
+        rank = {n: i for i, n in enumerate(order)}
+        before: dict[int, list[int]] = {n: [] for n in order}
+        for n in order:
+            for nxt in self.next[n]:
+                before[nxt].append(n)
+        idom, changed = {ENTRY: ENTRY}, True
+        while changed:
+            changed = False
+            for n in reversed(order[:-1]):
+                best = None
+                for p in before[n]:
+                    if p not in idom:
+                        continue
+                    if best is None:
+                        best = p
+                        continue
+                    while p != best:
+                        while rank[p] < rank[best]:
+                            p = idom[p]
+                        while rank[best] < rank[p]:
+                            best = idom[best]
+                if idom.get(n) != best:
+                    idom[n], changed = best, True
+        out, at = [], EXIT
+        while at != ENTRY:
+            at = idom[at]
+            out.append(at)
+        return out
+
+
+def certain_statements(function: ast.AST) -> set[int]:
     """The ids of the statement nodes without which the end can't be reached; none of a generator."""
     if is_generator(function):
         return set()
     flow = Flow(function.body)
-    if len(flow.of) > most or not flow.reaches_exit():
-        return set()
-    return {id(s) for k, s in enumerate(flow.of) if s is not None and not flow.reaches_exit(k)}
+    return {id(flow.of[k]) for k in flow.dominators_of_exit() if flow.of[k] is not None}

@@ -1,9 +1,10 @@
 """The extractor and the control flow, without Spark."""
 
 import ast
+import random
 
 from codeweft.sources.extract import extract
-from codeweft.sources.flow import certain_statements, is_generator
+from codeweft.sources.flow import Flow, certain_statements, is_generator
 
 
 def calls(text):
@@ -65,3 +66,32 @@ def test_imports_and_locals():
 def test_accesses_follow_scopes():
     got = extract("N = 0\ndef f(q):\n    global N\n    N += q\n    w = N\n    return w.z\n", "m.py", "m")["accesses"]
     assert [(r[0], r[2], r[4]) for r in got] == [("m", "N", "write"), ("m.f", "N", "read"), ("m.f", "N", "write"), ("m.f", "N", "read")]
+
+
+def test_certain_statements_are_those_whose_removal_cuts_all_ways():
+    r = random.Random(1)
+    pad = lambda b: "\n".join("    " + x for x in b.split("\n"))
+
+    def body(depth):
+        out = []
+        for _ in range(r.randint(1, 3)):
+            a, b, c = (pad(body(depth + 1)) for _ in range(3)) if depth < 2 else (pad("g()"),) * 3
+            out.append(r.choice(["f()", "return 1", "raise X()", f"if a:\n{a}", f"if a:\n{a}\nelse:\n{b}", f"for x in y:\n{a}\n    break", f"while True:\n{a}", f"try:\n{a}\nexcept E:\n{b}\nfinally:\n{c}", f"with c:\n{a}"]))
+        return "\n".join(out)
+
+    def reaches(flow, without):
+        seen, todo = {0}, [0]
+        while todo:
+            for k in flow.next[todo.pop()]:
+                if k == 1:
+                    return True
+                if k != without and k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+        return False
+
+    for _ in range(300):
+        flow = Flow(ast.parse("def f():\n" + pad(body(0))).body[0].body)
+        want = {k for k in range(2, len(flow.of)) if not reaches(flow, k)} if reaches(flow, -1) else set()
+        assert set(flow.dominators_of_exit()) - {0} == want
+    assert len(certain_statements(ast.parse("def f():\n" + "    a()\n" * 5000).body[0])) == 5000

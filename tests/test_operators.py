@@ -35,7 +35,9 @@ def test_components_by_least_member(spark):
     assert {tuple(r) for r in graph.condensed(scc, e).collect()} == {("a", "c")}
 
 
-def test_components_against_mutual_reach(spark):
+@pytest.mark.parametrize("core", [0, graph.CORE])
+def test_components_against_mutual_reach(spark, core, monkeypatch):
+    monkeypatch.setattr(graph, "CORE", core)
     r = random.Random(4)
     rows = {(r.randrange(25), r.randrange(25)) for _ in range(40)}
     reach = defaultdict(set)
