@@ -69,7 +69,7 @@ def _least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Up to so many edges, one task finds the components in one pass.
-CORE = 200_000
+CORE = 500_000
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
@@ -173,16 +173,23 @@ def cycles(scc: DataFrame) -> DataFrame:
     return scc.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
 
 
-def reach(scc: DataFrame, dag: DataFrame) -> DataFrame:
+def reach(scc: DataFrame, dag: DataFrame, block: int = 1_000_000) -> DataFrame:
     """(id, reach_down, reach_up): nodes that each reaches and that reach it, itself not counted.
 
-    Pairs of components are closed over the condensation and weighted by size.
+    Pairs of components are closed over the condensation, from about ``block``
+    components at a time, and only their sums are kept.
     """
-    size = scc.groupBy("component").agg(F.count("*").alias("size"))
-    pairs, _ = expand(size.select(F.col("component").alias("seed"), F.col("component").alias("id")), dag)
-    pairs = settled(pairs.select("seed", "id"), "pairs")
-    down = pairs.join(size.withColumnRenamed("component", "id"), "id").groupBy(F.col("seed").alias("component")).agg((F.sum("size") - 1).alias("reach_down"))
-    up = pairs.join(size.withColumnRenamed("component", "seed"), "seed").groupBy(F.col("id").alias("component")).agg((F.sum("size") - 1).alias("reach_up"))
+    size = settled(scc.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    n = max(1, -(-size.count() // block))
+    downs, ups = [], []
+    for k in range(n):
+        some = size.where(F.pmod(F.xxhash64("component"), F.lit(n)) == k)
+        pairs = settled(expand(some.select(F.col("component").alias("seed"), F.col("component").alias("id")), dag)[0].select("seed", "id"), "pairs")
+        downs.append(settled(pairs.join(size.withColumnRenamed("component", "id"), "id").groupBy(F.col("seed").alias("component")).agg(F.sum("size").alias("n")), "down"))
+        ups.append(settled(pairs.join(size.withColumnRenamed("component", "seed"), "seed").groupBy(F.col("id").alias("component")).agg(F.sum("size").alias("n")), "up"))
+        drop(pairs)
+    down = _union(downs).select("component", (F.col("n") - 1).alias("reach_down"))
+    up = _union(ups).groupBy("component").agg((F.sum("n") - 1).alias("reach_up"))
     return scc.join(down, "component").join(up, "component").select("id", "reach_down", "reach_up")
 
 

@@ -85,7 +85,8 @@ def test_reach_rank_and_effects(spark):
     e = pairs(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("d", "c")])
     scc = graph.strongly_connected(ids(spark, "abcde"), e)
     dag = graph.condensed(scc, e)
-    assert {k: (r["reach_down"], r["reach_up"]) for k, r in got(graph.reach(scc, dag)).items()} == {"a": (2, 1), "b": (2, 1), "c": (0, 3), "d": (1, 0), "e": (0, 0)}
+    for block in (2, 1_000_000):
+        assert {k: (r["reach_down"], r["reach_up"]) for k, r in got(graph.reach(scc, dag, block)).items()} == {"a": (2, 1), "b": (2, 1), "c": (0, 3), "d": (1, 0), "e": (0, 0)}
     assert {k: r["rank"] for k, r in got(graph.rank(scc, dag, ids(spark, "a"))).items()} == {"a": 0, "b": 0, "c": 1, "d": None, "e": None}
     direct = frame(spark, [("a", 0), ("b", 0), ("c", 4), ("d", 1), ("e", 0)], "id string, mask int")
     assert {k: r["mask"] for k, r in got(graph.propagate(direct, e)).items()} == {"a": 4, "b": 4, "c": 4, "d": 5, "e": 0}
