@@ -13,8 +13,9 @@ pages are joined to their hosts' lines by a shuffle, the hosts salted.
 
 Defined cases: a null text stays null and is no page; a null host is one host, the
 empty text's; empty lines are never counted or dropped; a page that loses all its
-lines stays, with an empty text; repeated rows all stay; columns named like the
-results are replaced; an empty table gives no rows.
+lines stays, with an empty text; a line with exactly the ratio of a host's pages stays;
+texts and lines are taken whole, of any length; repeated rows all stay; columns named
+like the results are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

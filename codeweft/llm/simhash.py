@@ -15,7 +15,8 @@ A task returns a spanning forest of what it found, not all pairs.
 Defined cases: a null text has no words, like the empty one: fingerprint zero,
 linked like any other; repeated rows and exact copies share a fingerprint and
 hence a component; null doc_ids are linked too but give no component id unless
-all of a component are null; an empty table gives no rows; other columns aren't read.
+all of a component are null; a bit that half of the shingles set is 0; texts are taken
+whole, of any length; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -208,6 +208,32 @@ def test_ratio_and_threshold():
     assert 0.2 < quality.best_threshold([0.9] * 99 + [0.1], [0.0] * 50 + [0.2] * 50, 0.9) <= 0.9
 
 
+def test_op6_scores_and_verdicts_by_definition(spark, tmp_path):
+    """Raw and target n-gram counts, ratios and the threshold over whole texts, in plain Python."""
+    small = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in rows_of(spark, small)}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r["quality"] is not None and r["doc_id"] in docs}
+    labels = {i: q for i, q in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    half = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in labels], "doc_id long").selectExpr("doc_id", "pmod(xxhash64('half', doc_id), 2)").collect()}
+
+    def grams(text):
+        raw = b" ".join((text or "").encode().split())
+        return [(int.from_bytes(raw[i : i + 4], "big") * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 3)]
+
+    raw, target = Counter(g for t in docs.values() for g in grams(t)), Counter(g for i, q in labels.items() if q == 1 and half[i] == 0 for g in grams(docs[i]))
+    part = lambda c, g: math.log((c[g] + 1) / (c.total() + quality.BUCKETS))
+    score = {i: (sum(part(target, g) - part(raw, g) for g in gs) / len(gs) if (gs := grams(t)) else 0.0) for i, t in docs.items()}
+    failed = {i: quality.rules(t)[5] for i, t in docs.items()}
+    good, bad = ([score[i] for i in labels if half[i] == 1 and not failed[i] and (labels[i] == 1) == y] for y in (True, False))
+    value = {t: sum(x >= t for x in good) / len(good) + sum(x < t for x in bad) / len(bad) for t in sorted({*good, *bad}) if sum(x >= t for x in good) / len(good) >= 0.99}
+    threshold = min(t for t in value if value[t] >= max(value.values()) - 2 * quality.SLACK)
+    got = {r["doc_id"]: r for r in QUERIES["op6_quality"](spark, small).collect()}
+    assert all(math.isclose(got[i]["score"], score[i], abs_tol=1e-9) for i in docs)
+    assert all(got[i]["kept"] == (not failed[i] and score[i] >= threshold) for i in docs if abs(score[i] - threshold) > 1e-9)
+    e = helpers.put(spark, tmp_path, documents=helpers.empty(spark), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert QUERIES["op6_quality"](spark, e).count() == 0
+
+
 def test_quality_tells_held_out_rows_apart(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = [r for r in QUERIES["op6_quality"](spark, SF).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["doc_id"] in labels]

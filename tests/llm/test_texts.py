@@ -241,3 +241,21 @@ def test_op9_keeps_the_articles_of_the_tables(spark):
 
             assert " ".join(unescape(re.sub("<[^>]+>", "", title[1])).split()) in r["text"]
         assert "<p>" not in r["text"] or "&lt;p&gt;" in html
+
+
+def test_op9_is_the_whole_article_of_every_page_with_one(spark):
+    """All words of the article element and no others, by pattern and not by the model."""
+    import re
+    from html import unescape
+
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in QUERIES["op9_html_text"](spark, SF).collect()}
+    plain = lambda t: "".join(t.split())
+    checked = 0
+    for i, html in pages.items():
+        article = re.search(r"<article[^>]*>(.*?)</article>", html, re.S)
+        if article and not re.search(r"<(aside|form|nav|div)\b", article[1]):
+            inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", article[1], flags=re.S)
+            assert plain(got[i]) == plain(unescape(re.sub(r"<[^>]+>", "", inner)))
+            checked += 1
+    assert checked > 0.5 * len(pages)
