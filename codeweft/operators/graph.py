@@ -24,7 +24,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_hops: int | None = None, budg
     are taken first.
     """
     key = ["seed", "id"] if "seed" in seeds.columns else ["id"]
-    step = edges.select("source", "target").distinct()
+    step = settled(edges.select("source", "target").distinct(), "steps")
     found = settled(seeds.select(*key).distinct().withColumn("hop", F.lit(0)), "reached")
     parts, frontier, hop, left = [found], found, 0, budget
     while max_hops is None or hop < max_hops:
@@ -260,6 +260,7 @@ def cone(root, edges: DataFrame, depth: int = 2, budget: int = 80, down: bool =
     """
     spark = edges.sparkSession
     seed = spark.createDataFrame([(root,)], "id " + edges.schema["source"].dataType.simpleString())
+    edges = settled(edges.select("source", "target").distinct(), "steps")
     sides = [("down", edges)] * down + [("up", flipped(edges))] * up
     kept, beyond, used, stopped = [seed.select(F.lit("root").alias("side"), "id", F.lit(0).alias("hop"))], 0, 1, set()
     seen = {name: seed for name, _ in sides}
