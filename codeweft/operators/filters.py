@@ -154,3 +154,28 @@ def best_per(rows: DataFrame, group: str, value: str) -> DataFrame:
     """The row of greatest ``value`` of each ``group``, the least id of equals; combined before the shuffle."""
     best = F.min_by(F.struct("*"), F.struct(-F.col(value), F.col("id")))
     return rows.groupBy(F.col(group).alias("_g")).agg(best.alias("_b")).select("_b.*")
+
+
+OUTLINE_KINDS = ("class", "function", "method", "variable", "attribute")
+
+
+def outline(symbols: DataFrame, kinds: str | None = None, match: str | None = None) -> DataFrame:
+    """(file_path, id, depth, start_line, start_byte, label): symbols at the top of files and the members of classes.
+
+    Those of ``kinds`` whose label has ``match`` are kept, and a class with such a member.
+    """
+    some = set(kinds.split(",")) if kinds else set(OUTLINE_KINDS)
+    for k in some:
+        checked(k, OUTLINE_KINDS, "outline kind")
+    span = F.when(F.col("end_line") > F.col("start_line"), F.concat_ws("-", "start_line", "end_line")).otherwise(F.col("start_line").cast("string"))
+    label = F.concat(F.lit("L"), span, F.lit(" "), F.coalesce("signature", "name"))
+    seen = F.col("kind").isin(*some)
+    if match:
+        seen &= F.lower(F.coalesce("signature", "name")).contains(match.lower())
+    rows = symbols.withColumn("label", label).withColumn("seen", seen)
+    classes = rows.where("kind = 'class' AND parent IS NULL").select(F.col("id").alias("parent"))
+    members = rows.where("seen").join(classes, "parent", "left_semi")
+    held = members.select(F.col("parent").alias("id")).distinct().withColumn("held", F.lit(True))
+    top = rows.where("parent IS NULL").join(held, "id", "left").where("seen OR (kind = 'class' AND held)")
+    shown = lambda df, depth: df.select("file_path", "id", F.lit(depth).alias("depth"), "start_line", "start_byte", "label")
+    return shown(top, 0).unionByName(shown(members, 1))

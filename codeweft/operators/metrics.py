@@ -133,3 +133,8 @@ def annotation_coverage(symbols: DataFrame) -> DataFrame:
     rows = symbols.where(F.col("kind").isin("function", "method")).withColumn("_p", F.coalesce(taken, F.array()))
     said = F.size(F.filter("_p", lambda p: p["annotation"].isNotNull()))
     return rows.groupBy("file_path").agg(F.count("*").alias("callables"), F.count("returns").alias("returns_said"), F.sum(F.size("_p")).alias("params"), F.sum(said).alias("params_said"))
+
+
+def group_coverage(coverage: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, resolved, unresolved, dynamic, total): the sums of components' members."""
+    return members.select("id", "component").join(coverage, "id").groupBy("component").agg(*(F.sum(c).alias(c) for c in ("resolved", "unresolved", "dynamic", "total")))

@@ -40,3 +40,25 @@ def narrowest(paths: DataFrame, path: str = "path") -> DataFrame:
     n = paths.select(path).distinct().count()
     every = prefixes(paths.select(path).distinct(), path).groupBy("dir", "depth").agg(F.count("*").alias("c"))
     return every.where(F.col("c") == n).orderBy(F.col("depth").desc()).limit(1).select("dir")
+
+
+def minimal_scopes(targets: DataFrame, tree: DataFrame, path: str = "path") -> DataFrame:
+    """(target, scope): the smallest folder that shows each target: a folder itself, a file's folder, null for what isn't there."""
+    files = tree.select(F.col(path).alias("target")).distinct().withColumn("is_file", F.lit(True))
+    dirs = prefixes(tree.select(path).distinct(), path).select(F.col("dir").alias("target")).distinct().withColumn("is_dir", F.lit(True))
+    rows = targets.select("target").distinct().join(files, "target", "left").join(dirs, "target", "left")
+    above = F.regexp_replace("target", "/?[^/]*$", "")
+    return rows.select("target", F.when(F.col("is_dir"), F.col("target")).when(F.col("is_file"), above).alias("scope"))
+
+
+def file_only_folders(tree: DataFrame, path: str = "path") -> DataFrame:
+    """(dir): folders besides the root that hold files and no folder."""
+    every = prefixes(tree.select(path).distinct(), path).select("dir", (F.size(F.split(path, "/")) - 1).alias("deepest"), "depth")
+    return every.where("dir <> ''").groupBy("dir").agg(F.max(F.col("deepest") > F.col("depth")).alias("holds")).where("NOT holds").select("dir")
+
+
+def listing(tree: DataFrame, path: str = "path") -> DataFrame:
+    """(dir, name, is_file, place): what each folder holds, folders first, then files, each by name."""
+    parts = F.split(path, "/")
+    every = prefixes(tree.select(path).distinct(), path).select("dir", parts[F.col("depth")].alias("name"), (F.size(parts) == F.col("depth") + 1).alias("is_file")).groupBy("dir", "name").agg(F.bool_and("is_file").alias("is_file"))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("dir").orderBy("is_file", "name")))

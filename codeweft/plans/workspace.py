@@ -206,17 +206,18 @@ class Workspace:
             out["unresolved"] = _listed(self.tables["unresolved"].where(F.col("caller_id") == id), ["raw_name", "reason", "line"], ["line"], limit)[0]
         return out
 
-    def file(self, ref: str, kind: str | None = None, match: str | None = None, limit: int = 60) -> dict:
+    def file(self, ref: str, kind: str | None = None, match: str | None = None, outline_only: bool = False, limit: int = 60) -> dict:
+        """A file's imports and importers, and its outline: members stand under their classes."""
         id = self.resolve(ref, ("module",))
         path = self._node(id)["file_path"]
-        rows = self.symbols.where(F.col("file_path") == path)
-        rows = rows if kind is None else rows.where(F.col("kind") == kind)
-        rows = rows if match is None else rows.where(filters.matches(F.col("name"), match))
-        outline, more = _listed(rows, ["id", "kind", "parent", "start_line", "end_line", "signature"], ["start_byte", "id"], limit)
-        into = _listed(self.file_imports.where(F.col("dst_file") == path), ["src_file"], ["src_file"], limit)[0]
-        outof = _listed(self.file_imports.where(F.col("src_file") == path), ["dst_file"], ["dst_file"], limit)[0]
-        away = self.tables["bindings"].where((F.col("module") == id) & (F.col("kind") == "external")).select("target").distinct()
-        return {"file": path, "outline": outline, "outline_more": more, "imported_by": into, "imports": outof, "external": _listed(away, ["target"], ["target"], limit)[0]}
+        rows = filters.outline(self.symbols.where(F.col("file_path") == path), kind, match)
+        got, more = _listed(rows, ["depth", "label"], ["start_byte", "depth", "id"], limit)
+        out: dict = {"file": path, "outline": ["  " * r["depth"] + r["label"] for r in got], "outline_more": more}
+        if not outline_only:
+            details = self.file_details(path)
+            for key, section in (("imported_by", "imported by"), ("imports", "imports"), ("external", "external")):
+                out[key], out[f"{key}_more"] = _listed(details.where(F.col("section") == section), ["value"], ["value"], limit)
+        return out
 
     def file_details(self, path: str | None = None) -> DataFrame:
         """(file_path, section, value) of one file or all: who imports it, what it imports, what is in it."""

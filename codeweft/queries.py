@@ -473,3 +473,38 @@ def u2_both_types(spark: SparkSession, d: str) -> DataFrame:
 def a13_access_directions(spark: SparkSession, d: str) -> DataFrame:
     i = links.access_index(P.accesses(spark, d))
     return i.groupBy("direction", "key").agg(F.count("*").alias("n"))
+
+
+@query("ga25_pooled_tags", f"WITH {S.replace('sites AS', 'plain AS', 1)}, {N}, sites AS (SELECT a.file_path AS source, b.file_path AS target, plain.* EXCLUDE (source, target) FROM plain JOIN nodes a ON a.id = plain.source JOIN nodes b ON b.id = plain.target WHERE a.file_path <> b.file_path), {TAGS} SELECT * FROM tags")
+def ga25_pooled_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Control tags of edges between files, of all their sites' breadcrumbs."""
+    return edges.control_tags(links.collapsed_sites(P.edge_sites(spark, d), P.nodes(spark, d).select("id", F.col("file_path").alias("element"))))
+
+
+@query("a9_group_coverage", f"WITH {S}, {UNRESOLVED}, {N}, y AS (SELECT source AS id, count(*) AS r FROM sites GROUP BY 1), u AS (SELECT caller_id AS id, count(*) AS u, count_if(reason = 'computed callee') AS c FROM un GROUP BY 1), f AS (SELECT id, coalesce(r, 0) AS r, coalesce(u, 0) AS u, coalesce(c, 0) AS c FROM y FULL JOIN u USING (id)) SELECT file_path AS component, sum(r)::BIGINT AS resolved, sum(u)::BIGINT AS unresolved, sum(c)::BIGINT AS dynamic, sum(r + u)::BIGINT AS total FROM f JOIN nodes USING (id) GROUP BY 1")
+def a9_group_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of call sites, summed by file."""
+    c = metrics.coverage(P.edge_sites(spark, d), P.unresolved(spark, d))
+    return metrics.group_coverage(c, P.nodes(spark, d).select("id", F.col("file_path").alias("component")))
+
+
+SCOPES = "every AS (SELECT DISTINCT path, array_to_string(string_split(path, '/')[1:i], '/') AS dir, i AS depth, len(string_split(path, '/')) - 1 AS deepest FROM (SELECT path, unnest(range(0, len(string_split(path, '/')))) AS i FROM (SELECT DISTINCT path FROM urls)))"
+
+
+@query("ga30_minimal_scopes", f"WITH {U}, {SCOPES}, t AS (SELECT path AS target FROM urls UNION SELECT dir FROM every UNION SELECT path || '/none' FROM urls) SELECT target, CASE WHEN target IN (SELECT dir FROM every) THEN target WHEN target IN (SELECT path FROM urls) THEN regexp_replace(target, '/?[^/]*$', '') END AS scope FROM t")
+def ga30_minimal_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """The folder to open for every folder, every file and paths that aren't there."""
+    u = P.url_paths(spark, d)
+    targets = u.select(F.col("path").alias("target")).union(paths.prefixes(u).select("dir")).union(u.select(F.concat("path", F.lit("/none"))))
+    return paths.minimal_scopes(targets, u)
+
+
+@query("ga30_file_only_folders", f"WITH {U}, {SCOPES} SELECT dir FROM every WHERE dir <> '' GROUP BY 1 HAVING max(deepest - depth) = 0")
+def ga30_file_only_folders(spark: SparkSession, d: str) -> DataFrame:
+    return paths.file_only_folders(P.url_paths(spark, d))
+
+
+@query("w8_folders_first", f"WITH {U}, {SCOPES}, held AS (SELECT dir, string_split(path, '/')[depth + 1] AS name, bool_and(deepest = depth) AS is_file FROM every GROUP BY 1, 2) SELECT dir, name, is_file, row_number() OVER (PARTITION BY dir ORDER BY is_file, name) AS place FROM held")
+def w8_folders_first(spark: SparkSession, d: str) -> DataFrame:
+    """What each folder holds, folders before files."""
+    return paths.listing(P.url_paths(spark, d))

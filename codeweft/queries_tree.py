@@ -562,3 +562,20 @@ def st3_changed_files(spark: SparkSession, d: str) -> DataFrame:
     now = was.where(~F.col("path").rlike(r"^tests/test_m\d+\.py$")).withColumn("mtime_ns", F.when(mine, F.col("mtime_ns") + 1).otherwise(F.col("mtime_ns")))
     new = was.where(mine).select(F.regexp_replace("path", "^pkg/m", "pkg/new_").alias("path"), "mtime_ns")
     return snapshot.diff(was, now.unionByName(new))
+
+
+@query("f8_outline", rows("file_path depth label", [
+    ("pkg/m{k}.py", 0, "L14-37 class Item{k}(Base)"), ("pkg/m{k}.py", 1, "L23-25 def label(self) -> str"), ("pkg/m{k}.py", 0, "L61-66 def local(v, cb=build)"),
+]))
+def f8_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods whose names begin with l, under their classes."""
+    o = filters.outline(_workspace(spark, d).symbols, "function,method", "def l")
+    return o.select("file_path", F.col("depth").cast("long").alias("depth"), "label").where(F.col("file_path").startswith("pkg/m"))
+
+
+@query("j9_byte_to_innermost", rows("id owner", [(x[0], x[0]) for x in DEFINITIONS] + [("pkg.m{k}.Item{k}.size", "pkg.m{k}.Item{k}"), ("pkg.m{k}.Item{k}.key", "pkg.m{k}.Item{k}.__init__"), ("pkg.m{k}.LIMIT", None), ("pkg.m{k}.table", None)], [(x[0], x[0]) for x in SHARED_DEFINITIONS]))
+def j9_byte_to_innermost(spark: SparkSession, d: str) -> DataFrame:
+    """The innermost definition around each symbol's first byte."""
+    n = _workspace(spark, d).symbols
+    spans = n.where(F.col("kind").isin("class", "function", "method")).select(F.col("file_path").alias("group"), "id", F.col("start_byte").alias("start"), (F.col("end_byte") - 1).alias("end"))
+    return links.innermost(n.select(F.col("file_path").alias("group"), F.col("start_byte").alias("at"), "id"), spans).select("id", "owner")
