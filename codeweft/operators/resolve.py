@@ -122,13 +122,18 @@ def members(nodes: DataFrame, mro: DataFrame, kinds: tuple[str, ...]) -> DataFra
 
 def scopes(nodes: DataFrame) -> DataFrame:
     """(id, scope, depth, kind): each symbol and those around it, up to MAX_SCOPES."""
-    parent = nodes.select("id", "parent")
+    parent = nodes.where("parent IS NOT NULL").select(F.col("id").alias("scope"), F.col("parent").alias("above"))
     kind = nodes.select(F.col("id").alias("scope"), "kind")
     level = nodes.select("id", F.col("id").alias("scope"), F.lit(0).alias("depth"))
-    out = level
+    every = [level]
     for k in range(1, MAX_SCOPES + 1):
-        level = level.join(parent.withColumnRenamed("id", "scope"), "scope").where("parent IS NOT NULL").select("id", F.col("parent").alias("scope"), F.lit(k).alias("depth"))
-        out = out.unionByName(level)
+        level = settled(level.join(parent, "scope").select("id", F.col("above").alias("scope"), F.lit(k).alias("depth")), "scopes")
+        if level.isEmpty():
+            break
+        every.append(level)
+    out = every[0]
+    for e in every[1:]:
+        out = out.unionByName(e)
     return settled(out.join(kind, "scope"), "scopes")
 
 
