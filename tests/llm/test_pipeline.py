@@ -75,7 +75,14 @@ def test_stages_on_odd_and_empty_documents(spark, tmp_path, name):
         assert out.columns == [c for c in docs.columns if c != "ids"] + ["n_tokens", "ids"]
     else:
         assert out.columns == docs.columns and out.schema == docs.schema
-    assert len(rows) == (docs.count() if name != "simhash near-dedup" else len(rows)) and all(r["a.b"] == "x10" for r in rows)
+    if name == "toxicity":  # only rows that are labelled toxic go, and none where no label says so
+        gone = {(i, t) for i, t, *_ in helpers.odd_rows()} - {(r["doc_id"], r["text"]) for r in rows}
+        assert gone <= {(i, t) for i, t, *_ in helpers.odd_rows() if i is not None and i % 2}
+        clean = helpers.put(spark, tmp_path / "clean", labels=labels.selectExpr("doc_id", "quality", "0 AS toxic"))
+        assert stage(spark, docs, clean).count() == docs.count()
+    elif name != "simhash near-dedup":
+        assert len(rows) == docs.count()
+    assert all(r["a.b"] == "x10" for r in rows)
     texts = [r["text"] for r in rows]
     assert set(texts) <= {t for _, t, *_ in helpers.odd_rows()} or name == "line dedup"
     none = stage(spark, common.written(spark, helpers.empty(spark), "none"), d)
