@@ -23,6 +23,7 @@ repeated rows get equal scores; columns named like the results are replaced and
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -55,10 +56,17 @@ class Bags:
     """Distinct words of some texts, given by number, with their counts: row, term and n, in that order; row ``i`` ends at ``ends[i + 1]``."""
 
     def __init__(self, texts: list[np.ndarray], v: int) -> None:
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        at = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, dtype=np.int64)
-        code, self.n = np.unique((np.repeat(np.arange(len(texts)), size) * (v + 1) + at)[at < v], return_counts=True)
-        self.row, self.term = code // (v + 1), code % (v + 1)
+        rows, terms, counts = [], [], []
+        for k in range(0, len(texts), 256):  # some at a time, so that what is sorted at once stays small
+            some = texts[k : k + 256]
+            at = np.concatenate(some).astype(np.int64)
+            row = np.repeat(np.arange(k, k + len(some)), [len(t) for t in some])
+            code, n = np.unique((row * (v + 1) + at)[at < v], return_counts=True)
+            rows.append((code // (v + 1)).astype(np.int32))
+            terms.append((code % (v + 1)).astype(np.int32))
+            counts.append(n.astype(np.int32))
+        none = [np.zeros(0, dtype=np.int32)]
+        self.row, self.term, self.n = (np.concatenate(x or none) for x in (rows, terms, counts))
         self.ends = np.searchsorted(self.row, np.arange(len(texts) + 1))
 
 
@@ -66,9 +74,8 @@ class Index:
     """A block-max inverted index of examples.
 
     ids, labels: of the examples, block by block. Each word has postings (start, at,
-    weight); those of the first ``heads`` words are also laid out in ``dense``, block x
-    word x example, with their block maxima in ``peaks``, word x block. Only postings
-    are pickled.
+    weight); those of the first ``heads`` words are also :attr:`laid_out` as block x word
+    x example, with their block maxima, word x block. Only postings are pickled.
     """
 
     def __init__(self, terms: list[bytes], df: np.ndarray, docs: int, examples: list[tuple[int, int, np.ndarray]], k: int | None = None) -> None:
@@ -98,22 +105,22 @@ class Index:
         order = np.lexsort((at, bags.term))
         self.start = np.searchsorted(bags.term[order], np.arange(len(terms) + 1)).astype(np.int64)
         self.at, self.weight = at[order].astype(np.uint16 if self.size < 1 << 16 else np.int32), weight[order].astype(np.float32)
-        self._lay_out()
         self.slope, self.shift = 1.0, 0.0
 
-    def _lay_out(self) -> None:
+    @functools.cached_property
+    def laid_out(self) -> tuple[np.ndarray, np.ndarray]:
+        """dense and peaks; made where they are first used."""
         n = int(self.start[self.heads])
         wide = np.zeros((self.heads, self.blocks * BLOCK), dtype=np.float32)
         wide[np.repeat(np.arange(self.heads), np.diff(self.start[: self.heads + 1])), self.at[:n]] = self.weight[:n]
         wide = wide.reshape(self.heads, self.blocks, BLOCK)
-        self.peaks, self.dense = wide.max(axis=2, initial=0), np.ascontiguousarray(wide.transpose(1, 0, 2))
+        return np.ascontiguousarray(wide.transpose(1, 0, 2)), wide.max(axis=2, initial=0)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("peaks", "dense")} | {"terms": list(self.terms)}
+        return {k: v for k, v in self.__dict__.items() if k != "laid_out"} | {"terms": list(self.terms)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state | {"terms": {t: i for i, t in enumerate(state["terms"])}}
-        self._lay_out()
 
     def _weights(self, bags: Bags, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """The weight of each entry, its row's vector of length 1, and the rows' heads as a matrix."""
@@ -155,7 +162,7 @@ class Index:
         if but is not None:
             own = np.nonzero(but >= 0)[0]
             acc[own, but[own]] = -4
-        bound = head @ self.peaks + acc.reshape(rows, self.blocks, BLOCK).max(axis=2)
+        bound = head @ self.laid_out[1] + acc.reshape(rows, self.blocks, BLOCK).max(axis=2)
         todo = np.ones((rows, self.blocks), dtype=bool)
         few = -(-self.k // BLOCK) + 1
         if prune and few < self.blocks:
@@ -174,12 +181,13 @@ class Index:
 
     def _evaluate(self, acc: np.ndarray, head: np.ndarray, todo: np.ndarray) -> None:
         """Add the head words' part to the blocks in ``todo``."""
+        dense, _ = self.laid_out
         for b in range(self.blocks):
             rows = np.nonzero(todo[:, b])[0]
             if len(rows) == len(todo):
-                acc[:, b * BLOCK : (b + 1) * BLOCK] += head @ self.dense[b]
+                acc[:, b * BLOCK : (b + 1) * BLOCK] += head @ dense[b]
             elif len(rows):
-                acc[rows, b * BLOCK : (b + 1) * BLOCK] += head[rows] @ self.dense[b]
+                acc[rows, b * BLOCK : (b + 1) * BLOCK] += head[rows] @ dense[b]
 
     def votes(self, texts: list[list[bytes]], but: np.ndarray | None = None, evidence: int = 0) -> tuple[np.ndarray, list[list[int]]]:
         """The share of the vote for toxic, NaN without a neighbour, and the ids of the nearest ``evidence`` examples."""
@@ -284,15 +292,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
     seen: dict[bytes, int] = {}
     examples = []
     for r in rows.orderBy("doc_id").toLocalIterator():
-        examples.append((r["doc_id"], int(r["toxic"] > 0), np.array([seen.setdefault(w, len(seen)) for w in words_of(r["text"])], dtype=np.int64)))
+        examples.append((r["doc_id"], int(r["toxic"] > 0), np.array([seen.setdefault(w, len(seen)) for w in words_of(r["text"])], dtype=np.int32)))
     if not any(y for _, y, _ in examples):
         return Index([], np.zeros(0), 0, [])
     terms = sorted(seen)
-    rank = np.empty(len(terms), dtype=np.int64)
+    rank = np.empty(len(terms), dtype=np.int32)
     rank[[seen[t] for t in terms]] = np.arange(len(terms))
     examples = [(d, y, rank[at]) for d, y, at in examples]
-    del seen
+    del seen, rank
     index = Index(terms, *_document_frequencies(text, terms), examples, k)
+    del examples
+    common.release()
     shared = spark.sparkContext.broadcast(index)
 
     def leave_out(batches: Iterator) -> Iterator:
@@ -304,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
             votes, _ = shared.value.votes([words_of(t) for t in batch.column(2).to_pylist()], but)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["toxic", "vote"])
 
-    parts = max(1, len(examples) // 256)
+    parts = max(1, index.size // 256)
     own = [(r["vote"], r["toxic"] > 0) for r in common.map_arrow(rows.select("doc_id", "toxic", "text").repartition(parts), leave_out, "toxic int, vote double").collect() if not math.isnan(r["vote"])]
     shared.destroy()
     if own:
