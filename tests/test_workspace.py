@@ -91,3 +91,21 @@ def test_answers_and_texts(ws, spark, tmp_path):
 def test_stale(ws, spark, project):
     now = tree.manifest(tree.scan(spark, project)).where("path <> 'shop/till.py'")
     assert ws.stale(now) == {"modified": [], "added": [], "deleted": ["shop/till.py"]}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from codeweft import cli
+
+    root = tmp_path / "p"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "__init__.py").write_text("")
+    (root / "a" / "m.py").write_text("def f():\n    return g()\n\n\ndef g():\n    return 1\n")
+    assert cli.main(["guide"]) == 0 and "impact" in capsys.readouterr().out
+    assert cli.main(["--store", str(tmp_path / "none"), "find", "f"]) == 3
+    assert cli.main(["init", str(root)]) == 0
+    monkeypatch.chdir(root / "a")
+    assert cli.store_of(None) == str(root / ".codeweft")
+    capsys.readouterr()
+    assert cli.main(["find", "g"]) == 0 and '"a.m.g"' in capsys.readouterr().out
+    assert cli.main(["update"]) == 0 and "nothing has changed" in capsys.readouterr().out
+    assert cli.main(["symbol", "gone_name"]) == 1
