@@ -221,8 +221,9 @@ def test_op6_scores_and_verdicts_by_definition(spark, tmp_path):
         return [(int.from_bytes(raw[i : i + 4], "big") * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 3)]
 
     raw, target = Counter(g for t in docs.values() for g in grams(t)), Counter(g for i, q in labels.items() if q == 1 and half[i] == 0 for g in grams(docs[i]))
-    part = lambda c, g: math.log((c[g] + 1) / (c.total() + quality.BUCKETS))
-    score = {i: (sum(part(target, g) - part(raw, g) for g in gs) / len(gs) if (gs := grams(t)) else 0.0) for i, t in docs.items()}
+    n_raw, n_target = raw.total(), target.total()
+    ratio = {g: math.log((target[g] + 1) / (n_target + quality.BUCKETS)) - math.log((raw[g] + 1) / (n_raw + quality.BUCKETS)) for g in raw}
+    score = {i: (sum(ratio[g] for g in gs) / len(gs) if (gs := grams(t)) else 0.0) for i, t in docs.items()}
     failed = {i: quality.rules(t)[5] for i, t in docs.items()}
     good, bad = ([score[i] for i in labels if half[i] == 1 and not failed[i] and (labels[i] == 1) == y] for y in (True, False))
     value = {t: sum(x >= t for x in good) / len(good) + sum(x < t for x in bad) / len(bad) for t in sorted({*good, *bad}) if sum(x >= t for x in good) / len(good) >= 0.99}
