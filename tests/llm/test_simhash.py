@@ -93,6 +93,39 @@ def test_stars_on_a_long_path_and_a_hub(spark):
     assert stars(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 150, 10_000])
+def test_stars_by_rounds_and_at_once(spark, few):
+    """Trees, chains, a hub and loops, whatever part of the rounds the driver spares."""
+    r = random.Random(9)
+    name = [r.getrandbits(63) - (1 << 62) for _ in range(500)]
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(300, 400)] + [(450, i) for i in range(400, 500)]
+    r.shuffle(pairs)
+    parent = {x: x for x in name}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        a, b = root(name[i]), root(name[j])
+        parent[max(a, b)] = min(a, b)
+    got = [(x["u"], x["v"]) for x in stars(spark.createDataFrame([(name[i], name[j]) for i, j in pairs], "u long, v long"), few=few).collect()]
+    assert len(got) == len(set(got)) and dict(got) == {x: root(x) for x in name if root(x) != x}
+
+
+def test_few_links_need_no_rounds(spark):
+    """Rounds of joins over a handful of links took most of op4's stages, and memory with them."""
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    links = spark.createDataFrame([(i, i + 1) for i in range(70)], "u long, v long")
+    sc.setJobGroup("few links", "")
+    try:
+        got = {r["u"]: r["v"] for r in stars(links).collect()}
+        assert got == {i: 0 for i in range(1, 71)} and len(tracker.getJobIdsForGroup("few links")) < 15
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def near_texts(r: random.Random) -> list[str]:
     out = []
     for k in range(40):
