@@ -235,6 +235,44 @@ def test_op6_scores_and_verdicts_by_definition(spark, tmp_path):
     assert QUERIES["op6_quality"](spark, e).count() == 0
 
 
+@pytest.mark.parametrize("good, bad", [(3000, 2000), (40, 1), (1, 40), (0, 9), (9, 0), (0, 0)])
+def test_thresholds_of_tables_are_those_of_lists(spark, good, bad):
+    """Over several ranges, with ties; counted in tasks, none left out."""
+    r = random.Random(good)
+    rows = [(round(r.gauss(y, 0.6), 2), y) for y, n in ((True, good), (False, bad)) for _ in range(n)]
+    got = quality.threshold_of(spark.createDataFrame(rows, "score double, good boolean"), 0.9)
+    assert got == quality.best_threshold([x for x, y in rows if y], [x for x, y in rows if not y], 0.9)
+
+
+def test_quality_learns_from_all_labelled_rows(spark, tmp_path):
+    """Over 20,000 labelled rows, of which none may be left out: raw and target counts, scores and threshold are those of all."""
+    r = random.Random(6)
+    texts = [helpers.sentence(r, 21, 4000, "g" if i % 3 else "b") for i in range(26_000)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(len(texts))]
+    d = helpers.put(spark, tmp_path, documents=helpers.docs(spark, texts).repartition(4), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    known = [i for i, *_ in labels if zlib.crc32(str(i).encode()) % 5]
+    assert len(known) > 20_000
+    half = {x[0]: x[1] for x in spark.createDataFrame([(i,) for i in known], "doc_id long").selectExpr("doc_id", "pmod(xxhash64('half', doc_id), 2)").collect()}
+    raw, target = np.zeros(quality.BUCKETS, dtype=int), np.zeros(quality.BUCKETS, dtype=int)
+    at = [quality.buckets_of(t.encode().split()) for t in texts]
+    for i, x in enumerate(at):
+        np.add.at(raw, x, 1)
+        if i in half and i % 3 and not half[i]:
+            np.add.at(target, x, 1)
+    weight = quality.weights(raw, target)
+    score = [float(weight[x].mean()) for x in at]
+    failed = [quality.rules(t)[5] for t in texts]
+    other = [i for i in known if half[i] and not failed[i]]
+    threshold = quality.best_threshold([score[i] for i in other if i % 3], [score[i] for i in other if not i % 3], 0.99)
+    got = {x["doc_id"]: x for x in QUERIES["op6_quality"](spark, d).collect()}
+    assert all(math.isclose(got[i]["score"], score[i], abs_tol=1e-12) and got[i]["kept"] == (not failed[i] and score[i] >= threshold) for i in range(len(texts)))
+    docs, known = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    shuffled, limit, _ = quality.fit(docs, known, broadcast_rows=0)
+    assert (shuffled == weight).all() and math.isclose(limit, threshold, abs_tol=1e-12), "labelled ids may be broadcast or shuffled"
+    some = docs.where("doc_id < 50")
+    assert {x["doc_id"]: x["kept"] for x in quality.judge(some, shuffled, limit).collect()} == {i: got[i]["kept"] for i in range(50)}
+
+
 def test_quality_tells_held_out_rows_apart(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = [r for r in QUERIES["op6_quality"](spark, SF).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["doc_id"] in labels]
