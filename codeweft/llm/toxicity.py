@@ -9,6 +9,9 @@ evaluated until there are ``k`` neighbours, then all others whose bound reaches
 k-th of them, so the neighbours are exact. Their votes, weighted by 1 / distance, are
 calibrated by a logistic fit to the examples' own leave-one-out votes.
 
+With ``letters``, words that begin alike are one: where a language inflects, each form
+of a toxic word is rare, and most forms of a new text were never seen whole.
+
 :func:`fit` takes at most ``sample`` labelled rows and ``chars`` characters of them (by
 the least hashes of their ids), which bounds all that the driver and the workers hold;
 :func:`score` is one narrow pass.
@@ -41,9 +44,12 @@ BLOCK, HEAD, NEAR = 64, 24, 1e-5
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The lower-case words of ``text`` as UTF-8."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
+def words_of(text: str | None, letters: int | None = None) -> list[bytes]:
+    """The lower-case words of ``text`` as UTF-8, or the first ``letters`` letters of each."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS) if text else b""
+    if letters:
+        words = " ".join([w[:letters] for w in words.decode("utf-8", "surrogatepass").split(" ")]).encode("utf-8", "surrogatepass")
+    return words.split()
 
 
 def numbered(texts: list[list[bytes]], terms: dict[bytes, int]) -> list[np.ndarray]:
@@ -76,8 +82,11 @@ class Index:
     ids, labels: of the examples, block by block. Each word has postings (start, at,
     weight); those of the first ``heads`` words are also :attr:`laid_out` as block x word
     x example, with their block maxima, word x block. Only postings are pickled.
+    letters: how many of each word count; None: all.
     """
 
+    letters: int | None = None
+
     def __init__(self, terms: list[bytes], df: np.ndarray, docs: int, examples: list[tuple[int, int, np.ndarray]], k: int | None = None) -> None:
         """terms: in ascending order; examples: (id, label, the numbers of its words among ``terms``)."""
         bags = Bags([e[2] for e in examples], len(terms))
@@ -241,7 +250,7 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, chars: int) -> Data
     return rows if not len(total) or total[-1] <= chars else rows.where(F.col("doc_id").isin([r["doc_id"] for r, n in zip(sizes, total.tolist(), strict=True) if n <= chars]))
 
 
-def _document_frequencies(docs: DataFrame, terms: list[bytes], part: int = 4096) -> tuple[np.ndarray, int]:
+def _document_frequencies(docs: DataFrame, terms: list[bytes], part: int = 4096, letters: int | None = None) -> tuple[np.ndarray, int]:
     """The documents of the corpus with each of ``terms``, and all documents.
 
     Each partition gives its counts in parts of the vocabulary, which are added up
@@ -255,7 +264,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes], part: int = 4096)
         find, df, n = {t: i for i, t in enumerate(shared.value)}.get, np.zeros(v + 1, dtype=np.int64), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                words = [set(words_of(t)) for t in batch.column(0).slice(k, 64).to_pylist()]
+                words = [set(words_of(t, letters)) for t in batch.column(0).slice(k, 64).to_pylist()]
                 n += len(words)
                 at = np.fromiter(map(find, chain.from_iterable(words), repeat(v)), dtype=np.int64, count=sum(map(len, words)))
                 df += np.bincount(at, minlength=v + 1)
@@ -281,9 +290,11 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes], part: int = 4096)
     return (every[:v], int(every[v])) if len(every) else (np.zeros(v, dtype=np.int64), 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS, k: int | None = None) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS, k: int | None = None, letters: int | None = None) -> Index:
     """Learn from rows of ``labels`` (doc_id, toxic) outside the held-out fold; k: a twentieth of the examples unless it is given.
 
+    ``letters``: only the beginnings of words, of so many letters, are told apart.
+
     ``sample`` and ``chars`` bound what reaches the driver and the index.
     """
     spark = docs.sparkSession
@@ -292,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
     seen: dict[bytes, int] = {}
     examples = []
     for r in rows.orderBy("doc_id").toLocalIterator():
-        examples.append((r["doc_id"], int(r["toxic"] > 0), np.array([seen.setdefault(w, len(seen)) for w in words_of(r["text"])], dtype=np.int32)))
+        examples.append((r["doc_id"], int(r["toxic"] > 0), np.array([seen.setdefault(w, len(seen)) for w in words_of(r["text"], letters)], dtype=np.int32)))
     if not any(y for _, y, _ in examples):
         return Index([], np.zeros(0), 0, [])
     terms = sorted(seen)
@@ -300,7 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
     rank[[seen[t] for t in terms]] = np.arange(len(terms))
     examples = [(d, y, rank[at]) for d, y, at in examples]
     del seen, rank
-    index = Index(terms, *_document_frequencies(text, terms), examples, k)
+    index = Index(terms, *_document_frequencies(text, terms, letters=letters), examples, k)
+    index.letters = letters
     del examples
     common.release()
     shared = spark.sparkContext.broadcast(index)
@@ -311,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = C
         place = {d: i for i, d in enumerate(shared.value.ids.tolist())}
         for batch in batches:
             but = np.array([place.get(d, -1) for d in batch.column(0).to_pylist()], dtype=np.int64)
-            votes, _ = shared.value.votes([words_of(t) for t in batch.column(2).to_pylist()], but)
+            votes, _ = shared.value.votes([words_of(t, letters) for t in batch.column(2).to_pylist()], but)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes, pa.float64())], names=["toxic", "vote"])
 
     parts = max(1, index.size // 256)
@@ -335,7 +347,7 @@ def score(docs: DataFrame, model: Index, text: str = "text", threshold: float =
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                votes, shown = m.votes([words_of(t) for t in some.column(at).to_pylist()], evidence=evidence)
+                votes, shown = m.votes([words_of(t, m.letters) for t in some.column(at).to_pylist()], evidence=evidence)
                 s = m.calibrated(votes)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_()), pa.array(shown, pa.list_(pa.int64()))], names=[*keep, *new])
 

@@ -63,6 +63,22 @@ def test_stage_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "decontamination", "byte bpe"]
 
 
+def test_toxic_words_are_known_by_their_beginnings(spark, tmp_path):
+    """Each toxic text has forms of two stems that no other text has."""
+    r = random.Random(12)
+    ending = lambda: "".join(r.choice("aeiouéßlnrst") for _ in range(5))
+    common_words = ["".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    texts = []
+    for k in range(400):
+        words = [r.choice(common_words) for _ in range(60)]
+        for _ in range(4 if k % 4 == 0 else 0):
+            words.insert(r.randrange(60), r.choice(["vequ", "lößw"]) + ending())
+        texts.append(" ".join(words))
+    d = helpers.put(spark, tmp_path, labels=spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int"))
+    kept = {x["doc_id"] for x in corpus_pipeline.without_toxic(spark, helpers.docs(spark, texts), d).collect()}
+    assert sum(i in kept for i in range(300, 400) if i % 4 == 0) <= 2 and sum(i in kept for i in range(300, 400) if i % 4) >= 73
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_and_empty_documents(spark, tmp_path, name):
     stage = dict(corpus_pipeline.STAGES)[name]
