@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema
 from ..functions import text
@@ -15,6 +16,8 @@ from ..functions.vocab import EXCLUDED_DIRS, NO_SOURCES
 from ..session import new_path, settled, ship
 
 MAX_BYTES, HEAD = 1 << 20, 8192
+#: Files that a task parses: half a second to a few seconds.
+FILES_A_TASK = 250
 #: Files by extension, and whether they are parsed.
 LANGUAGES = {"py": ("python", True), "pyi": ("python", True), "js": ("javascript", False), "ts": ("typescript", False)}
 FACTS = {"nodes": schema.NODES, "imports": schema.IMPORTS, "calls": schema.CALL_SITES, "locals": schema.LOCALS, "references": schema.REFERENCES, "accesses": schema.ACCESSES, "occurrences": schema.OCCURRENCES, "diagnostics": schema.DIAGNOSTICS}
@@ -148,30 +151,43 @@ def canonical_imports(imports: DataFrame, files: DataFrame, prefixes: list[str])
     return out.withColumn("target_module", F.when(~F.col("is_relative"), F.coalesce("full", "target_module")).otherwise(F.col("target_module"))).select(*imports.columns)
 
 
+def spread(files: DataFrame, each: int = FILES_A_TASK) -> DataFrame:
+    """``files`` dealt to tasks of about ``each``, to every core if there are fewer: a listing is often a single partition."""
+    cores, n = files.sparkSession.sparkContext.defaultParallelism, files.count()
+    return files.repartition(max(-(-n // each), min(cores, n), 1), "file_path")
+
+
 def parse(files: DataFrame, strip: str = "") -> dict[str, DataFrame]:
     """The tables of FACTS for every file; a file is one row of the Python workers and their rows are exploded after."""
     ship(files.sparkSession)
-    shape = "struct<" + ", ".join(f"{k}: array<struct<{_inner(v)}>>" for k, v in FACTS.items()) + ">"
-    names = {k: schema.struct(v).names for k, v in FACTS.items()}
+    shape = "file_path string, facts struct<" + ", ".join(f"{k}: array<struct<{_inner(v)}>>" for k, v in FACTS.items()) + ">"
+    facts = to_arrow_schema(schema.struct(shape)).field("facts").type
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         from codeweft.sources.extract import extract
 
         for batch in batches:
-            rows = []
-            for path, module, content in zip(batch["file_path"], batch["module"], batch["content"], strict=True):
-                got = extract(bytes(content).decode("utf-8", "replace"), path, module)
-                rows.append({k: [dict(zip(names[k], r, strict=True)) for r in v] for k, v in got.items()})
-            yield pd.DataFrame({"file_path": batch["file_path"], "facts": rows})
-
-    rows = files.where("skipped IS NULL").select("file_path", text.module_name("file_path", strip).alias("module"), "content")
-    parsed = settled(rows.mapInPandas(run, f"file_path string, facts {shape}"), "facts")
+            got = [extract(content.decode("utf-8", "replace"), path, module) for path, module, content in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            lists = []
+            for table in facts:
+                rows, ends = [], [0]
+                for one in got:
+                    rows += one[table.name]
+                    ends.append(len(rows))
+                fields = list(table.type.value_type)
+                columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+                inner = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, type=table.type))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(lists, fields=list(facts))], names=["file_path", "facts"])
+
+    named = lambda df: df.where("skipped IS NULL").select("file_path", text.module_name("file_path", strip).alias("module"), "content")
+    parsed = settled(named(spread(files)).mapInArrow(run, shape), "facts")
     out = {k: parsed.select(F.explode(f"facts.{k}").alias("r")).select("r.*") for k in FACTS}
     passed = files.where("skipped IS NOT NULL").select("file_path", F.lit("skipped").alias("kind"), F.col("skipped").alias("detail"), F.lit(0).alias("line"))
     out["diagnostics"] = out["diagnostics"].unionByName(passed)
-    out["files"] = rows.select("file_path", "module")
+    out["files"] = named(files).select("file_path", "module")
     return out
 
 

@@ -1,6 +1,7 @@
 """A whole tree: scan, parse, resolve, fold and ask."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeweft.operators.filters import QueryError
 from codeweft.sources import export, tree
@@ -109,3 +110,12 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["find", "g"]) == 0 and '"a.m.g"' in capsys.readouterr().out
     assert cli.main(["update"]) == 0 and "nothing has changed" in capsys.readouterr().out
     assert cli.main(["symbol", "gone_name"]) == 1
+
+
+def test_a_listing_of_one_partition_is_parsed_by_several_tasks(spark):
+    rows = [(f"p/m{i}.py", 0, 20, f"def f{i}():\n    return g()\n".encode(), None) for i in range(60)]
+    files = spark.createDataFrame(rows, "file_path string, mtime_ns long, length long, content binary, skipped string").coalesce(1)
+    nodes = tree.parse(files)["nodes"]
+    assert sorted(r["id"] for r in nodes.select("id").collect()) == sorted(f"p.m{i}.f{i}" for i in range(60))
+    assert nodes.select(F.input_file_name().alias("f")).distinct().count() > 1
+    assert tree.spread(files, each=7).rdd.getNumPartitions() == 9
