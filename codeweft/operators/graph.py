@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import drop, settled
-
+from . import parts
 
 #: Rounds whose tables are merged into one.
 MERGED = 6
@@ -126,14 +126,22 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
 
 
+def _parted(edges: DataFrame, marks: DataFrame | None = None) -> DataFrame | None:
+    return parts.parted(edges, marks, min(parts.PART, CORE))
+
+
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): components by their least member; isolated nodes are components, a loop is no cycle.
 
     Nodes without an edge in or out are trimmed again and again; of the rest, each
     takes the least node that reaches it as its color, and what reaches a color's
     own node within the color is one component. What is left of CORE edges or fewer
-    is done in one task.
+    is done in one task. A graph of small parts has each of them done by a task.
     """
+    if (rows := _parted(edges.where("source <> target"))) is not None:
+        kind = edges.schema["source"].dataType.simpleString()
+        found = settled(parts.solved(rows, parts.components, f"id {kind}, component {kind}"), "components")
+        return settled(nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "scc")
     left = settled(edges.select("source", "target").where("source <> target").distinct(), "left")
     every, done = nodes.select("id").distinct(), []
     while (n := left.count()) > 0:
@@ -193,6 +201,26 @@ def reach(scc: DataFrame, dag: DataFrame, block: int = 1_000_000) -> DataFrame:
     return scc.join(down, "component").join(up, "component").select("id", "reach_down", "reach_up")
 
 
+def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component, reach_down, reach_up) of ``nodes``: :func:`reach` over components; in a graph of small parts each is done by a task."""
+    if (rows := _parted(edges.where("source <> target"))) is None:
+        scc = strongly_connected(nodes, edges)
+        return reach(scc, condensed(scc, edges)).join(scc, "id")
+    kind = edges.schema["source"].dataType.simpleString()
+    found = settled(parts.solved(rows, parts.reach, f"id {kind}, component {kind}, reach_down long, reach_up long"), "reach")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), zero("reach_down"), zero("reach_up"))
+
+
+def ranks(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, rank) of ``nodes``: :func:`rank` over components; in a graph of small parts each is done by a task."""
+    if (rows := _parted(edges.where("source <> target"), entries)) is None:
+        scc = strongly_connected(nodes, edges)
+        return rank(scc, condensed(scc, edges), entries)
+    found = settled(parts.solved(rows, parts.rank, f"id {edges.schema['source'].dataType.simpleString()}, rank int"), "ranks")
+    return nodes.select("id").distinct().join(found, "id", "left")
+
+
 def rank(scc: DataFrame, dag: DataFrame, entries: DataFrame) -> DataFrame:
     """(id, rank): hops from the nearest entry's component; null if none reaches it."""
     start = entries.select("id").join(scc, "id").select(F.col("component").alias("id")).distinct()
@@ -223,8 +251,12 @@ def dominators(dag: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
     A node's chain is the common start of its callers' chains, then itself. The
     common start of many arrays is that of the least and the greatest, which are
-    combined before the shuffle. Nodes go when all their callers have gone.
+    combined before the shuffle. Nodes go when all their callers have gone. In a graph
+    of small parts each is done by a task.
     """
+    if (rows := _parted(dag, roots)) is not None:
+        kind = dag.schema["source"].dataType.simpleString()
+        return settled(parts.solved(rows, parts.dominators, f"id {kind}, idom {kind}, chain array<{kind}>"), "chains")
     start = roots.select("id").distinct()
     live, _ = expand(start, dag)
     live = settled(live.select("id"), "live")
@@ -249,8 +281,8 @@ def dominators(dag: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def gates(dom: DataFrame, size: DataFrame) -> DataFrame:
     """(id, gates): what each component dominates, by ``size`` (id, size), its own members left out."""
-    below = dom.select(F.col("id").alias("below"), F.explode("chain").alias("id")).where("below <> id")
-    return below.join(size.withColumnRenamed("id", "below"), "below").groupBy("id").agg(F.sum("size").alias("gates"))
+    sized = dom.join(size, "id").select(F.col("id").alias("below"), "size", F.explode("chain").alias("id"))
+    return sized.where("below <> id").groupBy("id").agg(F.sum("size").alias("gates"))
 
 
 def cone(root, edges: DataFrame, depth: int = 2, budget: int = 80, down: bool = True, up: bool = True) -> tuple[DataFrame, int, bool]:

@@ -322,8 +322,7 @@ def ga6_callers_per_seed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ga7_reach_counts", f"WITH RECURSIVE {R}, d AS (SELECT source AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1), u AS (SELECT target AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1) SELECT id, coalesce(d.k, 0) AS reach_down, coalesce(u.k, 0) AS reach_up FROM line LEFT JOIN d USING (id) LEFT JOIN u USING (id)")
 def ga7_reach_counts(spark: SparkSession, d: str) -> DataFrame:
-    scc, e = _components(spark, d)
-    return graph.reach(scc, graph.condensed(scc, e))
+    return graph.reach_counts(_lines(spark, d), P.line_edges(spark, d)).select("id", "reach_down", "reach_up")
 
 
 DAG_SQL = "cd AS (SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN comp a ON a.id = source JOIN comp b ON b.id = target WHERE a.component <> b.component), entry AS (SELECT id FROM line WHERE id NOT IN (SELECT target FROM e WHERE source <> target))"
@@ -335,8 +334,8 @@ def _entries(spark: SparkSession, d: str, e: DataFrame) -> DataFrame:
 
 @query("ga8_rank", f"WITH RECURSIVE {K}, {DAG_SQL}, h AS (SELECT DISTINCT component AS id, 0 AS hop FROM comp WHERE id IN (SELECT id FROM entry) UNION SELECT cd.target, hop + 1 FROM h JOIN cd ON cd.source = h.id), m AS (SELECT id AS component, min(hop) AS rank FROM h GROUP BY 1) SELECT id, rank FROM comp LEFT JOIN m USING (component)")
 def ga8_rank(spark: SparkSession, d: str) -> DataFrame:
-    scc, e = _components(spark, d)
-    return graph.rank(scc, graph.condensed(scc, e), _entries(spark, d, e))
+    e = P.line_edges(spark, d)
+    return graph.ranks(_lines(spark, d), e, _entries(spark, d, e))
 
 
 @query("u6_roots", f"WITH RECURSIVE {K}, {DAG_SQL} SELECT DISTINCT component AS id FROM comp WHERE component NOT IN (SELECT target FROM cd) OR id IN (SELECT id FROM entry)")
@@ -425,8 +424,7 @@ def ga27_self_and_mutual(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w3_best_entry_per_component", f"WITH RECURSIVE {K}, deg AS (SELECT source AS id, count(*) AS k FROM r WHERE source <> target GROUP BY 1) SELECT component, id, coalesce(k, 0) AS reach_down FROM comp LEFT JOIN deg USING (id) QUALIFY row_number() OVER (PARTITION BY component ORDER BY coalesce(k, 0) DESC, id) = 1")
 def w3_best_entry_per_component(spark: SparkSession, d: str) -> DataFrame:
-    scc, e = _components(spark, d)
-    return filters.best_per(graph.reach(scc, graph.condensed(scc, e)).join(scc, "id"), "component", "reach_down").select("component", "id", "reach_down")
+    return filters.best_per(graph.reach_counts(_lines(spark, d), P.line_edges(spark, d)), "component", "reach_down").select("component", "id", "reach_down")
 
 
 @query("fn_strings", """SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS host, CASE WHEN length(trim(regexp_replace(html, '\\s+', ' ', 'g'))) > 80 THEN substr(trim(regexp_replace(html, '\\s+', ' ', 'g')), 1, 77) || '...' ELSE trim(regexp_replace(html, '\\s+', ' ', 'g')) END AS summary,

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions import text
-from codeweft.operators import edges, filters, graph, links, metrics, paths
+from codeweft.operators import edges, filters, graph, links, metrics, parts, paths
 from codeweft.streaming import snapshot
 
 
@@ -197,3 +197,17 @@ def test_effects_of_targets(spark):
     targets = ["open", "pathlib.Path", "pathlike", "os.environ.get", "os.path.join", "datetime.datetime", "subprocess.run", None]
     got = frame(spark, [(t,) for t in targets], "t string").select(metrics.effect_mask("t")).collect()
     assert [r[0] for r in got] == [1, 1, 0, 8, 0, 32, 4, 0]
+
+
+def test_parts_give_what_rounds_give(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(10 * p + r.randrange(6), 10 * p + r.randrange(6)) for p in range(12) for _ in range(7)]
+    r.shuffle(rows)
+    e, n = frame(spark, rows, "source long, target long").repartition(3), frame(spark, [(10 * p + i,) for p in range(13) for i in range(7)], "id long")
+    dag = e.where("source < target")
+    starts = frame(spark, [(10 * p + i,) for p in range(13) for i in (0, 3)], "id long")
+    ask = lambda: [sorted(tuple(x) for x in df.collect()) for df in (graph.strongly_connected(n, e), graph.reach_counts(n, e).select("id", "component", "reach_down", "reach_up"), graph.ranks(n, e, starts), graph.dominators(dag, n, starts))]
+    assert parts.parted(e) is not None and parts.parted(e, most=2) is None, "whole parts in a task each, or no answer"
+    by_parts = ask()
+    monkeypatch.setattr(parts, "PART", 0)
+    assert by_parts == ask()
