@@ -211,3 +211,12 @@ def test_parts_give_what_rounds_give(spark, monkeypatch):
     by_parts = ask()
     monkeypatch.setattr(parts, "PART", 0)
     assert by_parts == ask()
+
+
+def test_coupling_shuffles_its_pairs_once(spark):
+    use = lambda rows: frame(spark, rows, "owner long, variable long")
+    w, r = [(1, v) for v in (9, 10, 11)] + [(2, 9)], [(2, v) for v in (9, 10, 11)] + [(1, 9), (3, 10)]
+    out = links.coupling(use(w), use(r), frame(spark, [(3, 1), (5, 6), (1, 1)], "source long, target long"))
+    assert {tuple(x) for x in out.select("from", "to", "mutual", "n", "label", "beside").collect()} == {(1, 2, True, 3, "9, 10 +1", False), (1, 3, False, 1, "10", True)}
+    plan = links.coupling(use(w), use(r), frame(spark, [(3, 1)], "source long, target long"))._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(a#" in x for x in plan.split("\n")) == 1 and "lo#" not in plan
