@@ -199,6 +199,14 @@ def test_effects_of_targets(spark):
     assert [r[0] for r in got] == [1, 1, 0, 8, 0, 32, 4, 0]
 
 
+def test_type_neighbours_of_types_that_many_use(spark):
+    fields = "id string, kind string, module string, parent string, returns string, params array<struct<name string, annotation string>>"
+    rows = [("m.T", "class", "m", None, None, []), ("m.make", "function", "m", None, "T", []), *((f"m.f{i}", "function", "m", None, None, [("t", "T")]) for i in range(20))]
+    rows += [("m.U", "class", "m", None, None, []), ("m.only", "function", "m", None, "U", [])]
+    got = links.type_neighbours(frame(spark, rows, fields), frame(spark, [], "module string, alias string, kind string, target string"))
+    assert {tuple(r) for r in got.collect()} == {("m.make", "returns", "m.T"), *((f"m.f{i}", "accepts", "m.T") for i in range(20))}
+
+
 def test_parts_give_what_rounds_give(spark, monkeypatch):
     r = random.Random(7)
     rows = [(10 * p + r.randrange(6), 10 * p + r.randrange(6)) for p in range(12) for _ in range(7)]
