@@ -384,9 +384,7 @@ class Workspace:
             ids = sorted({x for e in got["edges"] for x in e} | {got["root"]})
             return export.mermaid([(i, i) for i in ids], [(a, b, None, False) for a, b in got["edges"]])
         if what == "imports":
-            rows = self.imports()["edges"]
-            ids = sorted({r[k] for r in rows for k in ("src_file", "dst_file")})
-            return export.mermaid([(i, i) for i in ids], [(r["src_file"], r["dst_file"], None, False) for r in rows])
+            return export.flowchart_text(export.flowchart(self.file_steps))
         dirs = self.tree(**options)["dirs"]
         up = lambda d: d.rsplit("/", 1)[0] if "/" in d else "."
         return export.mermaid([(d, f"{d} ({n})") for d, n in dirs.items()], [(up(d), d, None, False) for d in dirs if d != "."], "TD")

@@ -550,8 +550,7 @@ NAMED = f"e AS ({rows('s t', [('pkg/m{k}.py', 'pkg/base.py'), ('pkg/m{k}.py', 'p
 @query("s15_mermaid", f"""WITH {NAMED} SELECT 'flowchart LR' AS line UNION ALL SELECT '  n' || n || '["' || path || '"]' FROM names UNION ALL SELECT '  n' || a.n || ' --> n' || b.n FROM e JOIN names a ON a.path = s JOIN names b ON b.path = t""")
 def s15_mermaid(spark: SparkSession, d: str) -> DataFrame:
     """The import graph as the lines of a diagram."""
-    lines = _workspace(spark, d).diagram("imports").split("\n")
-    return spark.createDataFrame([(x,) for x in lines if "%%" not in x], "line string")
+    return export.flowchart(_workspace(spark, d).file_steps).select("line")
 
 
 @query("st3_changed_files", rows("path change", [("pkg/m{k}.py", "modified"), ("tests/test_m{k}.py", "deleted"), ("pkg/new_{k}.py", "added")]))

@@ -6,10 +6,12 @@ import json
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import text
+from ..session import settled
 
 VERSION = 1
 
@@ -76,11 +78,43 @@ def mermaid(nodes: list[tuple[str, str]], edges: list[tuple[str, str, str | None
             dashed += [str(len(lines) - len(nodes) - 2)] if weak else []
     if dashed:
         lines.append(f"  linkStyle {','.join(dashed)} stroke-dasharray:4")
-    if len(edges) > max_edges or sum(map(len, lines)) > max_chars:
-        lines.insert(1, f"  %% large: {len(edges)} edges")
+    return _text(lines, len(edges), max_edges, max_chars)
+
+
+def _text(lines: list[str], n: int, max_edges: int = 500, max_chars: int = 50_000) -> str:
+    if n > max_edges or sum(map(len, lines)) > max_chars:
+        lines.insert(1, f"  %% large: {n} edges")
     return "\n".join(lines)
 
 
+def numbered(names: DataFrame, each: int = 100_000) -> DataFrame:
+    """(name, n): the distinct ``name`` by their order from 0; ranges of them are counted first, so that no task has them all."""
+    names = names.select("name").distinct()
+    dealt = settled(names.repartitionByRange(max(1, -(-names.count() // each)), "name").withColumn("part", F.spark_partition_id()), "names")
+    first, n = F.lit(0).cast("long"), 0
+    for r in dealt.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        first, n = F.when(F.col("part") == r["part"], n).otherwise(first), n + r["n"]
+    return dealt.select("name", (F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1 + first).alias("n"))
+
+
+def flowchart(edges: DataFrame, direction: str = "LR") -> DataFrame:
+    """(part, a, b, line): every line of a flowchart of ``edges`` (source, target); its order is that of the other columns."""
+    names = settled(numbered(edges.select(F.col("source").alias("name")).union(edges.select("target"))), "names")
+    end = lambda name, n: names.select(F.col("name").alias(name), F.col("n").alias(n))
+    none = F.lit(None).cast("long")
+    head = edges.sparkSession.range(1).select(F.lit(0).alias("part"), none.alias("a"), none.alias("b"), F.lit(f"flowchart {direction}").alias("line"))
+    boxes = names.select(F.lit(1).alias("part"), F.col("n").alias("a"), none.alias("b"), F.concat(F.lit("  n"), F.col("n").cast("string"), F.lit('["'), text.escaped("name"), F.lit('"]')).alias("line"))
+    steps = edges.join(end("source", "a"), "source").join(end("target", "b"), "target")
+    arrows = steps.select(F.lit(2).alias("part"), "a", "b", F.concat(F.lit("  n"), F.col("a").cast("string"), F.lit(" --> n"), F.col("b").cast("string")).alias("line"))
+    return head.unionByName(boxes).unionByName(arrows)
+
+
+def flowchart_text(lines: DataFrame) -> str:
+    """:func:`flowchart` as one text, whole; says so where viewers may refuse it."""
+    rows = lines.orderBy("part", "a", "b").collect()
+    return _text([r["line"] for r in rows], sum(r["part"] == 2 for r in rows))
+
+
 def markdown(room: dict) -> str:
     """A symbol and its neighbours as a text."""
     focus = room["focus"]

@@ -119,3 +119,16 @@ def test_a_listing_of_one_partition_is_parsed_by_several_tasks(spark):
     assert sorted(r["id"] for r in nodes.select("id").collect()) == sorted(f"p.m{i}.f{i}" for i in range(60))
     assert nodes.select(F.input_file_name().alias("f")).distinct().count() > 1
     assert tree.spread(files, each=7).rdd.getNumPartitions() == 9
+
+
+def test_diagram_of_imports_is_whole(ws, spark, monkeypatch):
+    from codeweft.plans import workspace
+
+    monkeypatch.setattr(workspace, "LISTED", 1)
+    lines = ws.diagram("imports").split("\n")
+    steps = [(r["source"], r["target"]) for r in ws.file_steps.collect()]
+    names = sorted({x for s in steps for x in s})
+    assert len(steps) > 1 and lines[1 : len(names) + 1] == [f'  n{i}["{x}"]' for i, x in enumerate(names)]
+    assert lines[len(names) + 1 :] == [f"  n{a} --> n{b}" for a, b in sorted((names.index(a), names.index(b)) for a, b in steps)]
+    some = spark.createDataFrame([(f"f{i:03}",) for i in range(50)] * 2, "name string")
+    assert sorted(tuple(r) for r in export.numbered(some, each=8).collect()) == [(f"f{i:03}", i) for i in range(50)]
